@@ -198,7 +198,7 @@ def topk_values(
         .groupBy(*key)
         .agg(F.min("value").alias("whole"))
     )
-    return winners.join(F.broadcast(long_texts), key, "left").select(
+    return winners.join(long_texts, key, "left").select(
         "column_name",
         F.coalesce("whole", "head").alias("value"),
         "n",
