@@ -81,8 +81,7 @@ def _sorted_lists(value):
     return value
 
 
-def _dump(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+_dump = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
 
 
 def _normalize_text(text):

@@ -248,6 +248,15 @@ def _json_item(
     ]
 
 
+def plan_catalog(names: DataFrame, **location: str) -> DataFrame:
+    """The catalog file itself, one per ``name``."""
+    return names.select(
+        *_json_item(
+            F.col("name"), F.concat("name", F.lit(".json")), F.col("name"), F.lit(False), **location
+        )
+    )
+
+
 def plan_pair_files(pairs: DataFrame, **location: str) -> DataFrame:
     """One match file per pair; ``location`` is ``source, owner, repo, ref, base``."""
     return pairs.select(

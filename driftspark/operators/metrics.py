@@ -89,27 +89,31 @@ def evaluate(
 
 def season_shift(
     rows: DataFrame, task: str = "classification", season: str = "season", label: str = "target",
-    prediction: str = "prediction",
+    prediction: str = "prediction", by: Sequence[str] = (),
 ) -> DataFrame:
     """Metrics of all rows and of each season: ``segment_kind, segment, n`` and the metrics.
 
-    One shuffle serves all segments. Rows without a season count only in the overall segment.
+    One shuffle serves all segments, and all groups of ``by``. Rows without a season count only in
+    the overall segment.
     """
+    sets = [[*by, season], list(by)]
+    keys = [*by, season]
     if task == "classification":
-        # Counts add up, so the overall row is built from the few per-season rows.
-        per_season = rows.groupBy(season).agg(*_confusion(label, prediction))
-        sums = per_season.rollup(season).agg(
+        # Counts add up, so the overall rows are built from the few per-season rows.
+        counts = rows.groupBy(*keys).agg(*_confusion(label, prediction))
+        sums = counts.groupingSets(sets, *keys).agg(
             F.grouping(season).alias("is_overall"),
             *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "tp", "fp", "fn", "tn")],
         )
         scores = _binary_ratios()
     else:
-        sums = rows.rollup(season).agg(
+        sums = rows.groupingSets(sets, *keys).agg(
             F.grouping(season).alias("is_overall"), *_error_sums(label, prediction)
         )
         scores = _regression_scores()
     overall = F.col("is_overall") == 1
     return sums.where(overall | F.col(season).isNotNull()).select(
+        *by,
         F.when(overall, "overall").otherwise("season").alias("segment_kind"),
         F.when(overall, "overall").otherwise(F.col(season)).alias("segment"),
         "n",
@@ -117,8 +121,8 @@ def season_shift(
     )
 
 
-def shift_long(shift: DataFrame, task: str = "classification") -> DataFrame:
+def shift_long(shift: DataFrame, task: str = "classification", by: Sequence[str] = ()) -> DataFrame:
     """``segment_kind, segment, metric, value``: the metric name holds no season."""
     return shift.unpivot(
-        ["segment_kind", "segment"], metrics_of(task), "metric", "value"
+        [*by, "segment_kind", "segment"], metrics_of(task), "metric", "value"
     )

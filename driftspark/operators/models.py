@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -26,6 +25,9 @@ LOGISTIC_ITERATIONS = 1000
 LOGISTIC_C = 1.0
 RIDGE_ALPHA = 1.0
 
+# Statistics of the tree nodes grown in one pass over the data; more memory means fewer passes.
+FOREST_MEMORY_MB = 1024
+
 TASKS = ("classification", "regression")
 MODEL_TYPES = ("rf", "linear")
 
@@ -46,7 +48,8 @@ def task_of(target: str) -> str:
 
 def _forest(task: str, seed: int) -> Estimator:
     shared = dict(
-        featuresCol=_VECTOR, labelCol=TARGET, numTrees=TREES, maxDepth=DEPTH, seed=seed
+        featuresCol=_VECTOR, labelCol=TARGET, numTrees=TREES, maxDepth=DEPTH, seed=seed,
+        maxMemoryInMB=FOREST_MEMORY_MB,
     )
     if task == "classification":
         return RandomForestClassifier(featureSubsetStrategy="sqrt", **shared)
@@ -79,12 +82,21 @@ def make_estimator(task: str, model_type: str, train: DataFrame, seed: int = SEE
     raise ValueError(f"unknown model type {model_type!r}; expected one of {', '.join(MODEL_TYPES)}")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Training costs far more per byte than a scan: give a small table a task per core.
+
+    A table that already fills the cores is left as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def fit(
     train: DataFrame, task: str, model_type: str = "rf", seed: int = SEED,
     extra_metadata: Sequence[str] = ("split",),
 ) -> TrainedModel:
     features = feature_columns(train, extra_metadata)
-    narrow = train.select(*[col(name) for name in features], TARGET)
+    narrow = _spread(train.select(*[col(name) for name in features], TARGET))
     assembler = VectorAssembler(inputCols=features, outputCol=_VECTOR, handleInvalid="error")
     estimator = make_estimator(task, model_type, narrow, seed)
     model = Pipeline(stages=[assembler, estimator]).fit(narrow)
@@ -124,23 +136,40 @@ def drop_ablation(
 ) -> DataFrame:
     """Shift metrics of test rows per drop list, next to those of the model that drops nothing.
 
-    The split is computed once: dropping a feature does not move a row to another split.
+    The split is computed once: dropping a feature does not move a row to another split. All models
+    score the test rows in one pass and share one aggregation.
     """
-
-    def shift(drop: Sequence[str]) -> DataFrame:
-        rows = feature_drop(split_rows, drop)
-        trained = fit(rows.where(F.col("split") == "train"), task, model_type, seed)
-        table = evaluate_season_shift(trained, rows.where(F.col("split") == "test"))
-        return metrics.shift_long(table, task)
-
-    baseline = shift([]).withColumnRenamed("value", "baseline")
-    runs = [shift(drop).withColumn("dropped", F.lit(",".join(drop))) for drop in drops]
+    train = split_rows.where(F.col("split") == "train")
+    scored = split_rows.where(F.col("split") == "test")
+    variants = [[], *drops]
+    for i, drop in enumerate(variants):
+        trained = fit(feature_drop(train, drop), task, model_type, seed)
+        scored = predict(trained, scored).withColumnRenamed("prediction", f"prediction{i}")
+    each = F.array(
+        *[
+            F.struct(F.lit(i).alias("variant"), F.col(f"prediction{i}").alias("prediction"))
+            for i in range(len(variants))
+        ]
+    )
+    rows = scored.select("season", TARGET, F.inline(each))
+    shift = metrics.season_shift(rows, task, by=["variant"])
+    values = metrics.shift_long(shift, task, by=["variant"])
+    # One row per segment and metric, so this second grouping is over metric rows only.
     keys = ["segment_kind", "segment", "metric"]
-    return (
-        reduce(DataFrame.unionByName, runs)
-        .join(baseline, keys)
-        .select("dropped", *keys, "value", "baseline", (F.col("value") - F.col("baseline")).alias("delta"))
+    wide = values.groupBy(*keys).pivot("variant", list(range(len(variants)))).agg(F.first("value"))
+    compared = F.array(
+        *[
+            F.struct(
+                F.lit(",".join(drop)).alias("dropped"),
+                F.col(str(i)).alias("value"),
+                F.col("0").alias("baseline"),
+                (F.col(str(i)) - F.col("0")).alias("delta"),
+            )
+            for i, drop in enumerate(variants)
+            if i
+        ]
     )
+    return wide.select(*keys, F.inline(compared)).select("dropped", *keys, "value", "baseline", "delta")
 
 
 def save_model(trained: TrainedModel | None, path: str) -> None:

@@ -123,6 +123,11 @@ def fingerprint_of(columns: Sequence[str], dtypes: Mapping[str, str]) -> str:
     return hashlib.sha256(payload.encode("utf-8")).hexdigest()
 
 
+def schema_of(df: DataFrame) -> tuple[list[str], dict[str, str]]:
+    """Columns and classes of a DataFrame, from its schema alone."""
+    return df.columns, {field.name: type_class(field.dataType) for field in df.schema}
+
+
 def schema_entry(
     df: DataFrame, table_name: str, group: str = "default", ordinal: int = 0,
     null_sensitive: bool = False,

@@ -9,10 +9,21 @@ from pyspark.sql import functions as F
 
 from driftspark.runtime import col
 
-# Paired statistics per sport, in column order.
+# Paired statistics per sport and their types, in column order.
 SPORT_STATS = {
-    "nba": ["fg_pct", "3p_pct", "rebounds", "assists", "turnovers"],
-    "nfl": ["total_yards", "passing_yards", "rushing_yards", "turnovers"],
+    "nba": {
+        "fg_pct": "double",
+        "3p_pct": "double",
+        "rebounds": "bigint",
+        "assists": "bigint",
+        "turnovers": "bigint",
+    },
+    "nfl": {
+        "total_yards": "bigint",
+        "passing_yards": "bigint",
+        "rushing_yards": "bigint",
+        "turnovers": "bigint",
+    },
 }
 
 # Columns that identify a row and are never features.
@@ -23,7 +34,7 @@ TARGETS = ("win", "score_diff")
 
 def stats_of(sport: str) -> list[str]:
     """Statistics of a sport; an unknown sport has none and yields metadata and target only."""
-    return SPORT_STATS.get(sport.lower(), [])
+    return list(SPORT_STATS.get(sport.lower(), {}))
 
 
 def target_win(own: Column, other: Column) -> Column:

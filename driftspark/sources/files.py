@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,13 +28,13 @@ def _listing(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _relative(path: Column, root: str) -> Column:
-    """Path below ``root``; listed paths carry a scheme that ``root`` may lack."""
-    bare = F.regexp_replace(path, r"^[a-z0-9+.-]+:/+", "/")
-    plain = "/" + root.split(":", 1)[-1].strip("/") + "/" if "://" not in root else None
-    if plain is None:
-        return F.substr(path, F.lit(len(root.rstrip("/")) + 2))
-    return F.substr(bare, F.lit(len(plain) + 1))
+def relative_path(path: Column, root: str) -> Column:
+    """Path below ``root``. A listed path carries a scheme, which ``root`` may lack."""
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    bare_root = "/" + re.sub(scheme, "", root).strip("/") + "/"
+    # The listing escapes blanks and the like.
+    bare = F.regexp_replace(path, scheme, "")
+    return F.substr(F.regexp_replace(bare, "^/+", "/"), F.lit(len(bare_root) + 1))
 
 
 def _hash_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,7 +44,8 @@ def _hash_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digests = []
         for path in batch["path"]:
             digest = hashlib.sha256()
-            system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace(":/", ":///", 1))
+            uri = path if "://" in path else path.replace(":/", ":///", 1)
+            system, inner = fs.FileSystem.from_uri(uri)
             with system.open_input_stream(inner) as stream:
                 while block := stream.read(HASH_BLOCK):
                     digest.update(block)
@@ -65,7 +67,7 @@ def file_inventory(spark: SparkSession, root: str, whole_file_bytes: int = WHOLE
     streamed by a task of its own.
     """
     about = [
-        _relative(F.col("path"), root).alias("dest_path"),
+        relative_path(F.col("path"), root).alias("dest_path"),
         F.col("length").alias("size_bytes"),
         F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime_utc"),
     ]

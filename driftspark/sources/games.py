@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from driftspark.operators.sides import default_fill, stats_of
+from driftspark.operators.sides import SPORT_STATS, default_fill, stats_of
 
 _TEXTS = ["game_id", "season", "date", "home_team", "away_team"]
 
 
-def game_schema(stats: Sequence[str]) -> T.StructType:
-    """Explicit schema: text metadata, whole scores, DOUBLE statistics."""
-    fields = [T.StructField(name, T.StringType()) for name in _TEXTS]
-    fields += [T.StructField(f"{side}_score", T.LongType()) for side in ("home", "away")]
-    fields += [
-        T.StructField(f"{side}_{stat}", T.DoubleType()) for stat in stats for side in ("home", "away")
+def game_schema(sport: str) -> str:
+    """Explicit schema: text metadata, whole scores, the sport's statistics with their types."""
+    columns = [(name, "string") for name in _TEXTS]
+    columns += [(f"{side}_score", "bigint") for side in ("home", "away")]
+    columns += [
+        (f"{side}_{stat}", kind)
+        for stat, kind in SPORT_STATS.get(sport.lower(), {}).items()
+        for side in ("home", "away")
     ]
-    return T.StructType(fields)
+    return ", ".join(f"`{name}` {kind}" for name, kind in columns)
 
 
 def read_season_files(spark: SparkSession, folder: str, sport: str) -> DataFrame:
@@ -29,11 +28,10 @@ def read_season_files(spark: SparkSession, folder: str, sport: str) -> DataFrame
     A file that holds one array cannot be split, so read it once and land it with ``write_games``.
     A missing folder or one without games is an error.
     """
-    stats = stats_of(sport)
     path = f"{folder}/{sport}"
     try:
         games = (
-            spark.read.schema(game_schema(stats))
+            spark.read.schema(game_schema(sport))
             .option("multiLine", True)
             .option("pathGlobFilter", "*.json")
             .json(path)
@@ -45,7 +43,7 @@ def read_season_files(spark: SparkSession, folder: str, sport: str) -> DataFrame
         raise
     if empty:
         raise ValueError(f"no games for sport {sport!r} in {path}")
-    return default_fill(games, stats)
+    return default_fill(games, stats_of(sport))
 
 
 def season_folder_name(season: Column) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftspark.functions import errors
 from driftspark.functions.types import numeric_coerce
+from driftspark.operators.profile import schema_fingerprint
 from driftspark.runtime import col
 
 # Text that a CSV cell uses for null.
@@ -87,8 +89,9 @@ def first_rows(rows: DataFrame, n: int) -> DataFrame:
     wanted = blocks.select("_path", "_block", "_first", before.alias("_before")).where(
         F.col("_before") < n
     )
+    # Every block but empty ones holds a row, so at most ``n`` blocks are wanted.
     return (
-        placed.join(wanted, ["_path", "_block"])
+        placed.join(F.broadcast(wanted), ["_path", "_block"])
         .where(F.col("_before") + F.col("_id") - F.col("_first") < n)
         .select(*[col(c) for c in rows.columns])
     )
@@ -104,12 +107,28 @@ def read_csv_table(
     return typed_text(raw, null_tokens)
 
 
-def json_schema(rows: DataFrame, text: str) -> str:
-    """DDL type that holds every JSON document of the column, merged in one aggregation."""
-    documents = F.try_parse_json(F.col(text))
-    found = rows.agg(F.schema_of_variant_agg(documents).alias("ddl")).first()["ddl"]
-    # OBJECT is the variant name of STRUCT; a key that is null throughout has no type.
-    return re.sub(r"\bVOID\b", "STRING", re.sub(r"\bOBJECT<", "STRUCT<", found or "VOID"))
+def _merged_type(documents: Column) -> Column:
+    return F.schema_of_variant_agg(F.try_parse_json(documents))
+
+
+def _stored_type(found: T.DataType) -> T.DataType:
+    """JSON numbers with a point are DOUBLE; a key that is null throughout is STRING."""
+    if isinstance(found, T.DecimalType):
+        return T.DoubleType()
+    if isinstance(found, T.NullType):
+        return T.StringType()
+    if isinstance(found, T.ArrayType):
+        return T.ArrayType(_stored_type(found.elementType))
+    if isinstance(found, T.StructType):
+        return T.StructType([T.StructField(f.name, _stored_type(f.dataType)) for f in found])
+    return found
+
+
+def json_schema(rows: DataFrame, text: str) -> T.DataType:
+    """Type that holds every JSON document of the column, merged in one aggregation."""
+    found = rows.agg(_merged_type(F.col(text)).alias("ddl")).first()["ddl"]
+    # OBJECT is the variant name of STRUCT.
+    return _stored_type(T._parse_datatype_string((found or "VOID").replace("OBJECT<", "STRUCT<")))
 
 
 def _leaves(data_type: T.DataType, column: Column, name: str) -> list[Column]:
@@ -131,16 +150,17 @@ def flatten_structs(rows: DataFrame) -> DataFrame:
     )
 
 
-def flatten_json(rows: DataFrame, text: str, schema: str | None = None) -> DataFrame:
+def flatten_json(rows: DataFrame, text: str, schema: T.DataType | None = None) -> DataFrame:
     """One row per JSON document with dotted columns; a plain value becomes the column ``value``.
 
-    Text that is no JSON is left out here and reported by ``json_errors``.
+    Columns come in name order. Text that is no JSON is left out and reported by ``json_errors``.
     """
     schema = schema or json_schema(rows, text)
-    good = rows.where(F.try_parse_json(F.col(text)).isNotNull())
-    if schema.startswith("STRUCT<"):
+    document = F.try_parse_json(F.col(text))
+    good = rows.where(document.isNotNull())
+    if isinstance(schema, T.StructType):
         return flatten_structs(good.select(F.from_json(text, schema).alias("d")).select("d.*"))
-    return good.select(F.try_variant_get(F.try_parse_json(F.col(text)), "$", schema).alias("value"))
+    return good.select(F.try_variant_get(document, "$", schema.simpleString()).alias("value"))
 
 
 def json_errors(rows: DataFrame, text: str) -> DataFrame:
@@ -148,19 +168,83 @@ def json_errors(rows: DataFrame, text: str) -> DataFrame:
     return rows.where(broken).select(F.lit(errors.JSON_PARSE).alias("code"), F.col(text).alias("value"))
 
 
+def json_documents(texts: DataFrame, text: str) -> DataFrame:
+    """``document`` for every element of a file's array, or for the file's one object."""
+    items = F.try_variant_get(F.try_parse_json(F.col(text)), "$", "array<variant>")
+    parts = F.coalesce(F.transform(items, lambda item: F.to_json(item)), F.array(F.col(text)))
+    return texts.withColumn("document", F.explode(parts)).drop(text)
+
+
 def read_json_table(spark: SparkSession, path: str) -> DataFrame:
     """Files that hold one object or one array of objects, flattened.
 
     Text that is no JSON raises ``E_JSON_PARSE``; an array of plain values is the column ``value``.
     """
     texts = spark.read.option("wholetext", True).text(path)
-    broken = json_errors(texts, "value")
-    if not broken.isEmpty():
+    if not json_errors(texts, "value").isEmpty():
         raise ValueError(f"{errors.JSON_PARSE}: {path}")
-    items = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
-    parts = F.coalesce(F.transform(items, lambda item: F.to_json(item)), F.array("value"))
-    documents = texts.select(F.explode(parts).alias("document"))
-    return flatten_json(documents, "document")
+    return flatten_json(json_documents(texts, "value"), "document")
+
+
+# Type classes of the types a JSON value takes; what is not listed is an object.
+_JSON_CLASSES = {
+    "BIGINT": "int", "DECIMAL": "float", "DOUBLE": "float", "BOOLEAN": "bool", "STRING": "string", "VOID": "string",
+}
+_LEAVES = "ARRAY<STRUCT<name: STRING, kind: STRING>>"
+
+
+def json_leaves(ddl: str) -> list[dict[str, str]]:
+    """Dotted names and classes of a type such as ``OBJECT<a: BIGINT, b: OBJECT<c: STRING>>``."""
+    tokens = re.findall(r"`(?:[^`]|``)*`|\w+(?:\([\d, ]+\))?|[<>]", ddl)
+    leaves: list[dict[str, str]] = []
+
+    def skip(at: int) -> int:
+        depth = 0
+        while True:
+            depth += {"<": 1, ">": -1}.get(tokens[at], 0)
+            at += 1
+            if depth == 0:
+                return at
+
+    def walk(at: int, name: str) -> int:
+        word, nested = tokens[at], tokens[at + 1 : at + 2] == ["<"]
+        if word == "OBJECT" and nested and tokens[at + 2] != ">":
+            at += 2
+            while tokens[at] != ">":
+                field = tokens[at].strip("`").replace("``", "`")
+                at = walk(at + 1, f"{name}.{field}" if name else field)
+            return at + 1
+        kind = _JSON_CLASSES.get(word.split("(")[0], "object")
+        leaves.append({"name": name or "value", "kind": kind})
+        return skip(at + 1) if nested else at + 1
+
+    walk(0, "")
+    return leaves
+
+
+@F.pandas_udf(_LEAVES)
+def _leaves_of(types: pd.Series) -> pd.Series:
+    return types.map(json_leaves)
+
+
+def json_file_schemas(texts: DataFrame, text: str, *keys: str) -> DataFrame:
+    """``keys, n_rows, columns, dtypes, schema_fingerprint`` of any number of JSON files in one job.
+
+    The type is merged by a partial aggregation, so a file with very many documents is no hot spot;
+    the UDF sees one short type per file.
+    """
+    typed = (
+        json_documents(texts.select(*keys, text), text)
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n_rows"), _merged_type(F.col("document")).alias("ddl"))
+        .select(*keys, "n_rows", _leaves_of("ddl").alias("leaves"))
+    )
+    return typed.select(
+        *keys,
+        "n_rows",
+        F.col("leaves.name").alias("columns"),
+        F.map_from_entries("leaves").alias("dtypes"),
+    ).withColumn("schema_fingerprint", schema_fingerprint(F.col("columns"), F.col("dtypes")))
 
 
 def suffix_of(path: str) -> str:

@@ -77,6 +77,37 @@ PREDICTED = SPLIT + """,
 line AS (SELECT regr_slope(score_diff, items) AS a, regr_intercept(score_diff, items) AS b FROM split WHERE split = 'train'),
 predicted AS (SELECT split, season, CAST(score_diff AS DOUBLE) AS y, a * items + b AS p FROM split, line)"""
 
+# Ridge with penalty 1 on centred sums; a dropped feature has weight 0.
+RIDGE = SPLIT + """,
+means AS (
+  SELECT count(*) AS n, avg(is_home) AS mh, avg(items) AS mi, avg(score_diff) AS my FROM split WHERE split = 'train'
+),
+sums AS (
+  SELECT mh, mi, my, 1 + sum((is_home - mh) ** 2) AS hh, 1 + sum((items - mi) ** 2) AS ii,
+    sum((is_home - mh) * (items - mi)) AS hi, sum((is_home - mh) * (score_diff - my)) AS hy,
+    sum((items - mi) * (score_diff - my)) AS iy
+  FROM split, means WHERE split = 'train' GROUP BY mh, mi, my
+),
+weights AS (
+  SELECT '' AS dropped, (hy * ii - iy * hi) / (hh * ii - hi * hi) AS wh, (iy * hh - hy * hi) / (hh * ii - hi * hi) AS wi, mh, mi, my FROM sums
+  UNION ALL SELECT 'items', hy / hh, 0, mh, mi, my FROM sums
+  UNION ALL SELECT 'is_home', 0, iy / ii, mh, mi, my FROM sums
+),
+ridge AS (
+  SELECT dropped, split, season, CAST(score_diff AS DOUBLE) AS y, my + wh * (is_home - mh) + wi * (items - mi) AS p
+  FROM split, weights
+),
+ridge_scores AS (
+  SELECT dropped, CASE WHEN grouping(season) = 1 THEN 'overall' ELSE 'season' END AS segment_kind, coalesce(season, 'overall') AS segment,
+    avg((y - p) * (y - p)) AS mse, avg(abs(y - p)) AS mae, 1 - avg((y - p) * (y - p)) / var_pop(y) AS r2
+  FROM ridge WHERE split = 'test' GROUP BY GROUPING SETS ((dropped, season), (dropped))
+),
+ridge_long AS (
+  SELECT dropped, segment_kind, segment, 'mse' AS metric, mse AS value FROM ridge_scores
+  UNION ALL SELECT dropped, segment_kind, segment, 'mae', mae FROM ridge_scores
+  UNION ALL SELECT dropped, segment_kind, segment, 'r2', r2 FROM ridge_scores
+)"""
+
 SCORES = """count(*) AS n, round(avg((y - p) * (y - p)), 6) AS mse, round(avg(abs(y - p)), 6) AS mae,
   round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2"""
 
@@ -356,6 +387,22 @@ def sql() -> dict[str, str]:
 UNION ALL SELECT 'season', season, {SCORES} FROM predicted WHERE split = 'test' GROUP BY season""",
         ),
         "profile_table": "\nUNION ALL\n".join(_profile(t, c) for t, c in TABLES.items()),
+        "ridge_regress": _with(
+            RIDGE,
+            "SELECT segment_kind, segment, metric, round(value, 6) AS value FROM ridge_long WHERE dropped = ''",
+        ),
+        "train_eval": _with(
+            RIDGE,
+            f"""SELECT 'linear' AS model_type, 'regression' AS task, 2 AS n_features, 'is_home,items' AS features, split, {SCORES}
+FROM ridge WHERE dropped = '' AND split <> 'test' GROUP BY split""",
+        ),
+        "drop_ablation": _with(
+            RIDGE,
+            """SELECT r.dropped, segment_kind, segment, metric, round(r.value, 6) AS value, round(b.value, 6) AS baseline,
+  round(r.value - b.value, 6) AS delta
+FROM ridge_long r JOIN (SELECT * EXCLUDE (dropped) FROM ridge_long WHERE dropped = '') b USING (segment_kind, segment, metric)
+WHERE r.dropped <> ''""",
+        ),
         "null_fraction": _with(
             GAPS,
             f"SELECT table_name, column_name, null_fraction FROM ({_profile('gaps', GAP_COLUMNS, 'events')})",
