@@ -5,6 +5,7 @@ Fetching is not part of this: files are on storage, and what a fetcher could not
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -69,16 +70,30 @@ def plan_release(
 def plan_tree(
     pairs: DataFrame, match_rows: DataFrame | None, location: Mapping[str, str]
 ) -> DataFrame:
-    """Catalog file, one match file per pair and, once those are stored, three files per match."""
+    """Catalog file, one match file per pair and, once those are stored, three files per match.
+
+    ``ordinal`` orders by step, then by the numbers of pair or match.
+    """
     root = pairs.sparkSession.createDataFrame([("competitions",)], "name STRING")
-    parts = [catalog.plan_catalog(root, **location), catalog.plan_pair_files(pairs, **location)]
+    none = F.lit(0).cast("long")
+    steps = [
+        (catalog.plan_catalog(root, **location), none, none),
+        (catalog.plan_pair_files(pairs, **location), F.col("competition_id"), F.col("season_id")),
+    ]
     if match_rows is not None:
-        parts.append(catalog.artifact_fanout(catalog.extract_ids(match_rows), **location))
-    rows = [
-        part.withColumn("ordinal", F.struct(F.lit(i).alias("step"), F.col("logical_name").alias("name")))
-        for i, part in enumerate(parts)
+        kinds = F.array(*[F.lit(group) for group, _, _ in catalog.MATCH_ARTIFACTS])
+        files = catalog.artifact_fanout(catalog.extract_ids(match_rows), **location)
+        steps.append((files, F.col("match_id"), F.array_position(kinds, F.col("group"))))
+    parts = [
+        items.withColumn(
+            "ordinal",
+            F.struct(
+                F.lit(i).alias("step"), first.cast("long").alias("first"), second.cast("long").alias("second")
+            ),
+        ).select(*PLAN_COLUMNS)
+        for i, (items, first, second) in enumerate(steps)
     ]
-    return reduce(DataFrame.unionByName, [r.select(*PLAN_COLUMNS) for r in rows])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def item_outcomes(
@@ -108,65 +123,75 @@ def item_outcomes(
     )
 
 
+_ENTRY = {
+    "n_rows": "bigint",
+    "columns": "array<string>",
+    "dtypes": "map<string,string>",
+    "null_fraction": "map<string,double>",
+    "basic_stats": "map<string,struct<min:double,max:double,mean:double,std:double>>",
+    "schema_fingerprint": "string",
+    "note": "string",
+}
+
+
 def stored_schemas(spark: SparkSession, root: str, plan: DataFrame, inventory: DataFrame) -> DataFrame:
     """Schema entries of the stored plan items, with ``note`` where a file gives none.
 
-    JSON files, of which a plan can hold millions, share one job. Tables (CSV, Parquet) are one per
-    dataset and season and each is a Spark job of its own.
+    JSON files, of which a plan can hold millions, share one job and carry no statistics. Tables (CSV,
+    Parquet) are one per dataset and season; each has one aggregation of its own.
     """
-    stored = plan.join(inventory.select("dest_path"), "dest_path", "left_semi")
     about = ["dest_path", "ordinal", "group"]
-    json_items = stored.where(F.lower("dest_path").endswith(".json")).select(*about)
+    stored = plan.join(inventory.select("dest_path"), "dest_path", "left_semi").select(*about)
+    suffix = F.lower(F.regexp_extract("dest_path", r"(\.[^./]+)$", 1))
     texts = (
         spark.read.option("wholetext", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.[jJ][sS][oO][nN]")
         .text(root)
         .select(relative_path(F.col("_metadata.file_path"), root).alias("dest_path"), "value")
-        .join(json_items, "dest_path")
+        .join(stored.where(suffix == ".json"), "dest_path")
     )
     broken = F.try_parse_json("value").isNull()
-    nothing = F.lit(None).cast("string")
     entries = [
-        tables.json_file_schemas(texts.where(~broken), "value", *about).withColumn("note", nothing),
-        _noted(texts.where(broken), errors.JSON_PARSE),
+        _entry(tables.json_file_schemas(texts.where(~broken), "value", *about), about),
+        _noted(texts.where(broken), about, errors.JSON_PARSE),
+        _noted(stored.where(~suffix.isin(".json", ".csv", ".parquet")), about, "unsupported extension"),
     ]
-    others = stored.where(~F.lower("dest_path").endswith(".json"))
-    tabular = F.lower("dest_path").endswith(".csv") | F.lower("dest_path").endswith(".parquet")
-    entries.append(_noted(others.where(~tabular), "unsupported extension"))
-    for item in others.where(tabular).select(*about).toLocalIterator():
+    for item in stored.where(suffix.isin(".csv", ".parquet")).toLocalIterator():
         table, note = tables.read_table(spark, f"{root}/{item['dest_path']}")
-        one = spark.createDataFrame([item], others.select(*about).schema)
         if table is None:
-            entries.append(_noted(one, note))
-            continue
-        columns, dtypes = profile.schema_of(table)
-        entries.append(
-            one.select(
-                *about,
-                F.lit(table.count()).alias("n_rows"),
-                F.array(*[F.lit(c) for c in columns]).alias("columns"),
-                F.create_map(*[F.lit(x) for pair in dtypes.items() for x in pair]).alias("dtypes"),
-                F.lit(profile.fingerprint_of(columns, dtypes)).alias("schema_fingerprint"),
-                nothing.alias("note"),
-            )
-        )
+            entries.append(_noted(spark.createDataFrame([item], stored.schema), about, note))
+        else:
+            found = profile.schema_entry(table, item["dest_path"]).drop("group", "ordinal", "table_name")
+            keyed = found.withColumn("about", F.from_json(F.lit(json.dumps(item.asDict(True))), stored.schema))
+            entries.append(_entry(keyed.select("about.*", *found.columns), about))
     return reduce(DataFrame.unionByName, entries).withColumn(
         "table_name", F.element_at(F.split("dest_path", "/"), -1)
     )
 
 
-def _noted(items: DataFrame, note: str) -> DataFrame:
-    return items.select(
-        "dest_path", "ordinal", "group",
-        F.lit(0).cast("long").alias("n_rows"),
-        F.array().cast("array<string>").alias("columns"),
-        F.create_map().cast("map<string,string>").alias("dtypes"),
-        F.lit(profile.fingerprint_of([], {})).alias("schema_fingerprint"),
-        F.lit(note).alias("note"),
+def _entry(rows: DataFrame, about: list[str]) -> DataFrame:
+    """All columns of an entry; what ``rows`` lacks is null."""
+    return rows.select(
+        *about,
+        *[
+            (F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name)
+            for name, kind in _ENTRY.items()
+        ],
     )
 
 
+def _noted(items: DataFrame, about: list[str], note: str) -> DataFrame:
+    empty = {
+        "n_rows": F.lit(0),
+        "columns": F.array().cast("array<string>"),
+        "dtypes": F.create_map().cast("map<string,string>"),
+        "schema_fingerprint": F.lit(profile.fingerprint_of([], {})),
+        "note": F.lit(note),
+    }
+    return _entry(items.select(*about).withColumns(empty), about)
+
+
 def _record(spark: SparkSession, request: RunRequest, statuses: DataFrame) -> DataFrame:
     row = (
         request.run_id, request.started_at_utc, request.finished_at_utc, request.source, request.ref,
@@ -237,7 +262,8 @@ def _one_run(spark: SparkSession, run_id: str, counters: DataFrame) -> DataFrame
 
 
 def _dry_run(spark: SparkSession, request: RunRequest, plan: DataFrame) -> RunResult:
-    nothing = _noted(plan.limit(0), "").withColumn("table_name", F.lit(""))
+    about = ["dest_path", "ordinal", "group"]
+    nothing = _noted(plan.where(F.lit(False)), about, "").withColumn("table_name", F.lit(""))
     counters = _one_run(
         spark, request.run_id,
         spark.createDataFrame(
