@@ -23,6 +23,11 @@ def _planned(plan: DataFrame) -> DataFrame:
     return plan.where(F.coalesce("dest_path", F.lit("")) != "")
 
 
+def paths_to_check(plan: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Every path the checks below ask about."""
+    return _planned(plan).select("dest_path").union(ledger.select("dest_path")).distinct()
+
+
 def first_per_path(plan: DataFrame) -> DataFrame:
     """The first item of each path in plan order and how many there are, by partial aggregation."""
     item = F.struct("logical_name", "group", "optional")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspark.runtime import col
+from driftspark.runtime import col, shuffle_tasks
 
 SPLITS = ("train", "val", "test")
 
@@ -183,7 +183,7 @@ def _spread_copies(copies: DataFrame, columns: Sequence[str], firsts: list[Colum
             *quoted, "split", "copies",
             F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPY_CHUNK})")).alias("piece"),
         )
-        .repartition("split", "piece")
+        .repartition(shuffle_tasks(copies.sparkSession), "split", "piece")
     )
     size = F.least(F.lit(COPY_CHUNK), F.col("copies") - F.col("piece") * COPY_CHUNK)
     return (

@@ -17,7 +17,7 @@ from driftspark.functions import errors, text
 from driftspark.operators import catalog, drift, ledger, profile, runs
 from driftspark.runtime import materialize
 from driftspark.sources import tables
-from driftspark.sources.files import relative_path
+from driftspark.sources.files import file_inventory, scanned_path
 
 PLAN_COLUMNS = [
     "ordinal", "logical_name", "url", "dest_path", "expected_type", "expected_size_bytes", "sha256", "group",
@@ -148,7 +148,7 @@ def stored_schemas(spark: SparkSession, root: str, plan: DataFrame, inventory: D
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.[jJ][sS][oO][nN]")
         .text(root)
-        .select(relative_path(F.col("_metadata.file_path"), root).alias("dest_path"), "value")
+        .select(scanned_path(root).alias("dest_path"), "value")
         .join(stored.where(suffix == ".json"), "dest_path")
     )
     broken = F.try_parse_json("value").isNull()
@@ -207,12 +207,13 @@ def _record(spark: SparkSession, request: RunRequest, statuses: DataFrame) -> Da
 
 def ingest(
     spark: SparkSession, request: RunRequest, plan: DataFrame, known_before: DataFrame,
-    inventory: DataFrame, failures: DataFrame, root: str,
+    failures: DataFrame, root: str,
 ) -> RunResult:
     """Account for a run whose files are on storage below ``root``.
 
     Unsafe destinations stop it before anything else; a dry run records the plan and nothing more.
-    ``plan``, ``inventory`` and the outcomes are written once, because several results read them.
+    Plan, inventory and outcomes are written once, because several results read them; so each file is
+    hashed once.
     """
     plan = materialize(plan.select(*PLAN_COLUMNS), "plan")
     unsafe = ledger.unsafe_paths(plan.where(F.coalesce("dest_path", F.lit("")) != ""))
@@ -220,7 +221,7 @@ def ingest(
         raise ValueError(f"{errors.UNSAFE_DEST_PATH}: {unsafe.first()['dest_path']}")
     if request.dry_run:
         return _dry_run(spark, request, plan)
-    inventory = materialize(inventory, "inventory")
+    inventory = materialize(file_inventory(plan, root), "inventory")
     outcomes = materialize(
         runs.optional_policy(
             item_outcomes(plan, known_before, inventory, failures, request.run_id), request.require_360

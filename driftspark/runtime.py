@@ -44,3 +44,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shuffle_tasks(spark: SparkSession) -> int:
+    """Tasks for work whose cost its input size does not show, such as rows that expand or name files.
+
+    Given as a number to ``repartition``, it is not coalesced by adaptive execution.
+    """
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )

@@ -7,78 +7,73 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Files up to this size are hashed from their bytes in the row, larger ones block by block.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
+from driftspark.functions.text import is_safe_path
+from driftspark.runtime import shuffle_tasks
+
 # Fixed value: block size of the streamed hash.
 HASH_BLOCK = 1024 * 1024
 
-_LISTED = "dest_path STRING, sha256 STRING, size_bytes BIGINT, mtime_utc STRING"
+INVENTORY_SCHEMA = "dest_path STRING, sha256 STRING, size_bytes BIGINT, mtime_utc STRING"
+
+_PLACE = r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/]*)?"
+# Scheme names of the JVM that differ from those of the Python file systems.
+_SCHEMES = {"s3a:": "s3:", "s3n:": "s3:"}
 
 
 def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def _listing(spark: SparkSession, root: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    )
-
-
-def relative_path(path: Column, root: str) -> Column:
-    """Path below ``root``. A listed path carries a scheme, which ``root`` may lack."""
-    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-    bare_root = "/" + re.sub(scheme, "", root).strip("/") + "/"
-    # The listing escapes blanks and the like.
-    bare = F.regexp_replace(path, scheme, "")
-    return F.substr(F.regexp_replace(bare, "^/+", "/"), F.lit(len(bare_root) + 1))
+def scanned_path(root: str) -> Column:
+    """Path below ``root`` of the file a row was read from; the scan gives it with a scheme, escaped."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    base = "/" + re.sub(_PLACE, "", root).strip("/") + "/"
+    return F.substr(F.regexp_replace(path, _PLACE, ""), F.lit(len(base) + 1))
 
 
-def _hash_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _locate(root: str):
+    """File system and base path of ``root``; only scheme and host form a URI."""
     from pyarrow import fs
 
-    for batch in batches:
-        digests = []
-        for path in batch["path"]:
-            digest = hashlib.sha256()
-            uri = path if "://" in path else path.replace(":/", ":///", 1)
-            system, inner = fs.FileSystem.from_uri(uri)
-            with system.open_input_stream(inner) as stream:
-                while block := stream.read(HASH_BLOCK):
-                    digest.update(block)
-            digests.append(digest.hexdigest())
-        yield pd.DataFrame(
-            {
-                "dest_path": batch["dest_path"],
-                "sha256": digests,
-                "size_bytes": batch["size_bytes"],
-                "mtime_utc": batch["mtime_utc"],
-            }
-        )
-
-
-def file_inventory(spark: SparkSession, root: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """``dest_path`` (relative to ``root``), ``sha256, size_bytes, mtime_utc`` of every file below.
-
-    The size filter reaches the file source, so a large file is never loaded into a row: its hash is
-    streamed by a task of its own.
+    scheme, host = re.match(_PLACE, root).groups()
+    scheme = _SCHEMES.get(scheme, scheme or "file:")
+    system, base = fs.FileSystem.from_uri(f"{scheme}{host or '//'}/")
+    return system, base.rstrip("/") + re.sub(_PLACE, "", root).rstrip("/") + "/"
+
+
+def _hash_files(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = _locate(root)
+        for batch in batches:
+            found = []
+            for dest_path in batch["dest_path"]:
+                info = system.get_file_info(base + dest_path)
+                if info.type != fs.FileType.File:
+                    continue
+                digest = hashlib.sha256()
+                with system.open_input_stream(base + dest_path) as stream:
+                    while block := stream.read(HASH_BLOCK):
+                        digest.update(block)
+                stamp = info.mtime.strftime("%Y-%m-%dT%H:%M:%SZ") if info.mtime else None
+                found.append((dest_path, digest.hexdigest(), info.size, stamp))
+            yield pd.DataFrame(found, columns=["dest_path", "sha256", "size_bytes", "mtime_utc"])
+
+    return run
+
+
+def file_inventory(paths: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+    """``dest_path, sha256, size_bytes, mtime_utc`` of those ``paths`` that are files below ``root``.
+
+    Only paths someone asks about are looked up, in the tasks, so no folder is listed on the driver.
+    Files are read block by block: their size does not matter to memory. The number of tasks is given,
+    because paths are a few bytes each and adaptive execution would put them all into one.
+    Paths that leave ``root`` are never opened.
     """
-    about = [
-        relative_path(F.col("path"), root).alias("dest_path"),
-        F.col("length").alias("size_bytes"),
-        F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime_utc"),
-    ]
-    files = _listing(spark, root)
-    small = files.where(F.col("length") <= whole_file_bytes).select(
-        *about, content_hash(F.col("content")).alias("sha256")
-    )
-    large = (
-        files.where(F.col("length") > whole_file_bytes)
-        .select("path", *about)
-        .repartition("path")
-        .mapInPandas(_hash_stream, _LISTED)
-    )
-    return small.select("dest_path", "sha256", "size_bytes", "mtime_utc").unionByName(large)
+    wanted = paths.select("dest_path").where(is_safe_path(F.col("dest_path"))).distinct()
+    spread = wanted.repartition(tasks or shuffle_tasks(paths.sparkSession), "dest_path")
+    return spread.mapInPandas(_hash_files(root), INVENTORY_SCHEMA)

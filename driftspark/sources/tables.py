@@ -190,7 +190,7 @@ def read_json_table(spark: SparkSession, path: str) -> DataFrame:
 _JSON_CLASSES = {
     "BIGINT": "int", "DECIMAL": "float", "DOUBLE": "float", "BOOLEAN": "bool", "STRING": "string", "VOID": "string",
 }
-_LEAVES = "ARRAY<STRUCT<name: STRING, kind: STRING>>"
+_LEAVES = T.ArrayType(T.StructType().add("name", T.StringType()).add("kind", T.StringType()))
 
 
 def json_leaves(ddl: str) -> list[dict[str, str]]:

@@ -82,9 +82,8 @@ def test_topk_of_truth_values_and_nulls(table):
 
 def test_topk_is_limited_before_the_shuffle(table, plan_text):
     plan = plan_text(profile.topk_values(table), "simple")
-    partial = plan.index("Partial", plan.index("WindowGroupLimit"))
-    assert "row_number" in plan[plan.index("WindowGroupLimit"): partial] or partial > 0
-    assert "partial_count" in plan
+    limits = [line for line in plan.splitlines() if "WindowGroupLimit" in line]
+    assert any("Partial" in line for line in limits) and "partial_count" in plan
 
 
 def test_fingerprint_bytes(spark, table):
