@@ -25,7 +25,7 @@ def _planned(plan: DataFrame) -> DataFrame:
 
 def paths_to_check(plan: DataFrame, ledger: DataFrame) -> DataFrame:
     """Every path the checks below ask about."""
-    return _planned(plan).select("dest_path").union(ledger.select("dest_path")).distinct()
+    return _planned(plan).select("dest_path").union(ledger.select("dest_path"))
 
 
 def first_per_path(plan: DataFrame) -> DataFrame:

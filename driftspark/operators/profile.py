@@ -18,6 +18,7 @@ TOP_K = 10
 # Longer values are grouped by digest and their text is fetched for the winners only.
 LONG_VALUE = 256
 
+_TOPK_SCHEMA = "column_name STRING, value STRING, n BIGINT, position INT"
 _STATS = ("min", "max", "mean", "std")
 
 
@@ -58,12 +59,7 @@ def _stat(i: int, kind: str, name: str) -> Column:
     return F.col(f"{name}{i}") if _is_numeric(kind) else F.lit(None).cast("double")
 
 
-def profile_table(df: DataFrame, table_name: str, null_sensitive: bool = False) -> DataFrame:
-    """One row per column: position, class, row count, null fraction, min, max, mean, population std.
-
-    All columns share one aggregation. The class follows the schema, so a null never changes it;
-    ``null_sensitive`` widens the class of columns that hold nulls instead.
-    """
+def _column_rows(df: DataFrame, null_sensitive: bool = False) -> DataFrame:
     kinds = [(field.name, type_class(field.dataType)) for field in df.schema]
     entries = [
         F.struct(
@@ -71,12 +67,23 @@ def profile_table(df: DataFrame, table_name: str, null_sensitive: bool = False)
             F.lit(name).alias("column_name"),
             _class(i, kind, null_sensitive).alias("type_class"),
             F.col("n_rows").alias("n_rows"),
+            F.col(f"missing{i}").alias("n_missing"),
             _fraction(i).alias("null_fraction"),
             *[_stat(i, kind, s).alias(f"{s}_value") for s in _STATS],
         )
         for i, (name, kind) in enumerate(kinds)
     ]
-    return _one_pass(df).select(F.lit(table_name).alias("table_name"), F.inline(F.array(*entries)))
+    return _one_pass(df).select(F.inline(F.array(*entries)))
+
+
+def profile_table(df: DataFrame, table_name: str, null_sensitive: bool = False) -> DataFrame:
+    """One row per column: position, class, row count, null fraction, min, max, mean, population std.
+
+    All columns share one aggregation. The class follows the schema, so a null never changes it;
+    ``null_sensitive`` widens the class of columns that hold nulls instead.
+    """
+    rows = _column_rows(df, null_sensitive).drop("n_missing")
+    return rows.select(F.lit(table_name).alias("table_name"), "*")
 
 
 def null_fraction(df: DataFrame, table_name: str) -> DataFrame:
@@ -95,10 +102,9 @@ def numeric_stats(df: DataFrame, table_name: str) -> DataFrame:
 def coerced_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Statistics of text columns read as numbers; text that is no number is left out."""
     numbers = df.select(*[numeric_coerce(col(name)).alias(name) for name in columns])
-    stats = profile_table(numbers, "coerced")
-    valid = F.col("n_rows") - F.round(F.col("n_rows") * F.col("null_fraction")).cast("long")
-    return stats.select(
-        "column_name", "n_rows", valid.alias("n_numeric"), *[f"{s}_value" for s in _STATS]
+    n_numeric = F.col("n_rows") - F.col("n_missing")
+    return _column_rows(numbers).select(
+        "column_name", "n_rows", n_numeric.alias("n_numeric"), *[f"{s}_value" for s in _STATS]
     )
 
 
@@ -181,6 +187,8 @@ def topk_values(
     """
     kinds = {field.name: type_class(field.dataType) for field in df.schema}
     chosen = columns or [name for name, kind in kinds.items() if not _is_numeric(kind)]
+    if not chosen:
+        return df.sparkSession.createDataFrame([], _TOPK_SCHEMA)
     texts = df.select(*[_as_text(col(name), kinds[name]).alias(name) for name in chosen])
     values = texts.unpivot([], [col(name) for name in chosen], "column_name", "value")
     if null_label is None:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.operators import metrics, models
-from driftspark.operators.sides import SPORT_STATS, feature_drop, stats_of, two_sided_unpivot
+from driftspark.operators.sides import feature_drop, stats_of, two_sided_unpivot
 from driftspark.operators.split import time_split
 from driftspark.runtime import materialize
 
@@ -22,16 +22,17 @@ def team_rows(
 
 def build_dataset(
     games: DataFrame, sport_or_stats: str | Sequence[str], target: str = "win",
-    drop: Sequence[str] = (), train_ratio: float = 0.6, val_ratio: float = 0.2,
+    drop: Sequence[str] = (), train_ratio: float = 0.6, val_ratio: float = 0.2, landed: bool = False,
 ) -> DataFrame:
     """Team rows with ``split``.
 
-    The games are written once (half as many rows as the team rows); the counting passes of the split
-    and everything after read that table, column by column, instead of repeating the plan behind it.
+    The games are written once (half as many rows as the team rows), unless they are ``landed``, that
+    is read straight from a table; the counting passes of the split and everything after read that
+    table, column by column, instead of repeating the plan behind it.
     """
     stats = stats_of(sport_or_stats) if isinstance(sport_or_stats, str) else sport_or_stats
-    landed = materialize(games, "games")
-    return time_split(team_rows(landed, stats, target, drop), train_ratio, val_ratio)
+    stored = games if landed else materialize(games, "games")
+    return time_split(team_rows(stored, stats, target, drop), train_ratio, val_ratio)
 
 
 def rule_shift(split_rows: DataFrame, prediction: Column, task: str = "classification") -> DataFrame:
@@ -80,8 +81,3 @@ def one_feature_predictor(split_rows: DataFrame, feature: str) -> DataFrame:
         "prediction", F.lit(line["slope"]) * F.col(feature) + F.lit(line["intercept"])
     )
 
-
-__all__ = [
-    "SPORT_STATS", "TrainingResult", "build_dataset", "one_feature_predictor", "rule_shift",
-    "team_rows", "train",
-]

@@ -107,10 +107,6 @@ def read_csv_table(
     return typed_text(raw, null_tokens)
 
 
-def _merged_type(documents: Column) -> Column:
-    return F.schema_of_variant_agg(F.try_parse_json(documents))
-
-
 def _stored_type(found: T.DataType) -> T.DataType:
     """JSON numbers with a point are DOUBLE; a key that is null throughout is STRING."""
     if isinstance(found, T.DecimalType):
@@ -126,7 +122,8 @@ def _stored_type(found: T.DataType) -> T.DataType:
 
 def json_schema(rows: DataFrame, text: str) -> T.DataType:
     """Type that holds every JSON document of the column, merged in one aggregation."""
-    found = rows.agg(_merged_type(F.col(text)).alias("ddl")).first()["ddl"]
+    merged = F.schema_of_variant_agg(F.try_parse_json(F.col(text)))
+    found = rows.agg(merged.alias("ddl")).first()["ddl"]
     # OBJECT is the variant name of STRUCT.
     return _stored_type(T._parse_datatype_string((found or "VOID").replace("OBJECT<", "STRUCT<")))
 
@@ -168,11 +165,11 @@ def json_errors(rows: DataFrame, text: str) -> DataFrame:
     return rows.where(broken).select(F.lit(errors.JSON_PARSE).alias("code"), F.col(text).alias("value"))
 
 
-def json_documents(texts: DataFrame, text: str) -> DataFrame:
-    """``document`` for every element of a file's array, or for the file's one object."""
-    items = F.try_variant_get(F.try_parse_json(F.col(text)), "$", "array<variant>")
-    parts = F.coalesce(F.transform(items, lambda item: F.to_json(item)), F.array(F.col(text)))
-    return texts.withColumn("document", F.explode(parts)).drop(text)
+def json_items(texts: DataFrame, text: str) -> DataFrame:
+    """``item``, a VARIANT, for every element of a file's array, or for the file's one object."""
+    whole = F.try_parse_json(F.col(text))
+    items = F.try_variant_get(whole, "$", "array<variant>")
+    return texts.withColumn("item", F.explode(F.coalesce(items, F.array(whole)))).drop(text)
 
 
 def read_json_table(spark: SparkSession, path: str) -> DataFrame:
@@ -183,7 +180,8 @@ def read_json_table(spark: SparkSession, path: str) -> DataFrame:
     texts = spark.read.option("wholetext", True).text(path)
     if not json_errors(texts, "value").isEmpty():
         raise ValueError(f"{errors.JSON_PARSE}: {path}")
-    return flatten_json(json_documents(texts, "value"), "document")
+    documents = json_items(texts, "value").select(F.to_json("item").alias("document"))
+    return flatten_json(documents, "document")
 
 
 # Type classes of the types a JSON value takes; what is not listed is an object.
@@ -234,9 +232,9 @@ def json_file_schemas(texts: DataFrame, text: str, *keys: str) -> DataFrame:
     the UDF sees one short type per file.
     """
     typed = (
-        json_documents(texts.select(*keys, text), text)
+        json_items(texts.select(*keys, text), text)
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_rows"), _merged_type(F.col("document")).alias("ddl"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.schema_of_variant_agg("item").alias("ddl"))
         .select(*keys, "n_rows", _leaves_of("ddl").alias("leaves"))
     )
     return typed.select(
