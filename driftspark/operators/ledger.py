@@ -95,29 +95,53 @@ def path_states(
 ) -> DataFrame:
     """One row per path of plan or ledger with everything the integrity rules ask for.
 
-    All three frames meet on ``dest_path``; both checks read this one frame, so a file is hashed once.
+    The three frames are stacked and meet in one aggregation by ``dest_path``: one shuffle in place of
+    three joins, and a path with very many plan items is reduced before it. Both checks read the
+    result, so a file is hashed once.
     """
-    planned = first_per_path(plan).select(
-        "dest_path",
-        F.col("first.logical_name").alias("logical_name"),
-        F.col("first.group").alias("group"),
-        F.coalesce("first.optional", F.lit(False)).alias("optional"),
-        F.lit(True).alias("in_plan"),
-    )
-    recorded = ledger.select(
-        "dest_path", F.col("sha256").alias("expected"), F.lit(True).alias("in_ledger")
+    item = F.struct("logical_name", "group", "optional")
+    parts = {"item": None, "ordinal": None, "expected": None, "in_ledger": F.lit(False), "actual": None, "exists": F.lit(False)}
+    planned = _planned(plan).select("dest_path", item.alias("item"), "ordinal")
+    kinds = {f.name: f.dataType for f in planned.schema} | {"expected": "string", "actual": "string"}
+
+    def stacked(rows: DataFrame, **given: Column | str) -> DataFrame:
+        def value(name: str) -> Column:
+            if name in given:
+                return given[name] if isinstance(given[name], Column) else F.col(given[name])
+            default = parts[name]
+            return F.lit(None).cast(kinds[name]) if default is None else default
+
+        return rows.select("dest_path", *[value(name).alias(name) for name in parts])
+
+    everything = (
+        stacked(planned, item="item", ordinal="ordinal")
+        .unionByName(stacked(ledger, expected="sha256", in_ledger=F.lit(True)))
+        .unionByName(stacked(inventory, actual="sha256", exists=F.lit(True)))
     )
-    stored = inventory.select(
-        "dest_path", F.col("sha256").alias("actual"), F.lit(True).alias("exists")
+    states = (
+        everything.groupBy("dest_path")
+        .agg(
+            # Rows without an ordinal take no part in ``min_by``.
+            F.min_by("item", "ordinal").alias("first"),
+            (F.count("ordinal") > 0).alias("in_plan"),
+            F.max("expected").alias("expected"),
+            F.max("in_ledger").alias("in_ledger"),
+            F.max("actual").alias("actual"),
+            F.max("exists").alias("exists"),
+        )
+        .where(F.col("in_plan") | F.col("in_ledger"))
     )
-    promoted = F.lit(require_360) & (F.coalesce("group", F.lit("")) == THREE_SIXTY)
-    flags = {name: F.coalesce(name, F.lit(False)) for name in ("in_plan", "in_ledger", "exists")}
-    return (
-        planned.join(recorded, "dest_path", "full")
-        .join(stored, "dest_path", "left")
-        .withColumns(flags)
-        .withColumn("required", F.col("in_plan") & (~F.col("optional") | promoted))
-        .withColumn("safe", is_safe_path(F.col("dest_path")))
+    optional = F.coalesce("first.optional", F.lit(False))
+    promoted = F.lit(require_360) & (F.coalesce("first.group", F.lit("")) == THREE_SIXTY)
+    return states.select(
+        "dest_path",
+        F.col("first.logical_name").alias("logical_name"),
+        "in_ledger",
+        "exists",
+        "expected",
+        "actual",
+        (F.col("in_plan") & (~optional | promoted)).alias("required"),
+        is_safe_path(F.col("dest_path")).alias("safe"),
     )
 
 

@@ -205,9 +205,11 @@ def topk_values(
     counts = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), "head", "digest")
     winners = counts.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    # Without long winners the broadcast side is empty and adaptive execution skips this scan.
+    long_keys = winners.where("digest <> ''").select(*key)
     long_texts = (
         keyed.where("digest <> ''")
-        .join(F.broadcast(winners.select(*key)), key, "left_semi")
+        .join(F.broadcast(long_keys), key, "left_semi")
         .groupBy(*key)
         .agg(F.min("value").alias("whole"))
     )
