@@ -14,25 +14,21 @@ from driftspark.operators.split import time_split
 from driftspark.runtime import materialize
 
 
-def team_rows(
-    games: DataFrame, stats: Sequence[str], target: str = "win", drop: Sequence[str] = ()
-) -> DataFrame:
-    return feature_drop(two_sided_unpivot(games, stats, target), drop)
-
-
 def build_dataset(
     games: DataFrame, sport_or_stats: str | Sequence[str], target: str = "win",
     drop: Sequence[str] = (), train_ratio: float = 0.6, val_ratio: float = 0.2, landed: bool = False,
 ) -> DataFrame:
-    """Team rows with ``split``.
+    """Team rows with ``split``, without the dropped features.
 
+    Rows are split before features are dropped, so a drop never moves a row to another split.
     The games are written once (half as many rows as the team rows), unless they are ``landed``, that
     is read straight from a table; the counting passes of the split and everything after read that
     table, column by column, instead of repeating the plan behind it.
     """
     stats = stats_of(sport_or_stats) if isinstance(sport_or_stats, str) else sport_or_stats
     stored = games if landed else materialize(games, "games")
-    return time_split(team_rows(stored, stats, target, drop), train_ratio, val_ratio)
+    rows = two_sided_unpivot(stored, stats, target)
+    return feature_drop(time_split(rows, train_ratio, val_ratio), drop)
 
 
 def rule_shift(split_rows: DataFrame, prediction: Column, task: str = "classification") -> DataFrame:

@@ -108,6 +108,29 @@ ridge_long AS (
   UNION ALL SELECT dropped, segment_kind, segment, 'r2', r2 FROM ridge_scores
 )"""
 
+# Newton steps for the penalized likelihood; rows with the same feature value share a term.
+LOGIT = SPLIT + f""",
+cells AS (SELECT CAST(items AS DOUBLE) AS x, CAST(sum(win) AS DOUBLE) AS wins, CAST(count(*) AS DOUBLE) AS n FROM split WHERE split = 'train' GROUP BY items),
+newton(step, w, b) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, w - (gw * hbb - gb * hwb) / (hww * hbb - hwb * hwb), b - (gb * hww - gw * hwb) / (hww * hbb - hwb * hwb)
+  FROM (
+    SELECT step, w, b, w + sum((n * p - wins) * x) AS gw, sum(n * p - wins) AS gb,
+      1 + sum(n * p * (1 - p) * x * x) AS hww, sum(n * p * (1 - p) * x) AS hwb, sum(n * p * (1 - p)) AS hbb
+    FROM (SELECT step, w, b, x, wins, n, 1 / (1 + exp(-(w * x + b))) AS p FROM newton, cells WHERE step < 20)
+    GROUP BY step, w, b
+  )
+),
+logit AS (
+  SELECT season, win AS y, CAST(w * items + b > 0 AS INTEGER) AS p FROM split, (SELECT * FROM newton WHERE step = 20) WHERE split = 'test'
+),
+logit_counts AS (
+  SELECT 'overall' AS segment_kind, 'overall' AS segment, {CONFUSION} FROM logit
+  UNION ALL SELECT 'season', season, {CONFUSION} FROM logit GROUP BY season
+),
+logit_shift AS (SELECT segment_kind, segment, {BINARY} FROM logit_counts)"""
+
 SCORES = """count(*) AS n, round(avg((y - p) * (y - p)), 6) AS mse, round(avg(abs(y - p)), 6) AS mae,
   round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2"""
 
@@ -337,7 +360,8 @@ PINNED = """refs AS (
 
 
 def _with(ctes: str, query: str) -> str:
-    return f"WITH {ctes.strip()}\n{query}"
+    recursive = "RECURSIVE " if "newton(" in ctes else ""
+    return f"WITH {recursive}{ctes.strip()}\n{query}"
 
 
 def sql() -> dict[str, str]:
@@ -387,6 +411,13 @@ def sql() -> dict[str, str]:
 UNION ALL SELECT 'season', season, {SCORES} FROM predicted WHERE split = 'test' GROUP BY season""",
         ),
         "profile_table": "\nUNION ALL\n".join(_profile(t, c) for t, c in TABLES.items()),
+        "logit_classify": _with(
+            LOGIT,
+            "\nUNION ALL\n".join(
+                f"SELECT segment_kind, segment, '{m}' AS metric, {m} AS value FROM logit_shift"
+                for m in ("accuracy", "precision", "recall", "f1")
+            ),
+        ),
         "ridge_regress": _with(
             RIDGE,
             "SELECT segment_kind, segment, metric, round(value, 6) AS value FROM ridge_long WHERE dropped = ''",

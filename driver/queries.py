@@ -410,6 +410,8 @@ def pinned_gate(spark, sf):
 
 # What is left are ``is_home`` and ``items``: two features have a closed form in SQL.
 BUT_TWO = ("returns", "disc", "opp_items", "opp_returns", "opp_disc")
+# One feature and an intercept take a short Newton iteration in SQL.
+BUT_ONE = ("is_home", *BUT_TWO)
 
 
 def _model(spark, sf, target, model_type, drop=()):
@@ -422,6 +424,10 @@ def rf_classify(spark, sf):
 
 
 def logit_classify(spark, sf):
+    return _model(spark, sf, "win", "linear", BUT_ONE)
+
+
+def logit_classify_all(spark, sf):
     return _model(spark, sf, "win", "linear")
 
 
@@ -459,6 +465,7 @@ ALL: list[Query] = [
     ambiguous_candidates, scope_violations, expand_scope, expand_pairs, plan_pair_files, extract_ids,
     artifact_fanout, content_hash, skip_known, ledger_upsert, integrity_required, integrity_sweep,
     integrity_report, duplicate_paths, unsafe_paths, optional_policy, run_counters, run_status, run_record,
-    audit_rollup, attribution_lookup, pinned_gate, rf_classify, logit_classify, rf_regress, ridge_regress,
+    audit_rollup, attribution_lookup, pinned_gate, rf_classify, logit_classify, logit_classify_all,
+    rf_regress, ridge_regress,
     ridge_regress_all, train_eval, drop_ablation,
 ]

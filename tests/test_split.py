@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftspark.operators import split
+from driftspark.plans.training import build_dataset
 
 
 def frame(spark, rows):
@@ -118,6 +119,22 @@ def test_counting_window_runs_over_buckets_only(spark, plan_text):
     assert plan.rindex("SinglePartition") < plan.index("partial_count")
 
 
+def test_a_drop_moves_no_row(spark):
+    """A cut between the two sides of a game stays where it is without ``is_home``."""
+    games = spark.createDataFrame(
+        [(f"g{i}", "2021", f"2021-01-{i + 1:02d}", "A", "B", i, 3, i, 2 * i) for i in range(13)],
+        "game_id STRING, season STRING, date STRING, home_team STRING, away_team STRING, home_score INT, "
+        "away_score INT, home_x INT, away_x INT",
+    )
+    whole = build_dataset(games, ["x"])
+    dropped = build_dataset(games, ["x"], drop=["is_home", "x"])
+    assert dropped.columns == [c for c in whole.columns if c not in ("is_home", "x")]
+    pick = ["game_id", "team", "split"]
+    assert whole.select(pick).exceptAll(dropped.select(pick)).count() == 0
+    straddling = whole.groupBy("game_id").agg(F.count_distinct("split").alias("n")).where("n > 1")
+    assert straddling.count() > 0
+
+
 def test_sizes(spark):
     rows = split.time_split(frame(spark, both_sides(10, lambda d: 5)))
     sizes = {r["split"]: (r["n_rows"], r["n_features"]) for r in split.split_sizes(rows, 2).collect()}
