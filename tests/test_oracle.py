@@ -5,7 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = "/root/testdata/sf0.01"
+SMOKE_DIR = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -47,7 +48,7 @@ def test_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF_DIR).count() > 0
+    assert QUERIES[name](spark, SMOKE_DIR).count() > 0
 
 
 def test_entry(spark):
