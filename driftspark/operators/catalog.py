@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftspark.functions import errors
 from driftspark.functions.errors import violations
 from driftspark.functions.text import expected_type
+from driftspark.operators.lookup import join_lookup, key_counts
 
 # Dataset alias -> asset name pattern; group 1 is the season.
 DATASET_PATTERNS = {
@@ -138,7 +139,9 @@ def resolve_assets(
     single = {
         field: F.when(n == 1, F.col(f"asset.{field}")).alias(field) for field in ("name", "url", "size")
     }
-    return requests.join(matches, ["dataset", "season"], "left").select(
+    keys = ["dataset", "season"]
+    found = join_lookup(requests, matches, keys, key_counts(requests, keys), spread_by="ordinal")
+    return found.select(
         *requests.columns, n.alias("n_assets"), status.alias("status"), *single.values()
     )
 
@@ -157,9 +160,14 @@ def ambiguous_candidates(
     resolved: DataFrame, listing: DataFrame, patterns: Mapping[str, str] = DATASET_PATTERNS
 ) -> DataFrame:
     """Every candidate name of each ambiguous request, one per row."""
-    keys = resolved.where(F.col("status") == "ambiguous").select("dataset", "season").distinct()
-    return match_listing(listing, patterns).join(keys, ["dataset", "season"], "left_semi").select(
-        "dataset", "season", "name", F.lit(errors.AMBIGUOUS_MATCH).alias("code")
+    keys = ["dataset", "season"]
+    wanted = resolved.where(F.col("status") == "ambiguous").select(*keys).distinct()
+    matches = match_listing(listing, patterns)
+    marked = wanted.withColumn("is_wanted", F.lit(True))
+    return (
+        join_lookup(matches, marked, keys, key_counts(matches, keys), spread_by="name")
+        .where("is_wanted")
+        .select(*keys, "name", F.lit(errors.AMBIGUOUS_MATCH).alias("code"))
     )
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftspark.operators.lookup import join_lookup
+
 DEFAULT_GROUP = "default"
 
 
@@ -48,9 +50,10 @@ def column_diffs(entries: DataFrame) -> DataFrame:
     """
     added = F.array_sort(F.array_except("columns", "first.columns"))
     removed = F.array_sort(F.array_except("first.columns", "columns"))
+    firsts = group_baselines(entries)
+    counts = firsts.select("group", F.col("n_tables").alias("n"))
     return (
-        with_group(entries)
-        .join(group_baselines(entries), "group")
+        join_lookup(with_group(entries), firsts.drop("n_tables"), ["group"], counts, spread_by="ordinal")
         .where(F.col("ordinal") != F.col("first_ordinal"))
         .select(
             "group",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from driftspark.functions import errors
 from driftspark.functions.errors import violations
 from driftspark.functions.text import is_safe_path
+from driftspark.operators.lookup import join_lookup, key_counts
 
 # Fixed value: the group that stops being optional on request.
 THREE_SIXTY = "three-sixty"
@@ -44,15 +45,18 @@ def first_per_path(plan: DataFrame) -> DataFrame:
 
 def duplicate_paths(plan: DataFrame) -> DataFrame:
     """One row per repeated item, naming it and the item that came first."""
-    repeated = first_per_path(plan).where(F.col("n_items") > 1)
+    firsts = first_per_path(plan)
+    lookup = firsts.where(F.col("n_items") > 1).select(
+        "dest_path", F.col("first.logical_name").alias("logical_name_a"), "first_ordinal"
+    )
+    counts = firsts.select("dest_path", F.col("n_items").alias("n"))
     return (
-        _planned(plan)
-        .join(repeated, "dest_path")
+        join_lookup(_planned(plan), lookup, ["dest_path"], counts, spread_by="logical_name")
         .where(F.col("ordinal") != F.col("first_ordinal"))
         .select(
             F.lit(errors.JSON_PARSE).alias("code"),
             "dest_path",
-            F.col("first.logical_name").alias("logical_name_a"),
+            "logical_name_a",
             F.col("logical_name").alias("logical_name_b"),
         )
     )
@@ -71,7 +75,10 @@ def skip_known(plan: DataFrame, ledger: DataFrame, inventory: DataFrame) -> Data
     known = hashed.join(inventory.select("dest_path"), "dest_path", "left_semi").withColumn(
         "known", F.lit(True)
     )
-    return plan.join(known, "dest_path", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    counts = key_counts(plan, ["dest_path"])
+    return join_lookup(plan, known, ["dest_path"], counts, spread_by="logical_name").withColumn(
+        "known", F.coalesce("known", F.lit(False))
+    )
 
 
 def ledger_upsert(ledger: DataFrame, new: DataFrame) -> DataFrame:

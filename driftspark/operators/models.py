@@ -50,6 +50,8 @@ def _forest(task: str, seed: int) -> Estimator:
     shared = dict(
         featuresCol=_VECTOR, labelCol=TARGET, numTrees=TREES, maxDepth=DEPTH, seed=seed,
         maxMemoryInMB=FOREST_MEMORY_MB,
+        # Rows remember their node in each tree instead of walking down the trees on every pass.
+        cacheNodeIds=True,
     )
     if task == "classification":
         return RandomForestClassifier(featureSubsetStrategy="sqrt", **shared)

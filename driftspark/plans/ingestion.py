@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from driftspark.functions import errors, text
 from driftspark.operators import catalog, drift, ledger, profile, runs
+from driftspark.operators.lookup import join_lookup, key_counts
 from driftspark.runtime import materialize
 from driftspark.sources import tables
 from driftspark.sources.files import file_inventory, scanned_path
@@ -104,22 +105,32 @@ def item_outcomes(
     ``failures`` has ``dest_path, error_code``, one row per path. An item that is neither stored nor
     named there counts as not found.
     """
-    stored = inventory.select("dest_path", F.lit(True).alias("stored"))
-    return (
-        ledger.skip_known(plan.where(F.coalesce("url", F.lit("")) != ""), known_before, inventory)
-        .join(stored, "dest_path", "left")
-        .join(failures.select("dest_path", F.col("error_code").alias("reported")), "dest_path", "left")
-        .select(
-            F.lit(run_id).alias("run_id"),
-            "logical_name",
-            "dest_path",
-            "group",
-            "optional",
-            F.when(~F.col("known"), F.coalesce("reported", F.when(F.col("stored").isNull(), errors.HTTP_404))).alias(
-                "error_code"
-            ),
-            F.col("known").alias("skipped"),
+    hashed = F.coalesce("sha256", F.lit("")) != ""
+    nothing = F.lit(None).cast("string")
+    facts = (
+        known_before.select("dest_path", hashed.alias("recorded"), F.lit(False).alias("stored"), nothing.alias("reported"))
+        .unionByName(
+            inventory.select("dest_path", F.lit(False).alias("recorded"), F.lit(True).alias("stored"), nothing.alias("reported"))
+        )
+        .unionByName(
+            failures.select("dest_path", F.lit(False).alias("recorded"), F.lit(False).alias("stored"), F.col("error_code").alias("reported"))
         )
+        .groupBy("dest_path")
+        .agg(*[F.max(name).alias(name) for name in ("recorded", "stored", "reported")])
+    )
+    items = plan.where(F.coalesce("url", F.lit("")) != "")
+    known = F.coalesce(F.col("recorded") & F.col("stored"), F.lit(False))
+    absent = ~F.coalesce("stored", F.lit(False))
+    return join_lookup(
+        items, facts, ["dest_path"], key_counts(items, ["dest_path"]), spread_by="logical_name"
+    ).select(
+        F.lit(run_id).alias("run_id"),
+        "logical_name",
+        "dest_path",
+        "group",
+        "optional",
+        F.when(~known, F.coalesce("reported", F.when(absent, errors.HTTP_404))).alias("error_code"),
+        known.alias("skipped"),
     )
 
 
