@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-from functools import cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,22 +16,40 @@ def col(name: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    A local session without the setting gets a temporary folder; a cluster without it is an error,
-    because a machine-local folder would lose data with the machine.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset a folder in the
+    warehouse, which all executors share as well."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_dir()
+    return (configured or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Folder of this application below the shared one; it goes when the driver ends or calls ``release``."""
+    return f"{shared_dir(spark)}/driftspark-{spark.sparkContext.applicationId}"
+
+
+_written: set[str] = set()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that read them must be done."""
+    remove(spark, scratch_dir(spark))
+
+
+def _release_at_exit() -> None:
+    if SparkContext._active_spark_context is None:  # stopped: its store can no longer be asked
+        return
+    spark = SparkSession.getActiveSession()
+    if spark is not None and scratch_dir(spark) in _written:
+        release(spark)
 
 
-@cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="driftspark-")
+atexit.register(_release_at_exit)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +59,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jobs that follow (a row checkpoint would not).
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(scratch_dir(spark))
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
