@@ -2,12 +2,62 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import simhash
+from driftspark.llm import decontaminate, packing, pii, quality, simhash
 from driftspark.llm.common import table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the items."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity").groupBy("doc_id", "item_id").agg(
+        F.max("similarity").alias("similarity")
+    )
+
+
+def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs, "found")
+    base = F.filter("found", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in pii.KINDS],
+        F.sha2(pii.joined(base), 256).alias("base_sha256"),
+        pii.joined(F.col("found")).alias("spans"),
+    )
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    cut = packing.pieces(table(spark, sf_dir, "documents"), TOKENIZER)
+    return packing.pack(cut).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probabilities and selection of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.graded(table(spark, sf_dir, "labels")))
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id",
+        F.col("quality_grade").alias("expected_grade"),
+        F.get("quality_tail", F.lit(0)).alias("p_not_toxic"),
+        F.get("quality_tail", F.lit(1)).alias("p_good"),
+        F.col("quality_keep").alias("keep"),
+    )
+
 
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 4-word shingles, at most 4 differing bits."""
@@ -15,7 +65,13 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-ALL = [op10_simhash_pigeonring]
+ALL = [
+    op2_simhash_decontamination,
+    op5_pii_crf,
+    op6_best_fit_packing,
+    op9_ordinal_quality,
+    op10_simhash_pigeonring,
+]
 
 
 def sql() -> dict[str, str]:
