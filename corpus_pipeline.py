@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from driftspark.llm import decontaminate, packing, pii, quality, simhash
 from driftspark.llm.common import table
 from driftspark.llm.queries import TOKENIZER
-from driftspark.runtime import materialize
+from driftspark.runtime import col, materialize
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the ordinal classifier, fitted on ``labels``, rejects as poor or toxic."""
     model = quality.fit(docs, quality.graded(table(spark, sf_dir, "labels")))
-    return quality.score(docs, model).where("quality_keep").select(*docs.columns)
+    scored = quality.score(docs, model)
+    return scored.where(col(scored.columns[-1])).select(*[col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Replaces personal data by its kind; keeps every document and brings ``n_chars`` up to date."""
     clean = pii.redact(docs)
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return clean.select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return clean.select(*[length.alias(c) if c == "n_chars" else col(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

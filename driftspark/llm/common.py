@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from driftspark.runtime import col
 
@@ -35,8 +36,15 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def extended(df: DataFrame, **added: str) -> StructType:
+    """Schema of ``df`` with further columns by name and type."""
+    return StructType([*df.schema.fields, *(StructField(n, DataType.fromDDL(t)) for n, t in added.items())])
+
+
 def map_batches(
-    df: DataFrame, function: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str
+    df: DataFrame,
+    function: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None],
+    schema: str | StructType,
 ) -> DataFrame:
     """``function`` on each Arrow batch of each partition."""
 

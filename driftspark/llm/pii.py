@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import free_name, map_batches
+from driftspark.llm.common import extended, free_name, map_batches
 from driftspark.llm.optimize import minimize
 from driftspark.llm.pii_examples import EXAMPLES
+from driftspark.runtime import col
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{mark}-{kind}" for kind in KINDS for mark in "BI"))
@@ -356,8 +357,7 @@ def with_spans(docs: DataFrame, name: str, text_column: str = "text", model: Mod
             rows.append([{"kind": s.kind, "start": s.start, "end": s.end, "base": b} for s, b in both])
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _spans_type())], [*batch.schema.names, name])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, add, f"{fields}, `{name}` {SPANS}")
+    return map_batches(docs, add, extended(docs, **{name: SPANS}))
 
 
 def joined(spans: Column) -> Column:
@@ -370,7 +370,7 @@ def redact(docs: DataFrame, text_column: str = "text", model: Model | None = Non
     included, stay as they are. Of overlapping spans the first one names the place of them all."""
     name = free_name(docs, "spans")
     marked = with_spans(docs, name, text_column, model)
-    text, spans = F.col(text_column), F.col(name)
+    text, spans = col(text_column), F.col(name)
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
     walked = F.aggregate(
         spans,
@@ -389,4 +389,4 @@ def redact(docs: DataFrame, text_column: str = "text", model: Model | None = Non
         lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))),
     )
     new = F.when(F.size(spans) > 0, walked).otherwise(text).alias(text_column)
-    return marked.select(*[new if c == text_column else F.col(f"`{c}`") for c in docs.columns])
+    return marked.select(*[new if c == text_column else col(c) for c in docs.columns])

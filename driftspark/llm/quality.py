@@ -16,16 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import map_batches
+from driftspark.llm.common import extended, free_name, map_batches
 from driftspark.llm.optimize import minimize
 from driftspark.runtime import col, materialize
 
 GRADES = 3
 # Labelled rows of the fit at most, chosen by the hash of their id.
-FIT_ROWS = 12_000
+FIT_ROWS = 10_000
 # A hashed feature counts if as many rows of the fit have it.
-MIN_ROWS = 4
-PENALTY = 1.0
+MIN_ROWS = 5
+PENALTY = 0.3
 # A row is selected if the probability of the highest grade reaches this.
 SELECT = 0.5
 
@@ -56,7 +56,7 @@ def features(text: str | None) -> np.ndarray:
         b"n%d" % len(words).bit_length(),
     )
     found.update(zlib.crc32(b"s" + s) for s in shape)
-    return np.fromiter(sorted(found), np.int64, len(found))
+    return np.fromiter(sorted(found), np.uint32, len(found))
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,12 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def ordinal_fit(
-    start: np.ndarray, index: np.ndarray, grade: np.ndarray, width: int, grades: int, penalty: float
+    start: np.ndarray,
+    index: np.ndarray,
+    grade: np.ndarray,
+    width: int,
+    grades: int,
+    penalty: float,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by penalized likelihood.
 
@@ -101,7 +106,7 @@ def ordinal_fit(
     where a grade is missing.
     """
     size = np.diff(start)
-    row = np.repeat(np.arange(len(size)), size)
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
     grade = np.concatenate([grade, np.arange(grades)])
     counts = np.concatenate([np.ones(len(size)), np.full(grades, 0.5)])
     rows = len(grade)
@@ -142,46 +147,44 @@ def fit(
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [features(x) for x in batch.column(1).to_pylist()]
+        found = [features(x).view(np.int32) for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "grade", "f"]
+            [batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "f"]
         )
 
     sample = docs.select(col("doc_id").cast("long").alias("doc_id"), col(text_column).alias("text")).join(
         F.broadcast(chosen), "doc_id"
     )
-    rows = map_batches(sample, hashed, "doc_id bigint, grade int, f array<bigint>")
+    rows = map_batches(sample, hashed, "doc_id bigint, grade int, f array<int>")
     pairs = materialize(rows.select("doc_id", "grade", F.explode("f").alias("f")).distinct(), "fit")
     often = pairs.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
-    table = pairs.join(often.select("f"), "f").select("doc_id", "grade", "f").toArrow()
+    # One short list for each row of the bounded sample.
+    table = pairs.join(often.select("f"), "f").groupBy("doc_id", "grade").agg(F.collect_list("f").alias("f"))
+    table = table.orderBy("doc_id").toArrow()
     if not table.num_rows:
         return None
-    ids, f = table["doc_id"].to_numpy(), table["f"].to_numpy()
-    order = np.lexsort((f, ids))
-    ids, f, grade = ids[order], f[order], table["grade"].to_numpy()[order]
-    _, start = np.unique(ids, return_index=True)
-    keys, index = np.unique(f, return_inverse=True)
-    weights, thresholds = ordinal_fit(
-        np.append(start, len(ids)), index, grade[start].astype(np.int64), len(keys), levels, penalty
-    )
+    lists = table["f"].combine_chunks()
+    start = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    keys, index = np.unique(lists.flatten().to_numpy().view(np.uint32), return_inverse=True)
+    grade = table["grade"].to_numpy().astype(np.int64)
+    weights, thresholds = ordinal_fit(start, index.astype(np.int32), grade, len(keys), levels, penalty)
     return Model(keys, weights, thresholds)
 
 
 def score(docs: DataFrame, model: Model | None, text_column: str = "text", select: float = SELECT) -> DataFrame:
-    """``docs`` and ``quality_grade`` (expected), ``quality_tail`` (array: P(grade >= 1), ...), ``quality_keep``.
+    """``docs`` and, as its last three columns, ``quality_grade`` (expected), ``quality_tail`` (array:
+    P(grade >= 1), ...) and ``quality_keep``; a name that ``docs`` has already gets a leading underscore.
 
     Each row gets its result from its whole text, null being the empty one. Without a model (no labelled
-    document) the first two are null and every row is kept. The names of the three columns must be free.
+    document) the first two are null and every row is kept.
     """
-    added = ["quality_grade", "quality_tail", "quality_keep"]
-    if clash := [name for name in docs.columns if name.lower() in added]:
-        raise ValueError(f"docs has columns {clash}")
+    grade, tail, keep = (free_name(docs, "quality_" + name) for name in ("grade", "tail", "keep"))
     if model is None:
         return docs.select(
             "*",
-            F.lit(None).cast("double").alias(added[0]),
-            F.lit(None).cast("array<double>").alias(added[1]),
-            F.lit(True).alias(added[2]),
+            F.lit(None).cast("double").alias(grade),
+            F.lit(None).cast("array<double>").alias(tail),
+            F.lit(True).alias(keep),
         )
     at = docs.columns.index(text_column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -194,7 +197,6 @@ def score(docs: DataFrame, model: Model | None, text_column: str = "text", selec
             pa.array(list(tails), pa.list_(pa.float64())),
             pa.array(tails[:, -1] >= select),
         ]
-        return pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added])
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, grade, tail, keep])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, add, f"{fields}, {added[0]} double, {added[1]} array<double>, {added[2]} boolean")
+    return map_batches(docs, add, extended(docs, **{grade: "double", tail: "array<double>", keep: "boolean"}))

@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import free_name, map_batches, sorted_runs, words_of
+from driftspark.llm.common import extended, free_name, map_batches, sorted_runs, words_of
 from driftspark.llm.graph import components
-from driftspark.runtime import materialize
+from driftspark.runtime import col, materialize
 
 BITS = 64
 SHINGLE = 4
@@ -61,7 +61,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def with_fingerprint(docs: DataFrame, text: str, name: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``docs`` and the fingerprint as a signed long in column ``name``."""
     at = docs.columns.index(text)
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = [fingerprint(x, shingle, seed) for x in batch.column(at).to_pylist()]
@@ -70,7 +69,7 @@ def with_fingerprint(docs: DataFrame, text: str, name: str, shingle: int = SHING
             [*batch.columns, pa.array(signed)], [*batch.schema.names, name]
         )
 
-    return map_batches(docs, add, f"{fields}, `{name}` bigint")
+    return map_batches(docs, add, extended(docs, **{name: "bigint"}))
 
 
 def segment_masks(distance: int) -> list[int]:
@@ -242,20 +241,16 @@ def keep_one(
     Of rows that repeat such an id within one group one is kept, and one of a group of null ids only.
     """
     found = materialize(near_duplicates(docs, id_column, text_column, **rules), "near-duplicates")
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "root")
-    one = chosen.groupBy("root").agg(
-        F.min("fp").alias("_kept_fp"), F.first("doc_id").alias("_kept_id"), F.count(F.lit(1)).alias("n")
+    fp, kept_fp, kept_id, group = (free_name(docs, name) for name in ("fp", "kept_fp", "kept_id", "group"))
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = chosen.groupBy(F.col("root").alias(group)).agg(
+        F.min("fp").alias(kept_fp), F.first("doc_id").alias(kept_id), F.count(F.lit(1)).alias("rows")
     )
     one = materialize(one, "kept")
-    fp = free_name(docs, "fp")
     shingle, seed = rules.get("shingle", SHINGLE), rules.get("seed", SEED)
     marked = with_fingerprint(docs, text_column, fp, shingle, seed)
-    kept = marked.join(
-        one,
-        F.col(fp).eqNullSafe(one["_kept_fp"])
-        & marked[id_column].cast("long").eqNullSafe(one["_kept_id"]),
-        "inner",
-    )
-    if one.where("n > 1").isEmpty():
-        return kept.select(*[marked[c] for c in docs.columns])
-    return kept.dropDuplicates(["root"]).select(*[marked[c] for c in docs.columns])
+    met = F.col(fp).eqNullSafe(F.col(kept_fp)) & col(id_column).cast("long").eqNullSafe(F.col(kept_id))
+    kept = marked.join(one.drop("rows"), met)
+    if not one.where("rows > 1").isEmpty():
+        kept = kept.dropDuplicates([group])
+    return kept.select(*[col(c) for c in docs.columns])
