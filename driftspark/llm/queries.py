@@ -6,12 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import decontaminate, packing, pii, quality, simhash
+from driftspark.llm import class_lm, decontaminate, embeddings, packing, pii, quality, shards, simhash
 from driftspark.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+SHARDS = 24
+
+
+def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 23, and their shards if there were one more."""
+    return shards.assign(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the items."""
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -20,6 +28,11 @@ def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents by class bigrams learned from six sevenths of them."""
+    return class_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the base spans, and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,6 +58,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_cover_tree_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors within their labels, from cosine 0.98."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade, tail probabilities and selection of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,9 +84,12 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = [
+    op1_hash_tree_shards,
     op2_simhash_decontamination,
+    op3_brown_class_lm,
     op5_pii_crf,
     op6_best_fit_packing,
+    op8_cover_tree_pairs,
     op9_ordinal_quality,
     op10_simhash_pigeonring,
 ]
