@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import class_lm, decontaminate, embeddings, packing, pii, quality, shards, simhash
+from driftspark.llm import class_lm, decontaminate, embeddings, packing, pii, quality, shards, simhash, suffixes
 from driftspark.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,19 @@ def op3_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that also start elsewhere."""
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce(removed, F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the base spans, and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -87,6 +100,7 @@ ALL = [
     op1_hash_tree_shards,
     op2_simhash_decontamination,
     op3_brown_class_lm,
+    op4_deep_shallow_dedup,
     op5_pii_crf,
     op6_best_fit_packing,
     op8_cover_tree_pairs,
