@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import class_lm, decontaminate, embeddings, packing, pii, quality, shards, simhash, suffixes
+from driftspark.llm import class_lm, decontaminate, embeddings, packing, pages, pii, quality, shards, simhash, suffixes
 from driftspark.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +71,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_host_suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_cover_tree_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors within their labels, from cosine 0.98."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -103,6 +108,7 @@ ALL = [
     op4_deep_shallow_dedup,
     op5_pii_crf,
     op6_best_fit_packing,
+    op7_host_suffix_text,
     op8_cover_tree_pairs,
     op9_ordinal_quality,
     op10_simhash_pigeonring,

@@ -11,11 +11,12 @@ covered there if u + v reaches the length. This is exact for every string, as ea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.llm.common import sorted_runs
@@ -169,25 +170,40 @@ def deep_shallow_sort(strings: list[bytes], shallow: int = SHALLOW) -> list[int]
     return out
 
 
-def covered(before: list[bytes], after: list[bytes], length: int = LENGTH) -> list[tuple[int, int]]:
+def covered(
+    before: list[bytes], after: list[bytes], length: int = LENGTH, owners: list | None = None
+) -> list[tuple[int, int]]:
     """For each occurrence of one gram the bytes before and from its anchor that repeated strings cover.
 
     ``before`` holds the bytes before the anchor, nearest first; both reach as far as the windows of the anchor.
-    (0, 0) where nothing is covered.
+    With ``owners``, a string only counts as repeated if another owner has it. (0, 0) where nothing is covered.
     """
-    groups: dict[tuple[bytes, bytes], list[int]] = {}
-    for n, context in enumerate(zip(before, after, strict=True)):
+    groups: dict[tuple, list[int]] = {}
+    for n, context in enumerate(zip(before, after, owners or repeat(None), strict=False)):
         groups.setdefault(context, []).append(n)
     contexts = list(groups)
     reach = [
-        (len(b), len(a)) if len(groups[b, a]) > 1 and len(b) + len(a) >= length else (0, 0) for b, a in contexts
+        (len(b), len(a)) if owners is None and len(own) > 1 and len(b) + len(a) >= length else (0, 0)
+        for (b, a, _), own in groups.items()
     ]
 
     def cover(n: int, u: int, v: int) -> None:
         if u + v >= length:
             reach[n] = max(reach[n][0], u), max(reach[n][1], v)
 
-    order = deep_shallow_sort([a for _, a in contexts])
+    def neighbours(run: list[int]) -> None:
+        """Shares of bytes before the anchor with the nearest of another owner on either side, by left context."""
+        by_left = sorted(run, key=lambda n: contexts[n][0])
+        for line in (by_left, by_left[::-1]):
+            last, other = line[0], None
+            for n in line[1:]:
+                if owners is None or contexts[n][2] != contexts[last][2]:
+                    other = last
+                if other is not None:
+                    cover(n, common_prefix(contexts[n][0], contexts[other][0]), v)
+                last = n
+
+    order = deep_shallow_sort([a for _, a, _ in contexts])
     shared = [common_prefix(contexts[a][1], contexts[b][1]) for a, b in zip(order, order[1:], strict=False)]
     # From long common prefixes to short ones; runs that have not grown were dealt with before.
     for v in sorted(set(shared), reverse=True):
@@ -200,13 +216,7 @@ def covered(before: list[bytes], after: list[bytes], length: int = LENGTH) -> li
             while end < len(shared) and shared[end] >= v:
                 end += 1
             if v in shared[at:end]:
-                run = order[at : end + 1]
-                lefts = [contexts[n][0] for n in run]
-                by_left = sorted(range(len(run)), key=lefts.__getitem__)
-                for i, j in zip(by_left, by_left[1:], strict=False):
-                    u = common_prefix(lefts[i], lefts[j])
-                    cover(run[i], u, v)
-                    cover(run[j], u, v)
+                neighbours(order[at : end + 1])
             at = end
     out = [(0, 0)] * len(before)
     for n, members in enumerate(groups.values()):
@@ -259,12 +269,10 @@ def _occurrences(length: int, shared, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         words = shared.value
-        low = np.uint64((1 << bits) - 1)
         for batch in batches:
             digests, texts = _texts(batch, length, seen)
             for first, last, (place, h, start, end) in _batch_anchors(texts, length):
-                index = h & low
-                on = (words[(index >> np.uint64(6)).astype(np.int64)] >> (index & np.uint64(63))) & np.uint64(1) == 1
+                on = in_filter(h, words, bits)
                 place, h = place[on], h[on]
                 left, right = (place - start[on]).tolist(), (end[on] - place + length).tolist()
                 starts = np.concatenate([[0], np.cumsum([len(t) for t in texts[first:last]])])
@@ -333,7 +341,7 @@ def _windows(length: int):
     return run
 
 
-def _filter(grams: DataFrame) -> tuple[np.ndarray, int]:
+def gram_filter(grams: DataFrame) -> tuple[np.ndarray, int]:
     """Bits of the hashes in ``grams``, of a size bounded by ``MOST_BITS``."""
     count = grams.count()
     bits = min(max(16, (8 * count).bit_length()), MOST_BITS)
@@ -346,6 +354,31 @@ def _filter(grams: DataFrame) -> tuple[np.ndarray, int]:
     return words, bits
 
 
+def in_filter(h: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    index = h & np.uint64((1 << bits) - 1)
+    return (words[(index >> np.uint64(6)).astype(np.int64)] >> (index & np.uint64(63))) & np.uint64(1) == 1
+
+
+def merged_spans() -> Column:
+    """Maximal runs of a group's ``start`` and ``end``; runs that touch are one."""
+    return F.aggregate(
+        F.array_sort(F.collect_set(F.struct("start", "end"))),
+        F.array().cast("array<struct<start:bigint,end:bigint>>"),
+        lambda done, x: F.when(
+            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
+            F.concat(
+                F.slice(done, 1, F.size(done) - 1),
+                F.array(
+                    F.struct(
+                        F.element_at(done, -1)["start"].alias("start"),
+                        F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"),
+                    )
+                ),
+            ),
+        ).otherwise(F.concat(done, F.array(x))),
+    )
+
+
 def repeated_spans(
     docs: DataFrame, text_column: str = "text", length: int = LENGTH, in_task: int = SORTED
 ) -> DataFrame:
@@ -360,7 +393,7 @@ def repeated_spans(
     texts = docs.select(col(text_column).cast("string").alias("text"))
     grams = texts.mapInArrow(_gram_rows(length), "gram bigint")
     again = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
-    words, bits = _filter(again)
+    words, bits = gram_filter(again)
     shared = spark.sparkContext.broadcast(words)
     schema = "gram bigint, digest binary, place bigint, before binary, after binary"
     found = texts.mapInArrow(_occurrences(length, shared, bits), schema)
@@ -384,24 +417,8 @@ def repeated_spans(
         twice = materialize(twice, "repeated-windows")
         more = windows.join(twice, "window", "left_semi").select("digest", "start", (F.col("start") + length).alias("end"))
         spans = spans.union(more)
-    merged = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("start", "end"))),
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
     # A text's spans are at most as many as its anchors.
-    return materialize(spans.groupBy("digest").agg(merged.alias("spans")), "spans")
+    return materialize(spans.groupBy("digest").agg(merged_spans().alias("spans")), "spans")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
