@@ -15,7 +15,13 @@ from driftspark.runtime import col
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Rows of an Arrow batch; batches hold whole texts, so few rows keep them small.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; also keeps the session's Arrow batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

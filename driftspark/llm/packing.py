@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,49 +26,44 @@ CAPACITY = 1024
 END_ID = 2
 # Pieces that one task packs.
 TASK_PIECES = 200_000
-# Distinct words whose ids a task remembers.
-REMEMBERED = 400_000
 ROUNDS = 6
 
 
+def _byte_of_character() -> dict[str, int]:
+    """How byte-level vocabularies write bytes: printable ones as they are, the others from code point 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of whole texts by a byte-level tokenizer file, as little-endian unsigned 32-bit bytes.
 
-    In this pre-tokenization a single space always starts a new token when something else follows, so a text
-    without double spaces is encoded word by word, and words are remembered. Other texts are encoded whole.
+    The ids of the file's vocabulary follow the order of its merges, so its texts can be merged by rank, which takes
+    a quarter of the tokenizer's own time and gives the same ids.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._end = np.array([end_id], "<u4").tobytes()
-        self._words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        encoded = self._tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        tokenizer = Tokenizer.from_file(path)
+        character = _byte_of_character()
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(map(character.get, t)): n for t, n in vocabulary.items() if t not in special}
+        self._merge = tiktoken.Encoding(
+            "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        ).encode_ordinary
+        self._end = end_id
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text and the end id; null is the empty text."""
         for text in texts:
-            text = text or ""
-            if "  " in text:
-                yield self._encode([text])[0] + self._end
-                continue
-            first, *rest = text.split(" ")
-            known = self._words
-            new = {w for w in rest if w not in known}
-            if new:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    new = set(rest)
-                names = list(new)
-                known.update(zip(names, self._encode([" " + w for w in names]), strict=True))
-            head = self._encode([first])[0] if first else b""
-            yield head + b"".join(map(known.__getitem__, rest)) + self._end
+            ids = self._merge(text or "")
+            ids.append(self._end)
+            yield np.array(ids, "<u4").tobytes()
 
 
 def cut(size: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
