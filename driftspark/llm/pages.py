@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.llm.common import sorted_runs
-from driftspark.llm.suffixes import anchors, covered, gram_filter, in_filter, merged_spans
+from driftspark.llm.suffixes import anchors, covered, merged_spans, select_grams, window_batches
 from driftspark.runtime import col, materialize
 
 # Bytes of a repeated substring.
 LENGTH = 96
 # Pages with one gram that one task sorts; see ``suffixes``.
-SORTED = 20_000
+SORTED = 100_000
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
@@ -168,22 +168,28 @@ def _gram_rows(length: int):
     return run
 
 
-def _occurrences(length: int, shared, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+def _cuts(length: int, batches: Iterator[pa.RecordBatch], select):
+    """Rows, places, bytes before and from the anchor, and grams of the selected anchors."""
+    for batch in batches:
+        if batch.num_rows:
             streams, own, place, h, left, right = _batch_grams(batch, length)
-            on = in_filter(h, shared.value, bits)
-            own, place, h, left, right = own[on], place[on], h[on], left[on], right[on]
-            cut = list(zip(own.tolist(), place.tolist(), left.tolist(), right.tolist(), strict=True))
+            on = select(h)
+            own, place, left, right = (x[on].tolist() for x in (own, place, left, right))
+            before = [streams[n][p - u : p] for n, p, u in zip(own, place, left, strict=True)]
+            after = [streams[n][p : p + v] for n, p, v in zip(own, place, right, strict=True)]
+            yield batch.column(0).to_numpy()[own].tolist(), place, before, after, h[on]
+
+
+def _occurrences(length: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, place, before, after, h in _cuts(length, batches, shared.value.usual):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(h.view(np.int64)),
-                    pa.array(batch.column(0).to_numpy()[own]),
-                    pa.array(place),
-                    pa.array([streams[n][p - u : p][::-1] for n, p, u, _ in cut], pa.binary()),
-                    pa.array([streams[n][p : p + v] for n, p, _, v in cut], pa.binary()),
+                    pa.array(row, pa.int64()),
+                    pa.array(place, pa.int64()),
+                    pa.array([b[::-1] for b in before], pa.binary()),
+                    pa.array(after, pa.binary()),
                 ],
                 ["gram", "row", "place", "before", "after"],
             )
@@ -209,22 +215,16 @@ def _sorted_spans(length: int):
     return run
 
 
-def _windows(length: int):
+def _windows(length: int, shared):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, int]]:
+        for row, place, before, after, h in _cuts(length, batches, shared.value.hot):
+            for gram, r, p, b, a in zip(h.tolist(), row, place, before, after, strict=True):
+                text, key = b + a, gram.to_bytes(8, "big")
+                for n in range(len(text) - length + 1):
+                    yield xxhash.xxh128_digest(key + text[n : n + length]), r, p - len(b) + n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for gram, row, place, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = before[::-1] + after
-                key = gram.to_bytes(8, "big", signed=True)
-                rows += [
-                    (xxhash.xxh128_digest(key + text[n : n + length]), row, place - len(before) + n)
-                    for n in range(len(text) - length + 1)
-                ]
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            kinds = (pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["window", "row", "start"]
-            )
+        yield from window_batches(rows(batches), pa.int64(), "row")
 
     return run
 
@@ -241,24 +241,18 @@ def repeated_spans(streams: DataFrame, length: int = LENGTH, in_task: int = SORT
         F.count(F.lit(1)).alias("n"), F.min("row").alias("low"), F.max("row").alias("high")
     )
     again = materialize(again.where("low < high").select("gram", "n"), "page-grams")
-    words, bits = gram_filter(again)
-    shared = spark.sparkContext.broadcast(words)
-    found = streams.mapInArrow(
-        _occurrences(length, shared, bits), "gram bigint, row bigint, place bigint, before binary, after binary"
-    )
-    names = found.columns
-    often = F.col("n") > in_task
-    hot = again.where(often)
-    usual = found if hot.isEmpty() else found.join(again.where(~often).select("gram"), "gram", "left_semi")
+    selection = select_grams(again, in_task)
+    shared = spark.sparkContext.broadcast(selection)
     spans = (
-        usual.select(*names)
+        streams.mapInArrow(
+            _occurrences(length, shared), "gram bigint, row bigint, place bigint, before binary, after binary"
+        )
         .repartition("gram")
         .sortWithinPartitions("gram")
         .mapInArrow(_sorted_spans(length), "row bigint, start bigint, end bigint")
     )
-    if not hot.isEmpty():
-        frequent = found.join(hot.select("gram"), "gram", "left_semi").select(*names)
-        windows = frequent.mapInArrow(_windows(length), "window binary, row bigint, start bigint")
+    if selection.frequent is not None:
+        windows = streams.mapInArrow(_windows(length, shared), "window binary, row bigint, start bigint")
         windows = materialize(windows, "page-windows")
         shares = windows.groupBy("window").agg(F.min("row").alias("low"), F.max("row").alias("high"))
         shares = materialize(shares.where("low < high").select("window"), "shared-windows")

@@ -11,7 +11,8 @@ covered there if u + v reaches the length. This is exact for every string, as ea
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ PLACE_BITS = 20
 # Depth at which multikey quicksort hands over to blind tries.
 SHALLOW = 128
 WORD = 8
-# Occurrences of one gram that one task sorts; all windows of more frequent grams are counted by hash instead.
-SORTED = 20_000
+# Occurrences of one gram that one task sorts, some 60 MB; the windows of more frequent grams are counted by hash.
+SORTED = 100_000
+# Windows of frequent grams that are handed on at once.
+WINDOW_ROWS = 50_000
 # Bits of the filter for grams that occur again; a fuller filter only lets more through.
 MOST_BITS = 28
 
@@ -265,33 +268,94 @@ def _gram_rows(length: int):
     return run
 
 
-def _occurrences(length: int, shared, bits: int):
+class GramFilter(NamedTuple):
+    """Bits of a set of gram hashes. Others may pass: that costs time, but changes no result."""
+
+    words: np.ndarray
+    bits: int
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        index = h & np.uint64((1 << self.bits) - 1)
+        word = self.words[(index >> np.uint64(6)).astype(np.int64)]
+        return (word >> (index & np.uint64(63))) & np.uint64(1) == 1
+
+
+class Selection(NamedTuple):
+    """Grams that occur again, and those among them that are too frequent to be sorted."""
+
+    again: GramFilter
+    frequent: GramFilter | None
+
+    def usual(self, h: np.ndarray) -> np.ndarray:
+        on = self.again.has(h)
+        return on if self.frequent is None else on & ~self.frequent.has(h)
+
+    def hot(self, h: np.ndarray) -> np.ndarray:
+        return self.again.has(h) & self.frequent.has(h)
+
+
+def select_grams(grams: DataFrame, in_task: int) -> Selection:
+    """Filters of the repeated grams (``gram``, ``n``)."""
+    often = grams.where(F.col("n") > in_task)
+    return Selection(gram_filter(grams), None if often.isEmpty() else gram_filter(often))
+
+
+def _cuts(length: int, batches: Iterator[pa.RecordBatch], select) -> Iterator[tuple[list, list, list, list, np.ndarray]]:
+    """Digests, places, bytes before and from the anchor, and grams of the selected anchors of some texts."""
+    seen: dict[bytes, int] = {}
+    for batch in batches:
+        digests, texts = _texts(batch, length, seen)
+        for first, last, (place, h, start, end) in _batch_anchors(texts, length):
+            on = select(h)
+            place, h = place[on], h[on]
+            left, right = (place - start[on]).tolist(), (end[on] - place + length).tolist()
+            starts = np.concatenate([[0], np.cumsum([len(t) for t in texts[first:last]])])
+            own = np.searchsorted(starts, place, side="right") - 1
+            local = (place - starts[own]).tolist()
+            own = (own + first).tolist()
+            before = [texts[n][at - u : at] for n, at, u in zip(own, local, left, strict=True)]
+            after = [texts[n][at : at + v] for n, at, v in zip(own, local, right, strict=True)]
+            yield [digests[n] for n in own], local, before, after, h
+
+
+def _occurrences(length: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        words = shared.value
-        for batch in batches:
-            digests, texts = _texts(batch, length, seen)
-            for first, last, (place, h, start, end) in _batch_anchors(texts, length):
-                on = in_filter(h, words, bits)
-                place, h = place[on], h[on]
-                left, right = (place - start[on]).tolist(), (end[on] - place + length).tolist()
-                starts = np.concatenate([[0], np.cumsum([len(t) for t in texts[first:last]])])
-                own = np.searchsorted(starts, place, side="right") - 1
-                local = place - starts[own]
-                before, after = [], []
-                for n, at, u, v in zip((own + first).tolist(), local.tolist(), left, right, strict=True):
-                    before.append(texts[n][at - u : at][::-1])
-                    after.append(texts[n][at : at + v])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h.view(np.int64)),
-                        pa.array([digests[n] for n in (own + first).tolist()], pa.binary()),
-                        pa.array(local),
-                        pa.array(before, pa.binary()),
-                        pa.array(after, pa.binary()),
-                    ],
-                    ["gram", "digest", "place", "before", "after"],
-                )
+        for digest, place, before, after, h in _cuts(length, batches, shared.value.usual):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(h.view(np.int64)),
+                    pa.array(digest, pa.binary()),
+                    pa.array(place, pa.int64()),
+                    pa.array([b[::-1] for b in before], pa.binary()),
+                    pa.array(after, pa.binary()),
+                ],
+                ["gram", "digest", "place", "before", "after"],
+            )
+
+    return run
+
+
+def window_batches(rows: Iterator[tuple[bytes, object, int]], owner: pa.DataType, name: str) -> Iterator[pa.RecordBatch]:
+    """Windows (hash, owner, start) as batches of bounded size."""
+    while part := list(islice(rows, WINDOW_ROWS)):
+        window, own, start = zip(*part, strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(window, pa.binary()), pa.array(own, owner), pa.array(start, pa.int64())], ["window", name, "start"]
+        )
+
+
+def _windows(length: int, shared):
+    """Each window belongs to one anchor, so it comes once from each place."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, int]]:
+        for found in _cuts(length, batches, shared.value.hot):
+            for digest, place, before, after in zip(*found[:4], strict=True):
+                text = before + after
+                for n in range(len(text) - length + 1):
+                    yield xxhash.xxh128_digest(text[n : n + length]), digest, place - len(before) + n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from window_batches(rows(batches), pa.binary(), "digest")
 
     return run
 
@@ -320,28 +384,7 @@ def _sorted_spans(length: int):
     return run
 
 
-def _windows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            # Each window belongs to one anchor, so it comes once from each place.
-            for _, digest, place, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = before[::-1] + after
-                start = place - len(before)
-                rows += [
-                    (xxhash.xxh128_digest(text[n : n + length]), digest, start + n)
-                    for n in range(len(text) - length + 1)
-                ]
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            kinds = (pa.binary(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["window", "digest", "start"]
-            )
-
-    return run
-
-
-def gram_filter(grams: DataFrame) -> tuple[np.ndarray, int]:
+def gram_filter(grams: DataFrame) -> GramFilter:
     """Bits of the hashes in ``grams``, of a size bounded by ``MOST_BITS``."""
     count = grams.count()
     bits = min(max(16, (8 * count).bit_length()), MOST_BITS)
@@ -351,12 +394,7 @@ def gram_filter(grams: DataFrame) -> tuple[np.ndarray, int]:
     ).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return words, bits
-
-
-def in_filter(h: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
-    index = h & np.uint64((1 << bits) - 1)
-    return (words[(index >> np.uint64(6)).astype(np.int64)] >> (index & np.uint64(63))) & np.uint64(1) == 1
+    return GramFilter(words, bits)
 
 
 def merged_spans() -> Column:
@@ -393,41 +431,45 @@ def repeated_spans(
     texts = docs.select(col(text_column).cast("string").alias("text"))
     grams = texts.mapInArrow(_gram_rows(length), "gram bigint")
     again = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
-    words, bits = gram_filter(again)
-    shared = spark.sparkContext.broadcast(words)
+    selection = select_grams(again, in_task)
+    shared = spark.sparkContext.broadcast(selection)
     schema = "gram bigint, digest binary, place bigint, before binary, after binary"
-    found = texts.mapInArrow(_occurrences(length, shared, bits), schema)
-    names = found.columns
-    # Cut by a flag before the join, so that what is sorted is shuffled once.
-    often = F.col("n") > in_task
-    hot = again.where(often)
-    usual = found.join(again.where(~often).select("gram"), "gram", "left_semi") if not hot.isEmpty() else found
     spans = (
-        usual.select(*names)
+        texts.mapInArrow(_occurrences(length, shared), schema)
         .repartition("gram")
         .sortWithinPartitions("gram")
         .mapInArrow(_sorted_spans(length), "digest binary, start bigint, end bigint")
     )
-    if not hot.isEmpty():
-        frequent = found.join(hot.select("gram"), "gram", "left_semi").select(*names)
-        windows = materialize(
-            frequent.mapInArrow(_windows(length), "window binary, digest binary, start bigint"), "windows"
-        )
+    if selection.frequent is not None:
+        windows = texts.mapInArrow(_windows(length, shared), "window binary, digest binary, start bigint")
+        windows = materialize(windows, "windows")
         twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
         twice = materialize(twice, "repeated-windows")
-        more = windows.join(twice, "window", "left_semi").select("digest", "start", (F.col("start") + length).alias("end"))
-        spans = spans.union(more)
+        more = windows.join(twice, "window", "left_semi")
+        spans = spans.union(more.select("digest", "start", (F.col("start") + length).alias("end")))
     # A text's spans are at most as many as its anchors.
     return materialize(spans.groupBy("digest").agg(merged_spans().alias("spans")), "spans")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-        digest = [xxhash.xxh128_digest(t) for t in raw]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(raw, pa.binary()), pa.array(digest, pa.binary())], ["doc_id", "raw", "digest"]
-        )
+def _digests(shared, repeated: bool):
+    """Rows whose digest the filter has, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            digest = [xxhash.xxh128_digest(t) for t in raw]
+            h = np.array([xxhash.xxh64_intdigest(d, 42) for d in digest], np.uint64)
+            on = np.flatnonzero(shared.value.has(h) == repeated)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(on)),
+                    pa.array([raw[n] for n in on], pa.binary()),
+                    pa.array([digest[n] for n in on], pa.binary()),
+                ],
+                ["doc_id", "raw", "digest"],
+            )
+
+    return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,10 +498,13 @@ def remove_repeats(
     need not be whole characters.
     """
     spans = repeated_spans(docs, text_column, length, in_task)
-    rows = docs.select(
-        col(id_column).cast("long").alias("doc_id"), col(text_column).cast("string").alias("text")
-    ).mapInArrow(_digests, "doc_id bigint, raw binary, digest binary")
-    met = rows.join(spans, "digest", "left").select("doc_id", "raw", "spans")
+    texts = docs.select(col(id_column).cast("long").alias("doc_id"), col(text_column).cast("string").alias("text"))
+    # Only texts that may have spans are shuffled to meet them.
+    shared = docs.sparkSession.sparkContext.broadcast(gram_filter(spans.select(F.xxhash64("digest").alias("gram"))))
+    schema = "doc_id bigint, raw binary, digest binary"
+    met = texts.mapInArrow(_digests(shared, True), schema).join(spans, "digest", "left")
+    others = texts.mapInArrow(_digests(shared, False), schema).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    met = met.select("doc_id", "raw", "spans").union(others.select("doc_id", "raw", "spans"))
     kind = "array<struct<start:bigint,end:bigint>>"
     cut = met.mapInArrow(_cut, f"doc_id bigint, raw binary, spans {kind}, kept binary")
     return cut.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), "spans", "kept")
