@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -54,6 +55,11 @@ def sanitize_name(text: Column) -> Column:
     )
 
 
+def safe_name(text: str) -> str:
+    """The rule of ``sanitize_name`` for one name that the driver needs."""
+    return re.sub(r"[^\w.-]", "_", text.strip())[:MAX_NAME_LENGTH]
+
+
 def is_commit_id(ref: Column) -> Column:
     trimmed = strip(ref)
     return F.length(trimmed).isin(COMMIT_ID_LENGTHS) & trimmed.rlike("^[0-9a-fA-F]+$")

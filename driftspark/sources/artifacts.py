@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftspark.functions.text import safe_name
+
 # Error conditions of a missing or corrupt table.
 _UNREADABLE = (
     "PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "UNRESOLVED_COLUMN", "CANNOT_READ_FILE_FOOTER",
@@ -33,15 +35,21 @@ def write_ledger(ledger: DataFrame, path: str) -> None:
 
 
 def run_folder(out: str, source: str, ref: str, fingerprint: str) -> str:
-    return f"{out}/{source}/{ref}/{fingerprint}"
+    """Folder of a run; characters of the reference that could leave or nest the folder become ``_``."""
+    name = safe_name(ref)
+    return f"{out}/{source}/{name if name.strip('.') else '_' * max(len(name), 1)}/{fingerprint}"
 
 
 def write_artifacts(tables: Mapping[str, DataFrame], path: str, run_id: str) -> None:
-    """Append each table under its name with the run it belongs to; the run's folder prunes scans."""
+    """Write each table under its name into the folder of its run, which prunes scans.
+
+    A run that is repeated replaces what it wrote before; other runs stay.
+    """
     for name, table in tables.items():
         (
             table.withColumn("run_id", F.lit(run_id))
-            .write.mode("append")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
             .partitionBy("run_id")
             .parquet(f"{path}/{name}")
         )

@@ -53,6 +53,7 @@ def season_folder_name(season: Column) -> Column:
 def write_games(games: DataFrame, path: str, sport: str, mode: str = "overwrite") -> None:
     """Parquet partitioned by sport and season, so one season is one folder.
 
+    Overwriting replaces the seasons that ``games`` has and leaves all others, and other sports, as they are.
     ``rebalance`` gathers each season into few files and splits a season that holds very many rows.
     """
     keyed = games.withColumns(
@@ -61,11 +62,12 @@ def write_games(games: DataFrame, path: str, sport: str, mode: str = "overwrite"
     (
         keyed.hint("rebalance", "season_dir")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("sport", "season_dir")
         .parquet(path)
     )
 
 
 def read_games(spark: SparkSession, path: str, sport: str) -> DataFrame:
-    games = spark.read.parquet(path).where(F.col("sport") == sport)
-    return games.drop("sport", "season_dir")
+    """Games of one sport; sports have different statistics, so only its folder is read."""
+    return spark.read.parquet(f"{path}/sport={sport}").drop("season_dir")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftspark.operators.split import SPLITS
+from driftspark.sources.tables import CSV_QUOTING
 
 
 def dataset_name(sport: str, target: str, drop: Sequence[str] = ()) -> str:
@@ -43,6 +44,9 @@ def export_csv(split_rows: DataFrame, path: str, sport: str, target: str, drop:
             .drop("split")
             .write.mode("overwrite")
             .option("header", True)
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .options(**CSV_QUOTING)
             .csv(written[split])
         )
     return written
@@ -52,6 +56,7 @@ def read_csv_splits(spark: SparkSession, paths: dict, schema: T.StructType) -> D
     """The exported splits as one DataFrame with ``split``, under an explicit schema."""
     result = None
     for split, path in paths.items():
-        part = spark.read.schema(schema).option("header", True).csv(path).withColumn("split", F.lit(split))
+        part = spark.read.schema(schema).option("header", True).option("multiLine", True).options(**CSV_QUOTING)
+        part = part.csv(path).withColumn("split", F.lit(split))
         result = part if result is None else result.unionByName(part)
     return result

@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,11 +26,6 @@ CSV_FALSE = ["False", "FALSE", "false"]
 
 _WHOLE = r"^\s*[+-]?\d+\s*$"
 
-# Default size of a bounded sample and the chunk it is rounded up to.
-SAMPLE_ROWS = 200_000
-SAMPLE_CHUNK = 50_000
-
-
 def typed_text(raw: DataFrame, null_tokens: Sequence[str] = tuple(CSV_NULLS)) -> DataFrame:
     """Text columns cast to the narrowest of BOOLEAN, BIGINT, DOUBLE, STRING that holds every value.
 
@@ -65,45 +60,26 @@ def typed_text(raw: DataFrame, null_tokens: Sequence[str] = tuple(CSV_NULLS)) ->
     return cells.select(*typed)
 
 
-def sample_size(max_rows: int = SAMPLE_ROWS, chunk_rows: int = SAMPLE_CHUNK) -> int:
-    """Rows of a bounded sample: whole chunks until ``max_rows`` is reached."""
-    return -(-max_rows // chunk_rows) * chunk_rows
+# Quotes inside a quoted cell are doubled.
+CSV_QUOTING = {"quote": '"', "escape": '"'}
 
 
-def first_rows(rows: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows in file order; ``rows`` must come straight from files.
+def read_csv_table(
+    spark: SparkSession, path: str, null_tokens: Sequence[str] = tuple(CSV_NULLS), multi_line: bool = True
+) -> DataFrame:
+    """A CSV file or folder with header, typed by the values of the whole table.
 
-    Rows are counted per file block, the running offsets of the blocks (one row each) are joined back,
-    and a block is cut inside its own task; no row is shuffled.
+    Cells may hold commas, doubled quotes and line breaks. A file whose cells may hold line breaks cannot be
+    split into several tasks: land a big one as Parquet once, or, where it is known to have none, read it with
+    ``multi_line=False``.
     """
-    placed = rows.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    blocks = placed.groupBy("_path", "_block").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")
+    raw = (
+        spark.read.option("header", True)
+        .option("nullValue", "\x00")
+        .option("multiLine", multi_line)
+        .options(**CSV_QUOTING)
+        .csv(path)
     )
-    before = F.sum("_n").over(Window.orderBy("_path", "_block")) - F.col("_n")
-    wanted = blocks.select("_path", "_block", "_first", before.alias("_before")).where(
-        F.col("_before") < n
-    )
-    # Every block but empty ones holds a row, so at most ``n`` blocks are wanted.
-    return (
-        placed.join(F.broadcast(wanted), ["_path", "_block"])
-        .where(F.col("_before") + F.col("_id") - F.col("_first") < n)
-        .select(*[col(c) for c in rows.columns])
-    )
-
-
-def read_csv_table(
-    spark: SparkSession, path: str, max_rows: int | None = None, null_tokens: Sequence[str] = tuple(CSV_NULLS)
-) -> DataFrame:
-    """A CSV file or folder with header, typed by its values; the whole table unless ``max_rows``."""
-    raw = spark.read.option("header", True).option("nullValue", "\x00").csv(path)
-    if max_rows is not None:
-        raw = first_rows(raw, sample_size(max_rows))
     return typed_text(raw, null_tokens)
 
 
@@ -120,12 +96,25 @@ def _stored_type(found: T.DataType) -> T.DataType:
     return found
 
 
+def last_key_wins(spark: SparkSession) -> None:
+    """JSON objects may repeat a key; as in most parsers the last value counts."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", True)
+
+
+def _struct_type(ddl: str) -> str:
+    """OBJECT is the variant name of STRUCT; a quoted key that holds the word stays as it is."""
+    return "".join(
+        part if part.startswith("`") else part.replace("OBJECT<", "STRUCT<")
+        for part in re.split(r"(`(?:[^`]|``)*`)", ddl)
+    )
+
+
 def json_schema(rows: DataFrame, text: str) -> T.DataType:
     """Type that holds every JSON document of the column, merged in one aggregation."""
+    last_key_wins(rows.sparkSession)
     merged = F.schema_of_variant_agg(F.try_parse_json(F.col(text)))
     found = rows.agg(merged.alias("ddl")).first()["ddl"]
-    # OBJECT is the variant name of STRUCT.
-    return _stored_type(T._parse_datatype_string((found or "VOID").replace("OBJECT<", "STRUCT<")))
+    return _stored_type(T._parse_datatype_string(_struct_type(found or "VOID")))
 
 
 def _leaves(data_type: T.DataType, column: Column, name: str) -> list[Column]:
@@ -161,15 +150,20 @@ def flatten_json(rows: DataFrame, text: str, schema: T.DataType | None = None) -
 
 
 def json_errors(rows: DataFrame, text: str) -> DataFrame:
+    last_key_wins(rows.sparkSession)
     broken = F.col(text).isNotNull() & F.try_parse_json(F.col(text)).isNull()
     return rows.where(broken).select(F.lit(errors.JSON_PARSE).alias("code"), F.col(text).alias("value"))
 
 
 def json_items(texts: DataFrame, text: str) -> DataFrame:
-    """``item``, a VARIANT, for every element of a file's array, or for the file's one object."""
+    """``item``, a VARIANT, for every element of a file's array, or for the file's one object.
+
+    A file with an empty array keeps one row, without an item.
+    """
+    last_key_wins(texts.sparkSession)
     whole = F.try_parse_json(F.col(text))
     items = F.try_variant_get(whole, "$", "array<variant>")
-    return texts.withColumn("item", F.explode(F.coalesce(items, F.array(whole)))).drop(text)
+    return texts.withColumn("item", F.explode_outer(F.coalesce(items, F.array(whole)))).drop(text)
 
 
 def read_json_table(spark: SparkSession, path: str) -> DataFrame:
@@ -180,7 +174,7 @@ def read_json_table(spark: SparkSession, path: str) -> DataFrame:
     texts = spark.read.option("wholetext", True).text(path)
     if not json_errors(texts, "value").isEmpty():
         raise ValueError(f"{errors.JSON_PARSE}: {path}")
-    documents = json_items(texts, "value").select(F.to_json("item").alias("document"))
+    documents = json_items(texts, "value").where("item is not null").select(F.to_json("item").alias("document"))
     return flatten_json(documents, "document")
 
 
@@ -234,8 +228,13 @@ def json_file_schemas(texts: DataFrame, text: str, *keys: str) -> DataFrame:
     typed = (
         json_items(texts.select(*keys, text), text)
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.schema_of_variant_agg("item").alias("ddl"))
-        .select(*keys, "n_rows", _leaves_of("ddl").alias("leaves"))
+        .agg(F.count("item").alias("n_rows"), F.schema_of_variant_agg("item").alias("ddl"))
+        .select(
+            *keys,
+            "n_rows",
+            # An empty array has no columns.
+            F.when(F.col("n_rows") > 0, _leaves_of("ddl")).otherwise(F.array().cast(_LEAVES)).alias("leaves"),
+        )
     )
     return typed.select(
         *keys,

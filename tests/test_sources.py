@@ -59,6 +59,37 @@ def test_landed_games_prune_by_season(spark, season_files, tmp_path, plan_text):
     assert "PartitionFilters: [isnotnull(sport" in plan_text(one)
 
 
+def test_sports_and_seasons_replace_only_themselves(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    nba = spark.createDataFrame([("a", "2020"), ("b", "2021")], "game_id STRING, season STRING")
+    games.write_games(nba, path, "nba")
+    games.write_games(nba.withColumn("yards", F.lit(3)), path, "nfl")
+    games.write_games(spark.createDataFrame([("c", "2021")], nba.schema), path, "nba")
+    assert sorted(games.read_games(spark, path, "nba").collect()) == [("a", "2020"), ("c", "2021")]
+    assert sorted(games.read_games(spark, path, "nfl").collect()) == [("a", "2020", 3), ("b", "2021", 3)]
+
+
+def test_a_repeated_run_replaces_its_tables(spark, tmp_path):
+    path = str(tmp_path / "out")
+    for run, n in (("one", 3), ("two", 2), ("one", 3)):
+        artifacts.write_artifacts({"plan": spark.range(n)}, path, run)
+    assert artifacts.read_artifact(spark, path, "plan", "one").count() == 3
+    assert artifacts.read_artifact(spark, path, "plan").count() == 5
+
+
+def test_run_folders_stay_in_place():
+    assert artifacts.run_folder("o", "s", "release/v1", "f") == "o/s/release_v1/f"
+    assert artifacts.run_folder("o", "s", "../x", "f") == "o/s/.._x/f"
+    assert artifacts.run_folder("o", "s", "..", "f") == "o/s/__/f"
+
+
+def test_exported_splits_keep_quotes(spark, tmp_path):
+    rows = spark.createDataFrame([('a "b", c', " d ", "train"), ("two\nlines", "e", "val")], "s STRING, t STRING, split STRING")
+    paths = splits.export_csv(rows, str(tmp_path), "nba", "win")
+    back = splits.read_csv_splits(spark, paths, rows.drop("split").schema)
+    assert sorted(back.collect()) == sorted(rows.collect())
+
+
 def test_from_files_to_shift(spark, season_files, tmp_path):
     df = games.read_season_files(spark, season_files, "nba")
     rows = training.build_dataset(df, "nba", "score_diff", ["3p_pct", "assists"])
@@ -96,36 +127,26 @@ def test_csv_types_and_null_tokens(spark, tmp_path):
     assert classes == {"id": "int", "share": "float", "flag": "bool", "name": "string", "gap": "float", "day": "string"}
 
 
-def test_sample_size_is_whole_chunks():
-    assert tables.sample_size() == 200_000
-    assert tables.sample_size(120, 50) == 150 and tables.sample_size(1, 50_000) == 50_000
-
-
-@pytest.mark.parametrize("n", [0, 1, 137, 250, 251, 999, 5000])
-def test_first_rows_in_file_order(spark, tmp_path, n):
-    """Files of several blocks each; the sample ends inside one of them."""
-    values = iter(range(1000))
-    for name, count in (("a", 250), ("b", 0), ("c", 600), ("d", 150)):
-        lines = ["v"] + [f"{next(values):08d}" for _ in range(count)]
-        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
-    try:
-        raw = spark.read.option("header", True).csv(str(tmp_path))
-        assert raw.rdd.getNumPartitions() > 5
-        found = sorted(int(r["v"]) for r in tables.first_rows(raw, n).collect())
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert found == list(range(min(n, 1000)))
+def test_csv_cells_with_quotes_commas_and_line_breaks(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('id,s\n1,"say ""hi"", ok"\n2,"two\nlines"\n3,plain\n')
+    df = tables.read_csv_table(spark, str(tmp_path / "t.csv"))
+    assert df.dtypes == [("id", "bigint"), ("s", "string")]
+    assert [r["s"] for r in df.orderBy("id").collect()] == ['say "hi", ok', "two\nlines", "plain"]
 
 
-def test_bounded_csv_profile(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tables, "SAMPLE_CHUNK", 10)
+def test_whole_table_decides_the_type(spark, tmp_path):
     (tmp_path / "t.csv").write_text("v\n" + "\n".join(str(i) for i in range(100_000)) + "\nx\n")
     whole = tables.read_csv_table(spark, str(tmp_path / "t.csv"))
     assert whole.count() == 100_001 and whole.dtypes == [("v", "string")]
-    sample = tables.read_csv_table(spark, str(tmp_path / "t.csv"), max_rows=50_000)
-    assert sample.count() == 50_000 and sample.dtypes == [("v", "bigint")]
+
+
+def test_json_repeated_keys_empty_arrays_and_odd_names(spark, tmp_path):
+    (tmp_path / "t.json").write_text('[{"a": 1, "a": 2, "OBJECT<k": 3}]')
+    assert tables.read_json_table(spark, str(tmp_path / "t.json")).collect() == [(3, 2)]
+    texts = spark.createDataFrame([("e", "[]"), ("f", '[{"a": 1, "a": "x"}, null]')], "p STRING, value STRING")
+    found = {r["p"]: r for r in tables.json_file_schemas(texts, "value", "p").collect()}
+    assert (found["e"]["n_rows"], found["e"]["columns"]) == (0, [])
+    assert found["f"]["columns"] == ["a"] and found["f"]["dtypes"] == {"a": "string"}
 
 
 def test_json_table(spark, tmp_path):
