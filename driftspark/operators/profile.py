@@ -15,9 +15,6 @@ from driftspark.runtime import col
 # Fixed value: frequent values kept per column.
 TOP_K = 10
 
-# Longer values are grouped by digest and their text is fetched for the winners only.
-LONG_VALUE = 256
-
 _TOPK_SCHEMA = "column_name STRING, value STRING, n BIGINT, position INT"
 _STATS = ("min", "max", "mean", "std")
 
@@ -179,11 +176,10 @@ def topk_values(
 ) -> DataFrame:
     """The ``k`` most frequent values of each non-numeric column: ``column_name, value, n, position``.
 
-    Ties go to the smaller value. Nulls are left out, or counted as ``null_label`` if one is given.
-    Values are counted before the shuffle and ranked with a per-partition limit, so neither a value
-    nor a column that holds most rows reaches one task whole. Long values travel as their first
-    ``LONG_VALUE`` characters plus a digest of the whole text; the text is then looked up for the
-    winners, at most ``k`` per column.
+    Ties go to the smaller SHA-256 digest of the value, whatever its length. Nulls are left out, or counted
+    as ``null_label`` if one is given. Values travel as their digest and are counted before the shuffle, and
+    ranks come with a per-partition limit, so neither a value nor a column that holds most rows reaches one
+    task whole. The text is then looked up for the winners, at most ``k`` per column.
     """
     kinds = {field.name: type_class(field.dataType) for field in df.schema}
     chosen = columns or [name for name, kind in kinds.items() if not _is_numeric(kind)]
@@ -195,27 +191,13 @@ def topk_values(
         values = values.where(F.col("value").isNotNull())
     else:
         values = values.fillna(null_label, ["value"])
-    keyed = values.select(
-        "column_name",
-        "value",
-        F.left("value", F.lit(LONG_VALUE)).alias("head"),
-        F.when(F.length("value") > LONG_VALUE, F.sha2("value", 256)).otherwise("").alias("digest"),
-    )
-    key = ["column_name", "head", "digest"]
+    keyed = values.select("column_name", "value", F.unhex(F.sha2("value", 256)).alias("digest"))
+    key = ["column_name", "digest"]
     counts = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("column_name").orderBy(F.desc("n"), "head", "digest")
+    order = Window.partitionBy("column_name").orderBy(F.desc("n"), "digest")
     winners = counts.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
-    # Without long winners the broadcast side is empty and adaptive execution skips this scan.
-    long_keys = winners.where("digest <> ''").select(*key)
-    long_texts = (
-        keyed.where("digest <> ''")
-        .join(F.broadcast(long_keys), key, "left_semi")
-        .groupBy(*key)
-        .agg(F.min("value").alias("whole"))
-    )
-    return winners.join(long_texts, key, "left").select(
-        "column_name",
-        F.coalesce("whole", "head").alias("value"),
-        "n",
-        "position",
+    # At most ``k`` winners per column, so the lookup is a bounded broadcast.
+    whole = (
+        keyed.join(F.broadcast(winners.select(*key)), key, "left_semi").groupBy(*key).agg(F.min("value").alias("value"))
     )
+    return winners.join(whole, key).select("column_name", "value", "n", "position")

@@ -180,13 +180,12 @@ GAP_COLUMNS = [("event_id", "int"), ("user_id", "int"), ("value", "float"), ("ki
 
 
 def _topk(table: str, source: str, columns: dict[str, str]) -> str:
-    """Ten most frequent; ties by the first 256 characters, then by digest for longer text."""
+    """Ten most frequent; ties by the digest of the value."""
     rows = []
     for column, value in columns.items():
         rows.append(
             f"""SELECT '{table}' AS table_name, '{column}' AS column_name, value, n, position FROM (
-  SELECT value, n, CAST(row_number() OVER (ORDER BY n DESC, left(value, 256),
-    CASE WHEN length(value) > 256 THEN sha256(value) ELSE '' END) AS INTEGER) AS position
+  SELECT value, n, CAST(row_number() OVER (ORDER BY n DESC, sha256(value)) AS INTEGER) AS position
   FROM (SELECT {value} AS value, count(*) AS n FROM {source} WHERE {column} IS NOT NULL GROUP BY 1)
 ) WHERE position <= 10"""
         )

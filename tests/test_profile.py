@@ -64,7 +64,7 @@ def test_profile_is_one_aggregation(table, plan_text, tmp_path, spark):
 
 def topk(values, k):
     counts = collections.Counter(v for v in values if v is not None)
-    key = lambda item: (-item[1], item[0][:256], hashlib.sha256(item[0].encode()).hexdigest() if len(item[0]) > 256 else "")
+    key = lambda item: (-item[1], hashlib.sha256(item[0].encode()).hexdigest())
     return [(v, n) for v, n in sorted(counts.items(), key=key)[:k]]
 
 
@@ -76,6 +76,14 @@ def test_topk_keeps_whole_long_values(spark):
     assert found == topk(values, 5)
 
 
+def test_ties_follow_one_rule_at_all_lengths(spark):
+    for head in ("", "x" * 1000):
+        values = [head + c for c in "abcdefgh"]
+        df = spark.createDataFrame([(v,) for v in values], "s STRING")
+        found = [(r["value"], r["n"]) for r in profile.topk_values(df, 4).orderBy("position").collect()]
+        assert found == topk(values, 4)
+
+
 def test_topk_of_truth_values_and_nulls(table):
     rows = profile.topk_values(table, columns=["b"], null_label="None").orderBy("position").collect()
     assert [(r["value"], r["n"]) for r in rows] == [("True", 2), ("False", 1), ("None", 1)]
