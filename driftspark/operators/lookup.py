@@ -9,8 +9,9 @@ shuffle of the others under a salt.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.runtime import col
@@ -29,7 +30,7 @@ def join_lookup(
     """Left join of ``rows`` with ``lookup`` on ``keys``.
 
     ``counts`` has ``keys`` and ``n``, the number of rows per key; ``spread_by`` is a column of ``rows``
-    that differs among the rows of one key.
+    that differs among the rows of one key. A null in a key matches nothing, so such rows are only spread.
     """
     keys = list(keys)
     values = [name for name in lookup.columns if name not in keys]
@@ -40,10 +41,11 @@ def join_lookup(
     hot_table = hot.join(hot_found, keys, "left").withColumn("_hot", F.lit(True))
     tagged = rows.join(F.broadcast(hot_table), keys, "left")
     cold = F.col("_hot").isNull()
+    known = reduce(Column.__and__, [col(k).isNotNull() for k in keys])
     salted = tagged.select(
         "*",
         *[F.when(cold, col(k)).alias(f"_cold_{k}") for k in keys],
-        F.when(cold, F.xxhash64(*keys)).otherwise(F.xxhash64(spread_by)).alias("_salt"),
+        F.when(cold & known, F.xxhash64(*keys)).otherwise(F.xxhash64(spread_by)).alias("_salt"),
     )
     others = packed.select(
         *[col(k).alias(f"_cold_{k}") for k in keys],
