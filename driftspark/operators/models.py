@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -28,6 +29,9 @@ RIDGE_ALPHA = 1.0
 # Statistics of the tree nodes grown in one pass over the data; more memory means fewer passes.
 FOREST_MEMORY_MB = 1024
 
+# Partitions of the training rows, whatever the machine.
+FIT_TASKS = 32
+
 TASKS = ("classification", "regression")
 MODEL_TYPES = ("rf", "linear")
 
@@ -84,24 +88,33 @@ def make_estimator(task: str, model_type: str, train: DataFrame, seed: int = SEE
     raise ValueError(f"unknown model type {model_type!r}; expected one of {', '.join(MODEL_TYPES)}")
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Training costs far more per byte than a scan: give a small table a task per core.
+def _dealt(rows: DataFrame, features: Sequence[str], tasks: int) -> DataFrame:
+    """Rows in a fixed number of partitions and a fixed order within them, both decided by their content.
 
-    A table that already fills the cores is left as it is, without a shuffle.
+    Bagging draws by partition and order, so the same rows give the same model on any number of cores.
+    Metadata takes part in the key: rows with equal features do not meet in one partition.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    key = F.xxhash64(*[col(name) for name in rows.columns])
+    narrow = rows.select(*[col(name) for name in features], TARGET, key.alias("_key"))
+    return narrow.repartition(tasks, "_key").sortWithinPartitions("_key", *[col(f) for f in features]).drop("_key")
 
 
 def fit(
     train: DataFrame, task: str, model_type: str = "rf", seed: int = SEED,
-    extra_metadata: Sequence[str] = ("split",),
+    extra_metadata: Sequence[str] = ("split",), tasks: int = FIT_TASKS,
 ) -> TrainedModel:
+    """``tasks`` should grow with the table; a forest depends on it, but on no property of the machine.
+
+    The rows are kept while the model is fitted, so iterations do not read the table again.
+    """
     features = feature_columns(train, extra_metadata)
-    narrow = _spread(train.select(*[col(name) for name in features], TARGET))
+    narrow = _dealt(train, features, tasks).persist(StorageLevel.MEMORY_AND_DISK)
     assembler = VectorAssembler(inputCols=features, outputCol=_VECTOR, handleInvalid="error")
-    estimator = make_estimator(task, model_type, narrow, seed)
-    model = Pipeline(stages=[assembler, estimator]).fit(narrow)
+    try:
+        estimator = make_estimator(task, model_type, narrow, seed)
+        model = Pipeline(stages=[assembler, estimator]).fit(narrow)
+    finally:
+        narrow.unpersist()
     return TrainedModel(model, features, task, model_type)
 
 

@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -123,3 +128,30 @@ def test_nan_feature_is_an_error(spark, rows):
     data = with_target(spark, rows, "score_diff").withColumn("a", F.when(F.col("a") > 5, F.lit(float("nan"))).otherwise(F.col("a")))
     with pytest.raises(Exception):
         models.fit(data.where("split = 'train'"), "regression", "linear")
+
+
+FOREST = """
+import sys
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from driftspark.operators import models
+spark = SparkSession.builder.master(f"local[{sys.argv[1]}]").config("spark.ui.enabled", "false").getOrCreate()
+i = F.col("id")
+rows = spark.range(400).select(
+    i.cast("string").alias("game_id"), (i * 7919 % 101).cast("double").alias("x"), (i * 104729 % 89).cast("double").alias("y"),
+    (i * 31 % 3 == 0).cast("int").alias("target"),
+).repartition(int(sys.argv[1]))
+print("FOREST", hash(models.fit(rows, "classification").model.stages[-1].toDebugString.split("\\n", 1)[1]))
+"""
+
+
+def test_the_same_forest_on_any_number_of_cores():
+    root = Path(__file__).resolve().parent.parent
+    found = [
+        subprocess.run(
+            [sys.executable, "-c", FOREST, cores], cwd=root, capture_output=True, text=True, timeout=300,
+            env=os.environ | {"PYTHONPATH": str(root), "PYTHONHASHSEED": "0"},
+        ).stdout.split("FOREST")[1]
+        for cores in ("2", "4")
+    ]
+    assert found[0] == found[1]
