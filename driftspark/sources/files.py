@@ -77,3 +77,26 @@ def file_inventory(paths: DataFrame, root: str, tasks: int | None = None) -> Dat
     wanted = paths.select("dest_path").where(is_safe_path(F.col("dest_path"))).distinct()
     spread = wanted.repartition(tasks or shuffle_tasks(paths.sparkSession), "dest_path")
     return spread.mapInPandas(_hash_files(root), INVENTORY_SCHEMA)
+
+
+def _write_files(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = _locate(root)
+        for batch in batches:
+            for dest_path, content in zip(batch["dest_path"], batch["content"], strict=True):
+                system.create_dir((base + dest_path).rpartition("/")[0], recursive=True)
+                with system.open_output_stream(base + dest_path) as stream:
+                    stream.write(content)
+            yield batch[["dest_path"]]
+
+    return run
+
+
+def write_files(rows: DataFrame, root: str) -> DataFrame:
+    """Write ``content`` (binary) to ``dest_path`` below ``root``, each in the task that has the row.
+
+    Returns the paths; nothing is written before an action runs. A repeated task writes the same file again.
+    Unsafe paths are left out. ``root`` must be a store that all executors share.
+    """
+    safe = rows.where(is_safe_path(F.col("dest_path"))).select("dest_path", "content")
+    return safe.mapInPandas(_write_files(root), "dest_path STRING")

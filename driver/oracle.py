@@ -108,6 +108,54 @@ ridge_long AS (
   UNION ALL SELECT dropped, segment_kind, segment, 'r2', r2 FROM ridge_scores
 )"""
 
+FEATURES = ["is_home", "items", "returns", "disc", "opp_items", "opp_returns", "opp_disc"]
+
+
+def _ridge_all(dropped: list[str]) -> str:
+    """Ridge with penalty 1 over all features, next to those without one of ``dropped``.
+
+    Gauss-Jordan elimination on centred sums in cells (i, j); the last column is the right side. A dropped feature
+    has the row and column of the unit matrix, so its weight is 0.
+    """
+    n = len(FEATURES)
+    names = [*FEATURES, "score_diff"]
+    sums = ", ".join(
+        f"sum(({names[i]} - m{i}) * ({names[j]} - m{j})){' + 1' if i == j else ''} AS s{i}_{j}"
+        for i in range(n) for j in range(i, n + 1)
+    )
+    cells = "\n  UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, s{min(i, j)}_{max(i, j)} AS v FROM sums" for i in range(n) for j in range(n + 1)
+    )
+    variants = ", ".join(f"('{name}', {FEATURES.index(name) if name else -1})" for name in ["", *dropped])
+    steps = "".join(
+        f""",
+m{k + 1} AS (
+  SELECT a.dropped, a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - c.v * r.v / p.v END AS v
+  FROM m{k} a JOIN m{k} p ON p.dropped = a.dropped AND p.i = {k} AND p.j = {k}
+  JOIN m{k} r ON r.dropped = a.dropped AND r.i = {k} AND r.j = a.j
+  JOIN m{k} c ON c.dropped = a.dropped AND c.i = a.i AND c.j = {k}
+)"""
+        for k in range(n)
+    )
+    weights = ", ".join(f"max(v) FILTER (i = {k}) AS w{k}" for k in range(n))
+    return SPLIT + f""",
+means AS (SELECT {", ".join(f"avg({name}) AS m{k}" for k, name in enumerate(names))} FROM split WHERE split = 'train'),
+sums AS (SELECT {sums} FROM split, means WHERE split = 'train'),
+cells AS (
+  {cells}
+),
+m0 AS (
+  SELECT dropped, i, j, CASE WHEN i = gone OR j = gone THEN CAST(i = j AS DOUBLE) ELSE CAST(v AS DOUBLE) END AS v
+  FROM cells, (VALUES {variants}) d(dropped, gone)
+){steps},
+weights AS (SELECT dropped, {weights} FROM m{n} WHERE j = {n} GROUP BY dropped),
+ridge AS (
+  SELECT dropped, split, season, CAST(score_diff AS DOUBLE) AS y,
+    m{n} + {" + ".join(f"w{k} * ({name} - m{k})" for k, name in enumerate(FEATURES))} AS p
+  FROM split, means, weights
+),""" + RIDGE[RIDGE.index("\nridge_scores AS (") :]
+
+
 # Newton steps for the penalized likelihood; rows with the same feature value share a term.
 LOGIT = SPLIT + f""",
 cells AS (SELECT CAST(items AS DOUBLE) AS x, CAST(sum(win) AS DOUBLE) AS wins, CAST(count(*) AS DOUBLE) AS n FROM split WHERE split = 'train' GROUP BY items),
@@ -368,6 +416,10 @@ def sql() -> dict[str, str]:
     features = re.split(r",\s*", SIDE_COLUMNS)[5:]
     return {
         "scan_games": _with(GAMES, "SELECT * FROM games"),
+        "landed_games": _with(GAMES, "SELECT * FROM games"),
+        "csv_documents": "SELECT * FROM documents",
+        "stored_pages": "SELECT 'pages/' || page_id || '.html' AS dest_path, sha256(html) AS sha256, "
+        "CAST(strlen(html) AS BIGINT) AS size_bytes FROM pages",
         "two_sided_unpivot": side_row,
         "default_fill": _with(
             SIDES, "SELECT game_id, is_home, items, opp_items, 0 AS assists, 0 AS opp_assists FROM sides"
@@ -421,13 +473,17 @@ UNION ALL SELECT 'season', season, {SCORES} FROM predicted WHERE split = 'test'
             RIDGE,
             "SELECT segment_kind, segment, metric, round(value, 6) AS value FROM ridge_long WHERE dropped = ''",
         ),
+        "ridge_regress_all": _with(
+            _ridge_all([]),
+            "SELECT segment_kind, segment, metric, round(value, 6) AS value FROM ridge_long WHERE dropped = ''",
+        ),
         "train_eval": _with(
-            RIDGE,
-            f"""SELECT 'linear' AS model_type, 'regression' AS task, 2 AS n_features, 'is_home,items' AS features, split, {SCORES}
+            _ridge_all([]),
+            f"""SELECT 'linear' AS model_type, 'regression' AS task, 7 AS n_features, '{",".join(FEATURES)}' AS features, split, {SCORES}
 FROM ridge WHERE dropped = '' AND split <> 'test' GROUP BY split""",
         ),
         "drop_ablation": _with(
-            RIDGE,
+            _ridge_all(["items", "is_home"]),
             """SELECT r.dropped, segment_kind, segment, metric, round(r.value, 6) AS value, round(b.value, 6) AS baseline,
   round(r.value - b.value, 6) AS delta
 FROM ridge_long r JOIN (SELECT * EXCLUDE (dropped) FROM ridge_long WHERE dropped = '') b USING (segment_kind, segment, metric)

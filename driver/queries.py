@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from driftspark.functions import errors, text
 from driftspark.operators import catalog, drift, ledger, metrics, models, profile, runs, sides, split
 from driftspark.plans import training
-from driftspark.sources import files, tables
+from driftspark.runtime import materialize, scratch_dir
+from driftspark.sources import files, games, tables
 from driver import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +42,35 @@ def scan_games(spark, sf):
     return b.games(spark, sf)
 
 
+def landed_games(spark, sf):
+    """Two sports written below one path, one of them twice; the other one is read back."""
+    path = f"{scratch_dir(spark)}/landed-{uuid.uuid4().hex}"
+    rows = b.games(spark, sf)
+    games.write_games(rows, path, "nba")
+    for _ in range(2):
+        games.write_games(rows.where("home_score > 0"), path, "nfl")
+    return games.read_games(spark, path, "nba")
+
+
+def csv_documents(spark, sf):
+    """Documents written as CSV and read with types found again; their texts hold commas, quotes and line breaks."""
+    path = f"{scratch_dir(spark)}/documents-{uuid.uuid4().hex}.csv"
+    rows = b.table(spark, sf, "documents")
+    whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(header=True, **whole, **tables.CSV_QUOTING).csv(path)
+    return tables.read_csv_table(spark, path)
+
+
+def stored_pages(spark, sf):
+    """Pages written as files from the tasks, and the inventory of the files a plan asks for."""
+    root = f"{scratch_dir(spark)}/pages-{uuid.uuid4().hex}"
+    place = F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html"))
+    pages = b.table(spark, sf, "pages").select(place.alias("dest_path"), F.col("html").cast("binary").alias("content"))
+    written = materialize(files.write_files(pages, root), "written")
+    asked = written.select("dest_path").union(written.select(F.concat("dest_path", F.lit(".lost"))))
+    return files.file_inventory(asked, root).drop("mtime_utc")
+
+
 def two_sided_unpivot(spark, sf):
     return _sides(spark, sf)
 
@@ -440,17 +471,17 @@ def ridge_regress(spark, sf):
 
 
 def ridge_regress_all(spark, sf):
-    return _model(spark, sf, "score_diff", "linear")
+    return _rounded(_model(spark, sf, "score_diff", "linear"), "value")
 
 
 def train_eval(spark, sf):
-    rows = b.split_games(spark, sf, "score_diff", BUT_TWO)
+    rows = b.split_games(spark, sf, "score_diff")
     _, scores = models.train_eval(rows, "regression", "linear")
     return _rounded(scores.withColumn("features", F.array_join("features", ",")), "mse", "mae", "r2")
 
 
 def drop_ablation(spark, sf):
-    rows = b.split_games(spark, sf, "score_diff", BUT_TWO)
+    rows = b.split_games(spark, sf, "score_diff")
     compared = models.drop_ablation(rows, "regression", [["items"], ["is_home"]], "linear")
     return _rounded(compared, "value", "baseline", "delta")
 
@@ -467,5 +498,5 @@ ALL: list[Query] = [
     integrity_report, duplicate_paths, unsafe_paths, optional_policy, run_counters, run_status, run_record,
     audit_rollup, attribution_lookup, pinned_gate, rf_classify, logit_classify, logit_classify_all,
     rf_regress, ridge_regress,
-    ridge_regress_all, train_eval, drop_ablation,
+    ridge_regress_all, train_eval, drop_ablation, landed_games, csv_documents, stored_pages,
 ]
