@@ -105,15 +105,21 @@ def default_fill(games: DataFrame, stats: Sequence[str]) -> DataFrame:
     return games.withColumns(filled)
 
 
-def feature_drop(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Drop the named features that exist; unknown names are ignored and ``opp_`` twins stay.
+def feature_drop(rows: DataFrame, names: Sequence[str], both_sides: bool = False) -> DataFrame:
+    """Drop the named features that exist; unknown names are ignored.
+
+    ``opp_`` twins stay unless ``both_sides``, which drops a feature of either side with its twin.
 
     Metadata and target are refused: later steps need them.
     """
     refused = sorted(set(names) & {*METADATA, TARGET})
     if refused:
         raise ValueError(f"not features: {', '.join(refused)}")
-    keep = [name for name in rows.columns if name not in set(names)]
+    gone = set(names)
+    if both_sides:
+        own = {name.removeprefix("opp_") for name in names} - {*METADATA, TARGET}
+        gone |= own | {f"opp_{name}" for name in own}
+    keep = [name for name in rows.columns if name not in gone]
     return rows.select(*[col(name) for name in keep])
 
 

@@ -80,3 +80,9 @@ def test_scan_reads_only_the_statistics_in_use(spark, games, tmp_path, plan_text
     assert "ReadSchema: struct<game_id:string,date:string,home_score:int,away_score:int,home_assists:int,away_assists:int>" in plan
     assert "GreaterThan(date,2021-01-01)" in plan
     assert "Exchange" not in plan
+
+
+def test_drop_of_both_sides(spark):
+    rows = spark.createDataFrame([(1, 2, 3, 4, 5)], "game_id INT, a INT, opp_a INT, b INT, opp_b INT")
+    assert sides.feature_drop(rows, ["opp_a"], both_sides=True).columns == ["game_id", "b", "opp_b"]
+    assert sides.feature_drop(rows, ["opp_a"]).columns == ["game_id", "a", "b", "opp_b"]
