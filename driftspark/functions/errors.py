@@ -19,6 +19,7 @@ HTTP_5XX = "E_HTTP_5XX"
 CHECKSUM_MISMATCH = "E_CHECKSUM_MISMATCH"
 TRUNCATED_DOWNLOAD = "E_TRUNCATED_DOWNLOAD"
 JSON_PARSE = "E_JSON_PARSE"
+JSON_ITEM_TOO_LARGE = "E_JSON_ITEM_TOO_LARGE"
 SCHEMA_UNSUPPORTED = "E_SCHEMA_UNSUPPORTED"
 MANIFEST_MISSING = "E_MANIFEST_MISSING"
 CHECKSUMS_MISSING = "E_CHECKSUMS_MISSING"

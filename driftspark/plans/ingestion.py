@@ -18,7 +18,7 @@ from driftspark.operators import catalog, drift, ledger, profile, runs
 from driftspark.operators.lookup import join_lookup, key_counts
 from driftspark.runtime import materialize
 from driftspark.sources import tables
-from driftspark.sources.files import file_inventory, scanned_path
+from driftspark.sources.files import file_inventory
 
 PLAN_COLUMNS = [
     "ordinal", "logical_name", "url", "dest_path", "expected_type", "expected_size_bytes", "sha256", "group",
@@ -148,24 +148,24 @@ _ENTRY = {
 def stored_schemas(spark: SparkSession, root: str, plan: DataFrame, inventory: DataFrame) -> DataFrame:
     """Schema entries of the stored plan items, with ``note`` where a file gives none.
 
-    JSON files, of which a plan can hold millions, share one job and carry no statistics. Tables (CSV,
+    JSON files, of which a plan can hold millions, share one job and carry no statistics; only planned files
+    are read, element by element. An element that the engine cannot hold has an error of its own. Tables (CSV,
     Parquet) are one per dataset and season; each has one aggregation of its own.
     """
     about = ["dest_path", "ordinal", "group"]
     stored = plan.join(inventory.select("dest_path"), "dest_path", "left_semi").select(*about)
     suffix = F.lower(F.regexp_extract("dest_path", r"(\.[^./]+)$", 1))
-    texts = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.[jJ][sS][oO][nN]")
-        .text(root)
-        .select(scanned_path(root).alias("dest_path"), "value")
-        .join(stored.where(suffix == ".json"), "dest_path")
-    )
-    broken = F.try_parse_json("value").isNull()
+    tables.last_key_wins(spark)
+    items = tables.planned_json(stored.where(suffix == ".json"), root).withColumn("item", F.try_parse_json("text"))
+    # Several results read the items, so the files are read once.
+    large = F.col("text").isNotNull() & F.col("item").isNull()
+    items = materialize(items.withColumn("large", large).drop("text"), "items")
+    ends = items.groupBy(*about).agg(F.bool_or("broken").alias("broken"), F.bool_or("large").alias("large"))
+    whole = items.join(ends.where("not broken and not large").select("dest_path"), "dest_path", "left_semi")
     entries = [
-        _entry(tables.json_file_schemas(texts.where(~broken), "value", *about), about),
-        _noted(texts.where(broken), about, errors.JSON_PARSE),
+        _entry(tables.item_schemas(whole, *about), about),
+        _noted(ends.where("broken"), about, errors.JSON_PARSE),
+        _noted(ends.where("not broken and large"), about, errors.JSON_ITEM_TOO_LARGE),
         _noted(stored.where(~suffix.isin(".json", ".csv", ".parquet")), about, "unsupported extension"),
     ]
     for item in stored.where(suffix.isin(".csv", ".parquet")).toLocalIterator():

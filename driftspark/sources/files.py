@@ -27,14 +27,7 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def scanned_path(root: str) -> Column:
-    """Path below ``root`` of the file a row was read from; the scan gives it with a scheme, escaped."""
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    base = "/" + re.sub(_PLACE, "", root).strip("/") + "/"
-    return F.substr(F.regexp_replace(path, _PLACE, ""), F.lit(len(base) + 1))
-
-
-def _locate(root: str):
+def locate(root: str):
     """File system and base path of ``root``; only scheme and host form a URI."""
     from pyarrow import fs
 
@@ -48,7 +41,7 @@ def _hash_files(root: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        system, base = _locate(root)
+        system, base = locate(root)
         for batch in batches:
             found = []
             for dest_path in batch["dest_path"]:
@@ -81,7 +74,7 @@ def file_inventory(paths: DataFrame, root: str, tasks: int | None = None) -> Dat
 
 def _write_files(root: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = _locate(root)
+        system, base = locate(root)
         for batch in batches:
             for dest_path, content in zip(batch["dest_path"], batch["content"], strict=True):
                 system.create_dir((base + dest_path).rpartition("/")[0], recursive=True)

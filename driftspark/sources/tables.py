@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
+import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,8 @@ from pyspark.sql import types as T
 from driftspark.functions import errors
 from driftspark.functions.types import numeric_coerce
 from driftspark.operators.profile import schema_fingerprint
-from driftspark.runtime import col
+from driftspark.runtime import col, shuffle_tasks
+from driftspark.sources.files import locate
 
 # Text that a CSV cell uses for null.
 CSV_NULLS = [
@@ -24,6 +27,9 @@ CSV_NULLS = [
 CSV_TRUE = ["True", "TRUE", "true"]
 CSV_FALSE = ["False", "FALSE", "false"]
 
+# Bytes of a JSON file that are read at once.
+JSON_BLOCK = 1 << 20
+
 _WHOLE = r"^\s*[+-]?\d+\s*$"
 
 def typed_text(raw: DataFrame, null_tokens: Sequence[str] = tuple(CSV_NULLS)) -> DataFrame:
@@ -219,15 +225,14 @@ def _leaves_of(types: pd.Series) -> pd.Series:
     return types.map(json_leaves)
 
 
-def json_file_schemas(texts: DataFrame, text: str, *keys: str) -> DataFrame:
-    """``keys, n_rows, columns, dtypes, schema_fingerprint`` of any number of JSON files in one job.
+def item_schemas(items: DataFrame, *keys: str) -> DataFrame:
+    """``keys, n_rows, columns, dtypes, schema_fingerprint`` per ``keys`` of rows with a VARIANT ``item`` (or null).
 
     The type is merged by a partial aggregation, so a file with very many documents is no hot spot;
     the UDF sees one short type per file.
     """
     typed = (
-        json_items(texts.select(*keys, text), text)
-        .groupBy(*keys)
+        items.groupBy(*keys)
         .agg(F.count("item").alias("n_rows"), F.schema_of_variant_agg("item").alias("ddl"))
         .select(
             *keys,
@@ -244,6 +249,105 @@ def json_file_schemas(texts: DataFrame, text: str, *keys: str) -> DataFrame:
     ).withColumn("schema_fingerprint", schema_fingerprint(F.col("columns"), F.col("dtypes")))
 
 
+def json_file_schemas(texts: DataFrame, text: str, *keys: str) -> DataFrame:
+    """``item_schemas`` of any number of JSON files whose text is in a column."""
+    return item_schemas(json_items(texts.select(*keys, text), text), *keys)
+
+
+def json_elements(read: Callable[[int], bytes], block: int = JSON_BLOCK) -> Iterator[str]:
+    """Texts of the elements of a file's array, or of its one value, read block by block.
+
+    Only one element and one block are in memory. What is no JSON raises ``ValueError`` where it stands.
+    """
+    decode = codecs.getincrementaldecoder("utf-8-sig")().decode
+    scan = json.JSONDecoder().raw_decode
+    text, at, ended = "", 0, False
+
+    def more(size: int) -> None:
+        nonlocal text, at, ended
+        data = read(size)
+        text, at, ended = text[at:] + decode(data, not data), 0, not data
+
+    def upcoming() -> str:
+        """The next character that is no white space; empty at the end."""
+        nonlocal at
+        while True:
+            while at < len(text) and text[at] in " \t\r\n":
+                at += 1
+            if at < len(text) or ended:
+                return text[at : at + 1]
+            more(block)
+
+    def value() -> str:
+        nonlocal at
+        size = block
+        while True:
+            try:
+                _, end = scan(text, at)
+                # A number at the end of a block may go on in the next one.
+                if end < len(text) or ended:
+                    part, at = text[at:end], end
+                    return part
+            except json.JSONDecodeError:
+                if ended:
+                    raise
+            more(size)
+            size *= 2
+
+    if upcoming() != "[":
+        yield value()
+    else:
+        at += 1
+        mark = upcoming()
+        while mark != "]":
+            yield value()
+            mark = upcoming()
+            if mark not in ("]", ","):
+                raise ValueError("an array goes on without a comma")
+            if mark == ",":
+                at += 1
+                upcoming()
+        at += 1
+    if upcoming():
+        raise ValueError("text after the end")
+
+
+def _read_items(root: str, names: Sequence[str], path: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = locate(root)
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                part, size = [], 0
+                broken = False
+                with system.open_input_stream(base + row[path]) as stream:
+                    try:
+                        for text in json_elements(stream.read):
+                            part.append(text)
+                            size += len(text)
+                            if size > JSON_BLOCK:
+                                yield pd.DataFrame([row] * len(part), columns=names).assign(text=part, broken=False)
+                                part, size = [], 0
+                    except (ValueError, RecursionError):
+                        broken = True
+                # The last row says how the file ended, also where it has no element.
+                part.append(None)
+                ends = [False] * (len(part) - 1) + [broken]
+                yield pd.DataFrame([row] * len(part), columns=names).assign(text=part, broken=ends)
+
+    return run
+
+
+def planned_json(files: DataFrame, root: str, path: str = "dest_path", tasks: int | None = None) -> DataFrame:
+    """``files`` with a row per JSON element (``text``) and one row without, whose ``broken`` says if it is no JSON.
+
+    The tasks open the files that are asked for and no others, and read them block by block: neither the size
+    of a file nor the number of files in the store matters.
+    """
+    spread = files.repartition(tasks or shuffle_tasks(files.sparkSession), path)
+    schema = T.StructType([*files.schema.fields]).add("text", "string").add("broken", "boolean")
+    return spread.mapInPandas(_read_items(root, files.columns, path), schema)
+
+
 def suffix_of(path: str) -> str:
     match = re.search(r"\.[^./]+$", path.rstrip("/"))
     return match.group(0).lower() if match else ""

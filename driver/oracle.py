@@ -417,6 +417,8 @@ def sql() -> dict[str, str]:
     return {
         "scan_games": _with(GAMES, "SELECT * FROM games"),
         "landed_games": _with(GAMES, "SELECT * FROM games"),
+        "profile_json_files": "SELECT 'events/' || (event_id // 1000) || '.json' AS dest_path, count(*) AS n_rows, "
+        "'event_id,event_type,value' AS columns, 'int,string,float' AS classes FROM events GROUP BY 1",
         "csv_documents": "SELECT * FROM documents",
         "stored_pages": "SELECT 'pages/' || page_id || '.html' AS dest_path, sha256(html) AS sha256, "
         "CAST(strlen(html) AS BIGINT) AS size_bytes FROM pages",

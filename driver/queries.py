@@ -61,6 +61,25 @@ def csv_documents(spark, sf):
     return tables.read_csv_table(spark, path)
 
 
+def profile_json_files(spark, sf):
+    """Events written as JSON arrays of a thousand from the tasks, and the schemas of the files of a plan."""
+    root = f"{scratch_dir(spark)}/events-{uuid.uuid4().hex}"
+    place = F.concat(F.lit("events/"), F.floor(F.col("event_id") / 1000).cast("string"), F.lit(".json"))
+    arrays = (
+        b.table(spark, sf, "events")
+        .groupBy(place.alias("dest_path"))
+        .agg(F.array_join(F.collect_list(F.to_json(F.struct("event_id", "event_type", "value"))), ",").alias("list"))
+    )
+    content = F.concat(F.lit("["), F.col("list"), F.lit("]")).cast("binary")
+    plan = materialize(files.write_files(arrays.select("dest_path", content.alias("content")), root), "plan")
+    tables.last_key_wins(spark)
+    items = tables.planned_json(plan, root).withColumn("item", F.try_parse_json("text"))
+    kinds = F.transform("columns", lambda c: F.element_at("dtypes", c))
+    return tables.item_schemas(items, "dest_path").select(
+        "dest_path", "n_rows", _joined("columns"), F.array_join(kinds, ",").alias("classes")
+    )
+
+
 def stored_pages(spark, sf):
     """Pages written as files from the tasks, and the inventory of the files a plan asks for."""
     root = f"{scratch_dir(spark)}/pages-{uuid.uuid4().hex}"
@@ -498,5 +517,6 @@ ALL: list[Query] = [
     integrity_report, duplicate_paths, unsafe_paths, optional_policy, run_counters, run_status, run_record,
     audit_rollup, attribution_lookup, pinned_gate, rf_classify, logit_classify, logit_classify_all,
     rf_regress, ridge_regress,
-    ridge_regress_all, train_eval, drop_ablation, landed_games, csv_documents, stored_pages,
+    ridge_regress_all, train_eval, drop_ablation, landed_games, csv_documents, profile_json_files,
+    stored_pages,
 ]

@@ -1,4 +1,5 @@
 import hashlib
+import io
 import json
 
 import pytest
@@ -267,3 +268,39 @@ def test_unpivot_of_read_games_keeps_types(spark, season_files):
     rows = sides.two_sided_unpivot(games.read_season_files(spark, season_files, "nba"), sides.stats_of("nba"))
     kinds = dict(rows.dtypes)
     assert (kinds["fg_pct"], kinds["opp_turnovers"], kinds["target"]) == ("double", "bigint", "int")
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_json_elements_block_by_block(block):
+    def elements(text):
+        stream = io.BytesIO(text.encode())
+        return list(tables.json_elements(stream.read, block))
+
+    assert elements('[{"a": 1}, 12, "x,]", [1, 2] , null]') == ['{"a": 1}', "12", '"x,]"', "[1, 2]", "null"]
+    assert elements(" [] ") == [] and elements('\ufeff{"é": [1]}') == ['{"é": [1]}'] and elements("12") == ["12"]
+    for broken in ("", "[", "[1", "[1,", "[1 2]", "{not: json", "[1] x", "[1,]", '{"a":'):
+        with pytest.raises(ValueError):
+            elements(broken)
+
+
+def test_only_planned_json_files_are_read(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"k": 1, "k": 2}, {"k": "x"}]')
+    (tmp_path / "b.json").write_text("[]")
+    (tmp_path / "c.json").write_text("[{}, {")
+    (tmp_path / "lost").mkdir()
+    asked = spark.createDataFrame([("a.json", 1), ("b.json", 2), ("c.json", 3)], "dest_path STRING, ordinal INT")
+    found = tables.planned_json(asked, str(tmp_path)).collect()
+    assert sorted((r.ordinal, r.text or "", r.broken) for r in found) == [
+        (1, "", False), (1, '{"k": "x"}', False), (1, '{"k": 1, "k": 2}', False), (2, "", False), (3, "", True), (3, "{}", False),
+    ]
+
+
+def test_a_json_file_beyond_one_value(spark, tmp_path):
+    """150 MB, more than the engine takes as one value."""
+    line = json.dumps({"n": 1, "text": "x" * 10_000})
+    with (tmp_path / "big.json").open("w") as out:
+        out.write("[" + ",".join([line] * 15_000) + "]")
+    asked = spark.createDataFrame([("big.json",)], "dest_path STRING")
+    items = tables.planned_json(asked, str(tmp_path), tasks=1).withColumn("item", F.try_parse_json("text"))
+    assert items.where("broken or (text is not null and item is null)").count() == 0
+    assert tables.item_schemas(items, "dest_path").first()["n_rows"] == 15_000
