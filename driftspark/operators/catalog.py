@@ -42,6 +42,12 @@ def parse_scopes(scopes: DataFrame, scope: str = "scope") -> DataFrame:
     return scopes.withColumns({"datasets": parsed["datasets"], "seasons": parsed["seasons"]})
 
 
+def season_number(season: Column) -> Column:
+    """A season as a number; JSON may write it as ``2023.0``. Null for what is none, or negative."""
+    number = F.regexp_replace(season, r"\.0*\s*$", "").try_cast("int")
+    return F.when(number >= 0, number)
+
+
 def scope_violations(scopes: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
     """One row per broken rule; ``scopes`` has ``scope_id, datasets, seasons``."""
 
@@ -73,7 +79,7 @@ def scope_violations(scopes: DataFrame, patterns: Mapping[str, str]) -> DataFram
     )
     known = list(patterns)
     bad_seasons = each(
-        F.col("seasons"), lambda s: s.isNull() | s.try_cast("int").isNull(), "invalid season"
+        F.col("seasons"), lambda s: season_number(s).isNull(), "invalid season"
     )
     bad_datasets = each(
         F.col("datasets"), lambda d: d.isNull() | ~d.isin(known), "unknown dataset"
@@ -83,7 +89,7 @@ def scope_violations(scopes: DataFrame, patterns: Mapping[str, str]) -> DataFram
 
 def expand_scope(scopes: DataFrame) -> DataFrame:
     """``scope_id, dataset, season, ordinal``: every dataset with every distinct season of its scope."""
-    seasons = F.array_distinct(F.transform("seasons", lambda s: s.try_cast("int")))
+    seasons = F.array_distinct(F.transform("seasons", season_number))
     return (
         scopes.select("scope_id", F.posexplode("datasets").alias("at", "dataset"), seasons.alias("seasons"))
         .select("scope_id", "at", "dataset", F.explode("seasons").alias("season"))
@@ -210,7 +216,8 @@ def expand_pairs(
     """Distinct ``competition_id, season_id``.
 
     Explicit ``pairs`` are taken as they are, without a look at the catalog. Otherwise the catalog is
-    filtered by each side that is given: a list, or a DataFrame for sets too large for one.
+    filtered by each side that is given: a list, or a DataFrame for sets too large for one. What a request
+    asks for in vain is no row here; ``expansion_violations`` reports it.
     """
     ids = ["competition_id", "season_id"]
     if pairs is not None:
@@ -236,6 +243,16 @@ def pair_violations(pairs: DataFrame) -> DataFrame:
     )
 
 
+def expansion_violations(expanded: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``code, message, value`` of a request: its malformed pairs, or that it matches nothing at all."""
+    nothing = expanded.groupBy().agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
+        F.lit(errors.SCOPE_INVALID).alias("code"),
+        F.lit("no competition and season match the request").alias("message"),
+        F.lit(None).cast("string").alias("value"),
+    )
+    return nothing if pairs is None else pair_violations(pairs).unionByName(nothing)
+
+
 def raw_url(base: str, owner: str, repo: str, ref: str, path: Column) -> Column:
     return F.concat_ws("/", F.lit(base), F.lit(owner), F.lit(repo), F.lit(ref), path)
 

@@ -218,10 +218,13 @@ def _record(spark: SparkSession, request: RunRequest, statuses: DataFrame) -> Da
 
 def ingest(
     spark: SparkSession, request: RunRequest, plan: DataFrame, known_before: DataFrame,
-    failures: DataFrame, root: str,
+    failures: DataFrame, root: str, expansion_errors: DataFrame | None = None,
 ) -> RunResult:
     """Account for a run whose files are on storage below ``root``.
 
+    ``expansion_errors`` (``code, message, value``, see ``catalog.expansion_violations``) are parts of the
+    request that gave no item; each counts as failed.
+
     Unsafe destinations stop it before anything else; a dry run records the plan and nothing more.
     Plan, inventory and outcomes are written once, because several results read them; so each file is
     hashed once.
@@ -245,6 +248,8 @@ def ingest(
         "left_semi",
     )
     counters = _one_run(spark, request.run_id, runs.run_counters(outcomes))
+    if expansion_errors is not None:
+        counters = counters.withColumn("failed", F.col("failed") + F.lit(expansion_errors.count()))
     schemas = materialize(stored_schemas(spark, root, plan, inventory), "schemas")
     failed_items = outcomes.where(F.col("error_code").isNotNull()).select(
         F.col("error_code").alias("code"), "logical_name", "dest_path", F.col("optional_miss").alias("optional")
@@ -255,10 +260,19 @@ def ingest(
         "dest_path",
         F.lit(False).alias("optional"),
     )
+    found_errors = failed_items.unionByName(bad_files).withColumn("message", F.lit(None).cast("string"))
+    if expansion_errors is not None:
+        nothing = F.lit(None).cast("string")
+        found_errors = found_errors.unionByName(
+            expansion_errors.select(
+                "code", nothing.alias("logical_name"), nothing.alias("dest_path"), F.lit(False).alias("optional"),
+                F.concat_ws(": ", "message", "value").alias("message"),
+            )
+        )
     good = schemas.where(~F.coalesce(F.col("note").startswith("E_"), F.lit(False)))
     return RunResult(
         plan=plan,
-        errors=failed_items.unionByName(bad_files),
+        errors=found_errors,
         ledger=ledger.ledger_upsert(known_before, fresh),
         schemas=schemas,
         drift=drift.drift_report(good),
@@ -284,7 +298,7 @@ def _dry_run(spark: SparkSession, request: RunRequest, plan: DataFrame) -> RunRe
     )
     return RunResult(
         plan=plan,
-        errors=spark.createDataFrame([], "code STRING, logical_name STRING, dest_path STRING, optional BOOLEAN"),
+        errors=spark.createDataFrame([], "code STRING, logical_name STRING, dest_path STRING, optional BOOLEAN, message STRING"),
         ledger=spark.createDataFrame([], "dest_path STRING, sha256 STRING, size_bytes BIGINT, mtime_utc STRING"),
         schemas=nothing,
         drift=drift.drift_report(nothing),
@@ -293,11 +307,12 @@ def _dry_run(spark: SparkSession, request: RunRequest, plan: DataFrame) -> RunRe
 
 
 def verify_run(
-    record: DataFrame, plan: DataFrame, known: DataFrame, inventory: DataFrame, allow_floating: bool = False
+    record: DataFrame, plan: DataFrame, known: DataFrame | None, inventory: DataFrame, allow_floating: bool = False
 ) -> tuple[bool, DataFrame]:
     """The gate before a dataset is built: a record, a pinned reference, no integrity violation.
 
-    Violations are ``code, message, logical_name, dest_path``, in that order.
+    Violations are ``code, message, logical_name, dest_path``, in that order. ``known`` is None where the
+    ledger is lost: unlike an empty ledger, that is a violation even if the plan requires nothing.
     """
     spark = plan.sparkSession
     head = record.select("config.require_360").first()
@@ -307,6 +322,12 @@ def verify_run(
             "code STRING, message STRING, logical_name STRING, dest_path STRING",
         )
         return False, missing
+    if known is None:
+        lost = spark.createDataFrame(
+            [(errors.CHECKSUMS_MISSING, "no checksum ledger", None, None)],
+            "code STRING, message STRING, logical_name STRING, dest_path STRING",
+        )
+        return False, lost
     nothing = F.lit(None).cast("string")
     floating = runs.pinned_gate(record, allow_floating).select(
         "code", F.concat(F.lit("floating reference: "), "source_ref").alias("message"),

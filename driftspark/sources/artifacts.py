@@ -29,6 +29,16 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
+def require_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger for the gate: None where it is lost or corrupt, which an empty ledger is not."""
+    try:
+        return spark.read.parquet(path).select("dest_path", "sha256", "size_bytes", "mtime_utc")
+    except Exception as error:
+        if not any(sign in str(error) for sign in _UNREADABLE):
+            raise
+        return None
+
+
 def write_ledger(ledger: DataFrame, path: str) -> None:
     """Write to a path other than the one the ledger was read from; Spark commits it as a whole."""
     ledger.write.mode("overwrite").parquet(path)

@@ -595,6 +595,9 @@ WHERE d NOT IN ({', '.join(f"'{lang}'" for lang in LANGUAGES)})""",
   SELECT scope_id, datasets[1] AS dataset, TRY_CAST(unnest(seasons) AS INTEGER) AS season FROM scopes WHERE len(datasets) > 0
 ) WHERE season IS NOT NULL""",
         ),
+        "pair_violations": """SELECT 'E_SCOPE_INVALID' AS code, 'a pair needs competition_id and season_id' AS message, value, count(*) AS n
+FROM (SELECT CASE WHEN event_type = 'view' THEN '{"competition_id":"view","season_id":"' || strftime(ts, '%Y') || '"}'
+  ELSE '{"competition_id":"' || user_id || '"}' END AS value FROM events WHERE event_type IN ('view', 'error')) GROUP BY value""",
         "expand_pairs": _with(PAIRS, "SELECT * FROM pairs ORDER BY 1, 2"),
         "plan_pair_files": _with(
             PAIRS,

@@ -345,6 +345,15 @@ def _pairs(spark, sf):
     )
 
 
+def pair_violations(spark, sf):
+    """Requests by event: the type is no competition, the user may be one."""
+    events = b.table(spark, sf, "events")
+    competition = F.when(F.col("event_type") != "view", F.col("user_id").cast("string")).otherwise(F.col("event_type"))
+    season = F.when(F.col("event_type") != "error", F.date_format("ts", "yyyy"))
+    pairs = events.select(competition.alias("competition_id"), season.alias("season_id"))
+    return catalog.pair_violations(pairs).groupBy("code", "message", "value").count().withColumnRenamed("count", "n")
+
+
 def expand_pairs(spark, sf):
     return catalog.sorted_distinct(_pairs(spark, sf), "competition_id", "season_id")
 
@@ -512,7 +521,8 @@ ALL: list[Query] = [
     profile_csv, flatten_json, schema_fingerprint, fingerprint_histogram, column_diffs, drift_report,
     canonical_json, normalize_scope, scope_fingerprint, sha256_hex, sanitize_name, is_pinned_ref,
     split_trim, utc_stamp, expected_type, error_record, resolve_assets, plan_assets, missing_assets,
-    ambiguous_candidates, scope_violations, expand_scope, expand_pairs, plan_pair_files, extract_ids,
+    ambiguous_candidates, scope_violations, expand_scope, pair_violations,
+    expand_pairs, plan_pair_files, extract_ids,
     artifact_fanout, content_hash, skip_known, ledger_upsert, integrity_required, integrity_sweep,
     integrity_report, duplicate_paths, unsafe_paths, optional_policy, run_counters, run_status, run_record,
     audit_rollup, attribution_lookup, pinned_gate, rf_classify, logit_classify, logit_classify_all,

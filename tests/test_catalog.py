@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from driftspark.operators import catalog
 from driftspark.plans import ingestion
@@ -133,3 +134,8 @@ def test_tree_plan_in_order(spark):
 def test_resolution_joins_on_equality(spark, listing, plan_text):
     plan = plan_text(resolve(spark, listing, '{"datasets":["pbp"],"seasons":[2021]}'), "simple")
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_seasons_of_scopes(spark):
+    df = spark.createDataFrame([("2023",), ("2023.0",), (" 7 ",), ("-3",), ("2023.5",), ("x",), (None,)], "s STRING")
+    assert [r[0] for r in df.select(catalog.season_number(F.col("s"))).collect()] == [2023, 2023, 7, None, None, None, None]

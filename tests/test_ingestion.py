@@ -172,3 +172,27 @@ def test_tables_of_a_release(spark, tmp_path):
     assert (diff["from_table"], diff["to_table"], diff["removed_columns"]) == ("play_by_play_2021.parquet", "play_by_play_2022.parquet", ["epa"])
     entry = result.schemas.where("table_name = 'play_by_play_2021.parquet'").first()
     assert entry["basic_stats"]["epa"]["max"] == 0.5 and entry["note"] is None
+
+
+def test_failed_expansion_counts(spark, store):
+    frame = spark.createDataFrame([(1, 2)], "competition_id INT, season_id INT")
+    assert [r["message"] for r in catalog.expansion_violations(catalog.expand_pairs(frame, [99])).collect()] == [
+        "no competition and season match the request"
+    ]
+    asked = spark.createDataFrame([("x", "3"), ("1", "2")], "competition_id STRING, season_id STRING")
+    broken = catalog.expansion_violations(catalog.expand_pairs(frame, pairs=asked), asked)
+    none = artifacts.read_ledger(spark, f"{store}/none")
+    result = ingestion.ingest(
+        spark, request(), tree(spark, store), none, spark.createDataFrame([], FAILURES), str(store), broken
+    )
+    assert (result.record.first()["results"]["status"], result.record.first()["results"]["failed_files"]) == ("partial", 1)
+    assert "E_SCOPE_INVALID" in {r["code"] for r in result.errors.collect()}
+    result.errors.write.parquet(f"{store}/errors")
+
+
+def test_a_lost_ledger_is_not_an_empty_one(spark, store):
+    result = run(spark, store)
+    known = artifacts.require_ledger(spark, f"{store}/nowhere")
+    assert known is None
+    ok, found = ingestion.verify_run(result.record, result.plan.where("optional"), known, result.ledger)
+    assert not ok and [r["code"] for r in found.collect()] == ["E_CHECKSUMS_MISSING"]
