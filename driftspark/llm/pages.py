@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.llm.common import sorted_runs
-from driftspark.llm.suffixes import anchors, covered, merged_spans, select_grams, window_batches
+from driftspark.llm.suffixes import anchors, covered, gram_filter, merged_spans, select_grams, window_batches
 from driftspark.runtime import col, materialize
 
 # Bytes of a repeated substring.
@@ -261,6 +261,18 @@ def repeated_spans(streams: DataFrame, length: int = LENGTH, in_task: int = SORT
     return spans.groupBy("row").agg(merged_spans().alias("spans"))
 
 
+def _with_repeats(shared, repeated: bool):
+    """Rows that the filter of rows with spans has, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(batch.schema.get_field_index("row")).to_pylist()
+            h = np.array([xxhash.xxh64_intdigest(r.to_bytes(8, "little", signed=True), 42) for r in rows], np.uint64)
+            yield batch.take(pa.array(np.flatnonzero(shared.value.has(h) == repeated)))
+
+    return run
+
+
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = {name: batch.column(n).to_pylist() for n, name in enumerate(batch.schema.names)}
@@ -332,9 +344,13 @@ def extract(
     # The row numbers are written, so later reads agree on them.
     parsed = materialize(parsed.withColumn("row", F.monotonically_increasing_id()), "pages")
     spans = repeated_spans(parsed.select("row", "stream", "scope"), length, in_task)
-    met = parsed.join(spans, "row", "left").select(
-        "page_id", "url", "text", "article", "stream", "frames", "sizes", "spans"
-    )
+    spans = materialize(spans, "page-spans")
+    # Only pages that may have spans are shuffled to meet them.
+    shared = pages.sparkSession.sparkContext.broadcast(gram_filter(spans.select(F.xxhash64("row").alias("gram"))))
+    names = ["page_id", "url", "text", "article", "stream", "frames", "sizes", "spans"]
+    met = parsed.mapInArrow(_with_repeats(shared, True), parsed.schema).join(spans, "row", "left").select(*names)
+    others = parsed.mapInArrow(_with_repeats(shared, False), parsed.schema)
+    met = met.union(others.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(*names))
     return met.mapInArrow(
         _keep, f"page_id bigint, url {url_type}, text string, n_chars bigint, n_repeated bigint"
     )
