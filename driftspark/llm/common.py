@@ -81,7 +81,6 @@ def sorted_runs(
             continue
         last = [batch.column(batch.schema.get_field_index(k))[batch.num_rows - 1] for k in keys]
         # Rows of the last run stay until a later batch ends it.
-        start = batch.num_rows
         low, high = 0, batch.num_rows - 1
         columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
         while low < high:
@@ -90,10 +89,9 @@ def sorted_runs(
                 high = middle
             else:
                 low = middle + 1
-        start = low
-        if start:
-            yield pa.Table.from_batches([*waiting, batch.slice(0, start)])
-            waiting = [batch.slice(start)]
+        if low:
+            yield pa.Table.from_batches([*waiting, batch.slice(0, low)])
+            waiting = [batch.slice(low)]
         elif waiting:
             before = waiting[-1]
             same = all(

@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import map_batches
 from driftspark.runtime import materialize
 
 CAPACITY = 1024

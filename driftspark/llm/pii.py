@@ -9,7 +9,6 @@ are padded into batches and decoded by Viterbi in numpy.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
 
