@@ -115,5 +115,40 @@ ALL = [
 ]
 
 
+# All windows of item size that hold a shingle of the item, by exact similarity; every item has five words at least.
+CONTAMINATED = r"""WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+),
+items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+),
+item_shingles AS (
+  SELECT item_id, shingle, n, count(*) AS c FROM (
+    SELECT item_id, len(w) - 4 AS n, unnest([array_to_string(w[p:p + 4], ' ') FOR p IN range(1, len(w) - 3)]) AS shingle FROM items
+  ) GROUP BY ALL
+),
+doc_shingles AS (
+  SELECT doc_id, len(w) - 4 AS total, unnest(range(0, len(w) - 4)) AS pos,
+    unnest([array_to_string(w[p:p + 4], ' ') FOR p IN range(1, len(w) - 3)]) AS shingle
+  FROM docs WHERE len(w) >= 5
+),
+hits AS (SELECT doc_id, item_id, total, pos, shingle, n, c FROM doc_shingles JOIN item_shingles USING (shingle)),
+windows AS (
+  SELECT DISTINCT doc_id, item_id, n, least(n, total) AS size,
+    unnest(range(greatest(0, pos - n + 1), greatest(0, least(pos, total - least(n, total))) + 1)) AS start
+  FROM hits
+),
+shared AS (
+  SELECT doc_id, item_id, n, size, start, shingle, least(count(*), c) AS common
+  FROM windows JOIN hits USING (doc_id, item_id, n) WHERE pos BETWEEN start AND start + size - 1
+  GROUP BY doc_id, item_id, n, size, start, shingle, c
+),
+scored AS (
+  SELECT doc_id, item_id, CAST(sum(common) AS DOUBLE) / (size + n - sum(common)) AS similarity
+  FROM shared GROUP BY doc_id, item_id, n, size, start
+)
+SELECT doc_id, item_id, max(similarity) AS similarity FROM scored WHERE similarity >= 0.8 GROUP BY doc_id, item_id"""
+
+
 def sql() -> dict[str, str]:
-    return {}
+    return {"op2_simhash_decontamination": CONTAMINATED}
