@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.llm.common import sorted_runs
-from driftspark.llm.suffixes import anchors, covered, gram_filter, merged_spans, select_grams, window_batches
+from driftspark.llm.suffixes import anchors, covered, merged_spans, select_grams, window_batches
 from driftspark.runtime import col, materialize
 
 # Bytes of a repeated substring.
@@ -261,56 +261,29 @@ def repeated_spans(streams: DataFrame, length: int = LENGTH, in_task: int = SORT
     return spans.groupBy("row").agg(merged_spans().alias("spans"))
 
 
-def _with_repeats(shared, repeated: bool):
-    """Rows that the filter of rows with spans has, or the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(batch.schema.get_field_index("row")).to_pylist()
-            h = np.array([xxhash.xxh64_intdigest(r.to_bytes(8, "little", signed=True), 42) for r in rows], np.uint64)
-            yield batch.take(pa.array(np.flatnonzero(shared.value.has(h) == repeated)))
-
-    return run
-
-
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unique runs of pages without an article."""
     for batch in batches:
         columns = {name: batch.column(n).to_pylist() for n, name in enumerate(batch.schema.names)}
-        texts, repeated = [], []
-        for text, article, stream, frames, sizes, spans in zip(
-            *(columns[c] for c in ("text", "article", "stream", "frames", "sizes", "spans")), strict=True
+        texts = []
+        for stream, frames, sizes, spans in zip(
+            *(columns[c] for c in ("stream", "frames", "sizes", "spans")), strict=True
         ):
-            raw = stream.encode("utf-8", "surrogatepass")
-            repeated.append(sum(s["end"] - s["start"] for s in spans or []))
-            if article:
-                texts.append(text)
-                continue
             # Whole words: one that a repeated string only touches is kept.
-            inside = np.zeros(len(raw) + 1, bool)
+            inside = np.zeros(len(stream.encode("utf-8", "surrogatepass")) + 1, bool)
             for s in spans or []:
                 inside[s["start"] : s["end"]] = True
-            kept, at = [], 0
+            kept, at, begin = [], 0, 0
             for frame, size in zip(frames, sizes, strict=True):
-                block = stream[at : at + size]
-                begin = len(stream[:at].encode("utf-8", "surrogatepass"))
-                at += size + 1
-                if frame:
-                    continue
-                for word in block.split(" "):
+                for word in stream[at : at + size].split(" "):
                     width = len(word.encode("utf-8", "surrogatepass"))
-                    if not inside[begin : begin + width].all():
+                    if not frame and not inside[begin : begin + width].all():
                         kept.append(word)
                     begin += width + 1
+                at += size + 1
             texts.append(" ".join(kept))
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
-                pa.array(texts, pa.string()),
-                pa.array([len(t) for t in texts], pa.int64()),
-                pa.array(repeated, pa.int64()),
-            ],
-            ["page_id", "url", "text", "n_chars", "n_repeated"],
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
         )
 
 
@@ -322,8 +295,10 @@ def extract(
     length: int = LENGTH,
     in_task: int = SORTED,
 ) -> DataFrame:
-    """``page_id``, ``url``, ``text``, ``n_chars`` and ``n_repeated`` (bytes of the page outside its article that
-    repeat on its host) of each row.
+    """``page_id``, ``url``, ``text`` and ``n_chars`` of each row.
+
+    The streams of all pages are evidence of what their host repeats, but only pages without an article meet the
+    spans: the texts of the others need none and are not shuffled.
 
     Null and empty pages have the empty text, as have pages that are all frame. Pages without a host are one host.
     Repeated rows are distinct pages. No rows give no rows.
@@ -343,14 +318,9 @@ def extract(
     )
     # The row numbers are written, so later reads agree on them.
     parsed = materialize(parsed.withColumn("row", F.monotonically_increasing_id()), "pages")
-    spans = repeated_spans(parsed.select("row", "stream", "scope"), length, in_task)
-    spans = materialize(spans, "page-spans")
-    # Only pages that may have spans are shuffled to meet them.
-    shared = pages.sparkSession.sparkContext.broadcast(gram_filter(spans.select(F.xxhash64("row").alias("gram"))))
-    names = ["page_id", "url", "text", "article", "stream", "frames", "sizes", "spans"]
-    met = parsed.mapInArrow(_with_repeats(shared, True), parsed.schema).join(spans, "row", "left").select(*names)
-    others = parsed.mapInArrow(_with_repeats(shared, False), parsed.schema)
-    met = met.union(others.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(*names))
-    return met.mapInArrow(
-        _keep, f"page_id bigint, url {url_type}, text string, n_chars bigint, n_repeated bigint"
-    )
+    spans = materialize(repeated_spans(parsed.select("row", "stream", "scope"), length, in_task), "page-spans")
+    found = parsed.where("article").select("page_id", "url", "text")
+    open_pages = parsed.where("not article").join(spans, "row", "left")
+    open_pages = open_pages.select("page_id", "url", "stream", "frames", "sizes", "spans")
+    found = found.union(open_pages.mapInArrow(_keep, f"page_id bigint, url {url_type}, text string"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
