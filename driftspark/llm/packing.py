@@ -9,6 +9,7 @@ work, or the rounds are over.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,9 @@ END_ID = 2
 # Pieces that one task packs.
 TASK_PIECES = 200_000
 ROUNDS = 6
+# Characters of white space in a row that the tokenizer itself encodes: the merge's pattern fails near a million.
+LONG_RUN = 100_000
+_SPACE = re.compile(r"\s+")
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -39,7 +43,8 @@ class Encoder:
     """Ids of whole texts by a byte-level tokenizer file, as little-endian unsigned 32-bit bytes.
 
     The ids of the file's vocabulary follow the order of its merges, so its texts can be merged by rank, which takes
-    a quarter of the tokenizer's own time and gives the same ids.
+    a quarter of the tokenizer's own time and gives the same ids. Texts with a very long run of white space, on
+    which the merge's pattern fails, are left to the tokenizer.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -48,6 +53,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
         character = _byte_of_character()
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
@@ -55,12 +61,19 @@ class Encoder:
         self._merge = tiktoken.Encoding(
             "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
+        self._tokenizer = tokenizer
         self._end = end_id
 
+    def _ids(self, text: str) -> list[int]:
+        # Only a text of that many characters can hold such a run.
+        if len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in _SPACE.finditer(text)):
+            return self._tokenizer.encode(text, add_special_tokens=False).ids
+        return self._merge(text)
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text and the end id; null is the empty text."""
         for text in texts:
-            ids = self._merge(text or "")
+            ids = self._ids(text or "")
             ids.append(self._end)
             yield np.array(ids, "<u4").tobytes()
 

@@ -26,6 +26,13 @@ def test_word_by_word_ids_are_those_of_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == expected, repr(text)
 
 
+def test_very_long_white_space():
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" + "\n \u3000" * 400_000 + "b", "x " * 60_000]
+    plain = tokenizer()
+    for text, ids in zip(texts, packing.Encoder(PATH).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_bound_and_packing():
     rnd = random.Random(7)
     for _ in range(60):
