@@ -44,16 +44,17 @@ class Encoder:
 
     The ids of the file's vocabulary follow the order of its merges, so its texts can be merged by rank, which takes
     a quarter of the tokenizer's own time and gives the same ids. Texts with a very long run of white space, on
-    which the merge's pattern fails, are left to the tokenizer.
+    which the merge's pattern fails, are left to the tokenizer. With ``added_tokens`` so are texts that hold an
+    added token of the file, as ``<|endoftext|>``, which then is one id; without, it is plain text.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID):
+    def __init__(self, path: str, end_id: int = END_ID, added_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not added_tokens
         character = _byte_of_character()
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
@@ -62,11 +63,13 @@ class Encoder:
             "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
         self._tokenizer = tokenizer
+        self._added = sorted(special) if added_tokens else []
         self._end = end_id
 
     def _ids(self, text: str) -> list[int]:
         # Only a text of that many characters can hold such a run.
-        if len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in _SPACE.finditer(text)):
+        long_run = len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in _SPACE.finditer(text))
+        if long_run or any(token in text for token in self._added):
             return self._tokenizer.encode(text, add_special_tokens=False).ids
         return self._merge(text)
 
@@ -96,14 +99,15 @@ def pieces(
 ) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` (and ``ids`` as bytes) of each row's pieces.
 
-    ``tokenizer`` is a file that every executor can read. Null texts are empty and give one piece, the end id.
+    ``tokenizer`` is a file that every executor can read; its added tokens are found in texts, as it does by itself.
+    Null texts are empty and give one piece, the end id.
     """
     narrow = docs.select(
         docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end_id)
+        encoder = Encoder(tokenizer, end_id, added_tokens=True)
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
             for doc_id, ids in zip(

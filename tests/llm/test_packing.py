@@ -33,6 +33,19 @@ def test_very_long_white_space():
         assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_pieces_have_the_ids_of_the_tokenizer_as_loaded(make_docs):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", "plain", None]
+    texts.append("w " * 1500 + "<|endoftext|>" + " " * 150_000 + "\n<|endoftext|> end")
+    plain = Tokenizer.from_file(PATH)
+    found = packing.pieces(make_docs(list(enumerate(texts))), PATH, with_ids=True).orderBy("doc_id", "piece").collect()
+    for n, text in enumerate(texts):
+        own = [r for r in found if r.doc_id == n]
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert b"".join(bytes(r.ids) for r in own) == ids.tobytes()
+        assert [(r.start, r.length) for r in own] == packing.cut(len(ids))
+        assert all(r.ids_crc32 == zlib.crc32(bytes(r.ids)) for r in own)
+
+
 def test_bound_and_packing():
     rnd = random.Random(7)
     for _ in range(60):
