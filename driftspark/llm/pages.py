@@ -3,8 +3,9 @@
 A page is read as a stream of blocks. Blocks in elements or classes that name a part of the page's frame are
 boilerplate, blocks in an article or main element are its text. What is left in between is judged by the host's
 pages: their streams are concatenated and their suffixes sorted, long substrings that distinct pages share are
-boilerplate, and unique runs are kept. Where a page has an article, that is its text, repeated or not: articles
-quote and share paragraphs.
+boilerplate, and unique runs are kept. Articles quote and share paragraphs, so within them only whole blocks are
+judged: those that several articles of the host and of no other host have, or a large share of the host's articles.
+An article that is mostly such blocks is a copy of another one and stays whole.
 """
 
 from __future__ import annotations
@@ -20,13 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.llm.common import sorted_runs
-from driftspark.llm.suffixes import anchors, covered, merged_spans, select_grams, window_batches
+from driftspark.llm.suffixes import anchors, covered, gram_filter, merged_spans, select_grams, window_batches
+from driftspark.operators.lookup import join_lookup, key_counts
 from driftspark.runtime import col, materialize
 
 # Bytes of a repeated substring.
 LENGTH = 96
 # Pages with one gram that one task sorts; see ``suffixes``.
 SORTED = 100_000
+# Distinct articles of one host, and of no other, that make a block of theirs boilerplate.
+OWN_ARTICLES = 3
+# Share of a host's distinct articles that does so for a block that other hosts have too.
+ARTICLE_SHARE = 0.3
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
@@ -59,26 +65,33 @@ def _split_names(rest: str) -> set[str]:
 
 
 def blocks(html: str | None) -> list[tuple[str, bool, bool]]:
-    """Blocks of a page in order: text with single spaces, whether in the main text, whether in the frame."""
+    """Blocks of a page in order: text with single spaces, whether in the main text, whether in the frame.
+
+    A name or form around an article does not make it frame, unless the page has an article in fewer of them: a layout
+    may be called after its sidebar. A main element is never frame by what is around it but elements of the frame.
+    """
     html = html or ""
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, bool, bool, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    main = frame = 0
+    stack: list[tuple[str, bool, bool, bool]] = []
+    main = frame = named = 0
+    # Names and forms around the outermost article or main element, and those that count against it.
+    around = against = 0
     at = 0
 
     def flush() -> None:
         text = " ".join(markup.unescape("".join(parts)).split())
         if text:
-            out.append((text, main > 0, frame > 0))
+            out.append((text, main > 0, frame > 0 or named > (around if main else 0), against if main else 0))
         parts.clear()
 
     def pop(to: int) -> None:
-        nonlocal main, frame
+        nonlocal main, frame, named
         while len(stack) > to:
-            _, in_main, in_frame = stack.pop()
+            _, in_main, in_frame, in_named = stack.pop()
             main -= in_main
             frame -= in_frame
+            named -= in_named
 
     while m := _MARKUP.search(html, at):
         parts.append(html[at : m.start()])
@@ -105,18 +118,24 @@ def blocks(html: str | None) -> list[tuple[str, bool, bool]]:
         if name in _BLOCK and stack and stack[-1][0] == "p":
             pop(len(stack) - 1)
         in_main = name in _MAIN or 'role="main"' in rest
-        in_frame = not in_main and (
-            name in _FRAME
-            or (name == "header" and not main)
-            or ("=" in rest and not _FRAME_NAMES.isdisjoint(_split_names(rest)))
+        within = not in_main and name not in ("html", "body")
+        in_frame = within and name != "form" and (name in _FRAME or (name == "header" and not main))
+        in_named = (
+            within
+            and not in_frame
+            and (name == "form" or ("=" in rest and not _FRAME_NAMES.isdisjoint(_split_names(rest))))
         )
-        in_frame = in_frame and name not in ("html", "body")
-        stack.append((name, in_main, in_frame))
+        if in_main and not main:
+            around = named
+            against = named if name == "article" and 'role="main"' not in rest else 0
+        stack.append((name, in_main, in_frame, in_named))
         main += in_main
         frame += in_frame
+        named += in_named
     parts.append(html[at:])
     flush()
-    return out
+    least = min((n for _, in_main, in_frame, n in out if in_main and not in_frame), default=0)
+    return [(text, in_main, in_frame or n > least) for text, in_main, in_frame, n in out]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,20 +148,23 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # The stream that the host's pages are compared by: all but the article.
             rest = [(t, frame) for t, main, frame in found if not (article and main and not frame)]
             scope = xxhash.xxh64_intdigest((host or "").encode("utf-8", "surrogatepass"))
-            rows.append((text, article, " ".join(t for t, _ in rest), [f for _, f in rest], [len(t) for t, _ in rest], scope))
-        text, article, stream, frames, sizes, scope = zip(*rows, strict=True) if rows else [[]] * 6
+            parts = [len(t) for t, main, frame in found if main and not frame]
+            sizes = [len(t) for t, _ in rest]
+            rows.append((text, parts, article, " ".join(t for t, _ in rest), [f for _, f in rest], sizes, scope))
+        text, parts, article, stream, frames, sizes, scope = zip(*rows, strict=True) if rows else [[]] * 7
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(1),
                 pa.array(text, pa.string()),
+                pa.array(parts, pa.list_(pa.int64())),
                 pa.array(article, pa.bool_()),
                 pa.array(stream, pa.string()),
                 pa.array(frames, pa.list_(pa.bool_())),
                 pa.array(sizes, pa.list_(pa.int64())),
                 pa.array(np.array(scope, np.uint64).view(np.int64)),
             ],
-            ["page_id", "url", "text", "article", "stream", "frames", "sizes", "scope"],
+            ["page_id", "url", "text", "parts", "article", "stream", "frames", "sizes", "scope"],
         )
 
 
@@ -287,6 +309,117 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _digest(text: str) -> bytes:
+    return xxhash.xxh128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def _split(text: str, sizes: list[int]) -> list[str]:
+    """The blocks that ``text`` was joined of."""
+    out, at = [], 0
+    for size in sizes:
+        out.append(text[at : at + size])
+        at += size + 1
+    return out
+
+
+def _gram(block: bytes, scope: int) -> int:
+    return xxhash.xxh64_intdigest(block, seed=scope & (1 << 64) - 1)
+
+
+def _article_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the distinct blocks of articles, and of the whole article."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for text, sizes, scope in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
+            whole = _digest(text)
+            rows += [(b, scope, whole) for b in dict.fromkeys(map(_digest, _split(text, sizes)))]
+        block, scope, article = zip(*rows, strict=True) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block, pa.binary()), pa.array(scope, pa.int64()), pa.array(article, pa.binary())],
+            ["block", "scope", "article"],
+        )
+
+
+def _gram_of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grams = map(_gram, batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        grams = np.array(list(grams), np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams)], ["block", "scope", "gram"])
+
+
+def _possible(shared):
+    """Articles and those of their blocks that may be boilerplate, as far as the filter tells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sizes, scopes = (batch.column(n).to_pylist() for n in range(3))
+            found = []
+            for text, own, scope in zip(texts, sizes, scopes, strict=True):
+                digests = list(dict.fromkeys(map(_digest, _split(text, own))))
+                on = shared.value.has(np.array([_gram(d, scope) for d in digests], np.uint64))
+                found.append([d for d, yes in zip(digests, on, strict=True) if yes])
+            maybe = pa.array(found, pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, maybe], [*batch.schema.names, "maybe"])
+
+    return run
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Articles without their boilerplate, unless that is most of them."""
+    for batch in batches:
+        columns = {name: batch.column(n).to_pylist() for n, name in enumerate(batch.schema.names)}
+        texts = []
+        for text, sizes, blocks_off in zip(*(columns[c] for c in ("text", "parts", "off")), strict=True):
+            off = set(blocks_off or [])
+            kept = " ".join(b for b in _split(text, sizes) if _digest(b) not in off)
+            texts.append(kept if 2 * len(kept) >= len(text) else text)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
+        )
+
+
+def repeated_blocks(articles: DataFrame, own: int = OWN_ARTICLES, share: float = ARTICLE_SHARE) -> DataFrame:
+    """``block`` (a digest) and ``scope`` of the boilerplate in articles (``text``, ``parts``, ``scope``).
+
+    Equal articles count once. A block is boilerplate if ``own`` articles of its host have it, and no other host has
+    or ``share`` of the articles of the host do.
+    """
+    rows = articles.select("text", "parts", "scope").mapInArrow(
+        _article_blocks, "block binary, scope bigint, article binary"
+    )
+    rows = materialize(rows.distinct(), "article-blocks")
+    by_host = materialize(rows.groupBy("block", "scope").agg(F.count(F.lit(1)).alias("n")), "host-blocks")
+    often = by_host.where(F.col("n") >= own)
+    hosts = by_host.groupBy("block").agg(F.count(F.lit(1)).alias("hosts"))
+    often = materialize(often.join(hosts, "block"), "often")
+    sizes = rows.select("scope", "article").distinct().groupBy("scope").agg(F.count(F.lit(1)).alias("articles"))
+    found = join_lookup(often, sizes, ["scope"], key_counts(often, ["scope"]), spread_by="block")
+    return found.where((F.col("hosts") == 1) | (F.col("n") >= share * F.col("articles"))).select("block", "scope")
+
+
+def _judged(articles: DataFrame, schema: str) -> DataFrame:
+    """``page_id``, ``url``, ``text`` of articles without their host's boilerplate.
+
+    Only articles with blocks that pass a filter meet the blocks themselves; the texts of others are not shuffled.
+    """
+    spark = articles.sparkSession
+    off = repeated_blocks(articles).mapInArrow(_gram_of_block, "block binary, scope bigint, gram bigint")
+    off = materialize(off, "article-boilerplate")
+    if off.isEmpty():
+        return articles.select("page_id", "url", "text")
+    shared = spark.sparkContext.broadcast(gram_filter(off.select("gram")))
+    columns = ["text", "parts", "scope", "row", "page_id", "url"]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in articles.select(*columns).schema)
+    seen = articles.select(*columns).mapInArrow(_possible(shared), fields + ", maybe array<binary>")
+    clear = seen.where(F.size("maybe") == 0).select("page_id", "url", "text")
+    met = seen.where(F.size("maybe") > 0)
+    hits = met.select("row", "scope", F.explode("maybe").alias("block"))
+    # At most the blocks of one page come together.
+    hits = hits.join(off, ["block", "scope"], "left_semi").groupBy("row").agg(F.collect_list("block").alias("off"))
+    met = met.join(materialize(hits, "page-boilerplate"), "row", "left")
+    return clear.union(met.select("page_id", "url", "text", "parts", "off").mapInArrow(_without, schema))
+
+
 def extract(
     pages: DataFrame,
     id_column: str = "page_id",
@@ -298,7 +431,7 @@ def extract(
     """``page_id``, ``url``, ``text`` and ``n_chars`` of each row.
 
     The streams of all pages are evidence of what their host repeats, but only pages without an article meet the
-    spans: the texts of the others need none and are not shuffled.
+    spans; blocks of articles are judged whole by ``repeated_blocks``.
 
     Null and empty pages have the empty text, as have pages that are all frame. Pages without a host are one host.
     Repeated rows are distinct pages. No rows give no rows.
@@ -313,14 +446,15 @@ def extract(
     url_type = rows.schema["url"].dataType.simpleString()
     parsed = rows.mapInArrow(
         _parse,
-        f"page_id bigint, url {url_type}, text string, article boolean, stream string, frames array<boolean>,"
+        f"page_id bigint, url {url_type}, text string, parts array<bigint>, article boolean, stream string, frames array<boolean>,"
         " sizes array<bigint>, scope bigint",
     )
     # The row numbers are written, so later reads agree on them.
     parsed = materialize(parsed.withColumn("row", F.monotonically_increasing_id()), "pages")
     spans = materialize(repeated_spans(parsed.select("row", "stream", "scope"), length, in_task), "page-spans")
-    found = parsed.where("article").select("page_id", "url", "text")
+    schema = f"page_id bigint, url {url_type}, text string"
+    found = _judged(parsed.where("article"), schema)
     open_pages = parsed.where("not article").join(spans, "row", "left")
     open_pages = open_pages.select("page_id", "url", "stream", "frames", "sizes", "spans")
-    found = found.union(open_pages.mapInArrow(_keep, f"page_id bigint, url {url_type}, text string"))
+    found = found.union(open_pages.mapInArrow(_keep, schema))
     return found.withColumn("n_chars", F.length("text").cast("long"))

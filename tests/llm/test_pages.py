@@ -51,5 +51,42 @@ def test_host_suffixes_remove_what_pages_share(spark, words, in_task):
     assert all(r.n_chars == len(r.text) for r in found.values())
 
 
+@pytest.mark.parametrize("around", ['div class="has-sidebar"', "form", 'div id="search"', 'section class="social notice"'])
+def test_names_around_the_article_do_not_make_it_frame(around):
+    tag = around.split()[0]
+    side = '<div class="sidebar"><article>teaser</article></div>'
+    for main in ("article", "main"):
+        page = f'<body><{around}><{main}>real <p>text<div class="share">not</div></{main}>{side}</{tag}></body>'
+        assert text_of(page) == "real text"
+    assert text_of(f"<article>real</article><aside><article>no</article></aside>{side}") == "real"
+    assert text_of('<article>a<div class="comments"><article>no</article></div></article>') == "a"
+    assert text_of("<nav><article>no</article></nav>") == ""
+
+
+def test_host_judges_the_blocks_of_articles(spark, words):
+    def page(*blocks):
+        return "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+
+    box, legal, quote = "About the author of this and that", "All rights remain with us", words(30, 999)
+    rows = [(n, "http://a.org/", page(words(50, n), box if n < 3 else "no box", legal)) for n in range(12)]
+    rows += [(20 + n, f"http://{n}.org/", page(words(50, 20 + n), quote, legal)) for n in range(6)]
+    # A quote on three of the host's 20 articles and elsewhere; a text that stands on many pages, and its near copies.
+    rows += [(30 + n, "http://a.org/", page(words(50, 30 + n), quote)) for n in range(3)]
+    rows += [(40 + n, "http://a.org/", page(words(80, 40), words(70, 41), f"ends {n}")) for n in range(4)]
+    rows += [(50 + n, "http://a.org/", page(words(60, 50), "its own")) for n in range(5)]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(found) == len(rows)
+    for n in range(12):
+        assert found[n] == words(50, n)
+    for n in range(6):
+        assert found[20 + n] == f"{words(50, 20 + n)} {quote} {legal}"
+    for n in range(3):
+        assert found[30 + n] == f"{words(50, 30 + n)} {quote}"
+    for n in range(4):
+        assert found[40 + n] == f"{words(80, 40)} {words(70, 41)} ends {n}"
+    for n in range(5):
+        assert found[50 + n] == f"{words(60, 50)} its own"
+
+
 def test_empty_table(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
