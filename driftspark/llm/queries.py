@@ -6,7 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import class_lm, decontaminate, embeddings, packing, pages, pii, quality, shards, simhash, suffixes
+from driftspark.llm import (
+    audit,
+    centroids,
+    class_lm,
+    decontaminate,
+    embeddings,
+    oracle,
+    packing,
+    pages,
+    pii,
+    quality,
+    shards,
+    simhash,
+    suffixes,
+    toxicity,
+)
 from driftspark.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -101,6 +116,28 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_incremental_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components by the nearest of eight centroids, after ten rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_nb_char_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels of four fifths of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source, in all 120 orders."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ALL = [
     op1_hash_tree_shards,
     op2_simhash_decontamination,
@@ -112,6 +149,9 @@ ALL = [
     op8_cover_tree_pairs,
     op9_ordinal_quality,
     op10_simhash_pigeonring,
+    op11_incremental_centroids,
+    op12_nb_char_toxicity,
+    op13_filter_audit,
 ]
 
 
@@ -151,4 +191,8 @@ SELECT doc_id, item_id, max(similarity) AS similarity FROM scored WHERE similari
 
 
 def sql() -> dict[str, str]:
-    return {"op2_simhash_decontamination": CONTAMINATED}
+    return {
+        "op2_simhash_decontamination": CONTAMINATED,
+        "op11_incremental_centroids": oracle.centroid_sql(),
+        "op13_filter_audit": oracle.FILTER_AUDIT,
+    }
