@@ -20,6 +20,7 @@ CHECKSUM_MISMATCH = "E_CHECKSUM_MISMATCH"
 TRUNCATED_DOWNLOAD = "E_TRUNCATED_DOWNLOAD"
 JSON_PARSE = "E_JSON_PARSE"
 JSON_ITEM_TOO_LARGE = "E_JSON_ITEM_TOO_LARGE"
+JSON_TOO_DEEP = "E_JSON_TOO_DEEP"
 SCHEMA_UNSUPPORTED = "E_SCHEMA_UNSUPPORTED"
 MANIFEST_MISSING = "E_MANIFEST_MISSING"
 CHECKSUMS_MISSING = "E_CHECKSUMS_MISSING"

@@ -165,7 +165,8 @@ def schema_entry(
     )
 
 
-def _as_text(column: Column, kind: str) -> Column:
+def as_text(column: Column, kind: str) -> Column:
+    """Text that a value is counted by."""
     if kind == "bool":
         return F.when(column, "True").when(~column, "False")
     return column.cast("string")
@@ -185,7 +186,7 @@ def topk_values(
     chosen = columns or [name for name, kind in kinds.items() if not _is_numeric(kind)]
     if not chosen:
         return df.sparkSession.createDataFrame([], _TOPK_SCHEMA)
-    texts = df.select(*[_as_text(col(name), kinds[name]).alias(name) for name in chosen])
+    texts = df.select(*[as_text(col(name), kinds[name]).alias(name) for name in chosen])
     values = texts.unpivot([], [col(name) for name in chosen], "column_name", "value")
     if null_label is None:
         values = values.where(F.col("value").isNotNull())

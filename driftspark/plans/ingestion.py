@@ -5,7 +5,6 @@ Fetching is not part of this: files are on storage, and what a fetcher could not
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -14,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.functions import errors, text
-from driftspark.operators import catalog, drift, ledger, profile, runs
+from driftspark.operators import catalog, drift, ledger, runs
 from driftspark.operators.lookup import join_lookup, key_counts
 from driftspark.runtime import materialize
-from driftspark.sources import tables
-from driftspark.sources.files import file_inventory
+from driftspark.sources.entries import file_entries
+from driftspark.sources.files import file_stats, hash_files
 
 PLAN_COLUMNS = [
     "ordinal", "logical_name", "url", "dest_path", "expected_type", "expected_size_bytes", "sha256", "group",
@@ -134,73 +133,18 @@ def item_outcomes(
     )
 
 
-_ENTRY = {
-    "n_rows": "bigint",
-    "columns": "array<string>",
-    "dtypes": "map<string,string>",
-    "null_fraction": "map<string,double>",
-    "basic_stats": "map<string,struct<min:double,max:double,mean:double,std:double>>",
-    "schema_fingerprint": "string",
-    "note": "string",
-}
+_ABOUT = ["dest_path", "ordinal", "group", "logical_name"]
 
 
-def stored_schemas(spark: SparkSession, root: str, plan: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Schema entries of the stored plan items, with ``note`` where a file gives none.
+def stored_schemas(spark: SparkSession, root: str, plan: DataFrame, stored: DataFrame) -> DataFrame:
+    """Entries of the stored plan items, with ``note`` where a file gives none.
 
-    JSON files, of which a plan can hold millions, share one job and carry no statistics; only planned files
-    are read, element by element. An element that the engine cannot hold has an error of its own. Tables (CSV,
-    Parquet) are one per dataset and season; each has one aggregation of its own.
+    Each file is read once, however many items name it, and the number of jobs does not depend on the number of files.
     """
-    about = ["dest_path", "ordinal", "group"]
-    stored = plan.join(inventory.select("dest_path"), "dest_path", "left_semi").select(*about)
-    suffix = F.lower(F.regexp_extract("dest_path", r"(\.[^./]+)$", 1))
-    tables.last_key_wins(spark)
-    items = tables.planned_json(stored.where(suffix == ".json"), root).withColumn("item", F.try_parse_json("text"))
-    # Several results read the items, so the files are read once.
-    large = F.col("text").isNotNull() & F.col("item").isNull()
-    items = materialize(items.withColumn("large", large).drop("text"), "items")
-    ends = items.groupBy(*about).agg(F.bool_or("broken").alias("broken"), F.bool_or("large").alias("large"))
-    whole = items.join(ends.where("not broken and not large").select("dest_path"), "dest_path", "left_semi")
-    entries = [
-        _entry(tables.item_schemas(whole, *about), about),
-        _noted(ends.where("broken"), about, errors.JSON_PARSE),
-        _noted(ends.where("not broken and large"), about, errors.JSON_ITEM_TOO_LARGE),
-        _noted(stored.where(~suffix.isin(".json", ".csv", ".parquet")), about, "unsupported extension"),
-    ]
-    for item in stored.where(suffix.isin(".csv", ".parquet")).toLocalIterator():
-        table, note = tables.read_table(spark, f"{root}/{item['dest_path']}")
-        if table is None:
-            entries.append(_noted(spark.createDataFrame([item], stored.schema), about, note))
-        else:
-            found = profile.schema_entry(table, item["dest_path"]).drop("group", "ordinal", "table_name")
-            keyed = found.withColumn("about", F.from_json(F.lit(json.dumps(item.asDict(True))), stored.schema))
-            entries.append(_entry(keyed.select("about.*", *found.columns), about))
-    return reduce(DataFrame.unionByName, entries).withColumn(
-        "table_name", F.element_at(F.split("dest_path", "/"), -1)
-    )
-
-
-def _entry(rows: DataFrame, about: list[str]) -> DataFrame:
-    """All columns of an entry; what ``rows`` lacks is null."""
-    return rows.select(
-        *about,
-        *[
-            (F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name)
-            for name, kind in _ENTRY.items()
-        ],
-    )
-
-
-def _noted(items: DataFrame, about: list[str], note: str) -> DataFrame:
-    empty = {
-        "n_rows": F.lit(0),
-        "columns": F.array().cast("array<string>"),
-        "dtypes": F.create_map().cast("map<string,string>"),
-        "schema_fingerprint": F.lit(profile.fingerprint_of([], {})),
-        "note": F.lit(note),
-    }
-    return _entry(items.select(*about).withColumns(empty), about)
+    items = plan.join(stored.select("dest_path"), "dest_path", "left_semi").select(*_ABOUT)
+    found = materialize(file_entries(spark, items, root), "entries")
+    rows = join_lookup(items, found, ["dest_path"], key_counts(items, ["dest_path"]), spread_by="logical_name")
+    return rows.withColumn("table_name", F.element_at(F.split("dest_path", "/"), -1))
 
 
 def _record(spark: SparkSession, request: RunRequest, statuses: DataFrame) -> DataFrame:
@@ -226,8 +170,8 @@ def ingest(
     request that gave no item; each counts as failed.
 
     Unsafe destinations stop it before anything else; a dry run records the plan and nothing more.
-    Plan, inventory and outcomes are written once, because several results read them; so each file is
-    hashed once.
+    Plan, sizes and outcomes are written once, because several results read them. A stored file whose hash the ledger
+    has is not hashed again; only new ones are.
     """
     plan = materialize(plan.select(*PLAN_COLUMNS), "plan")
     unsafe = ledger.unsafe_paths(plan.where(F.coalesce("dest_path", F.lit("")) != ""))
@@ -235,22 +179,23 @@ def ingest(
         raise ValueError(f"{errors.UNSAFE_DEST_PATH}: {unsafe.first()['dest_path']}")
     if request.dry_run:
         return _dry_run(spark, request, plan)
-    inventory = materialize(file_inventory(plan, root), "inventory")
+    stored = materialize(file_stats(plan, root), "stored")
     outcomes = materialize(
         runs.optional_policy(
-            item_outcomes(plan, known_before, inventory, failures, request.run_id), request.require_360
+            item_outcomes(plan, known_before, stored, failures, request.run_id), request.require_360
         ),
         "outcomes",
     )
-    fresh = inventory.join(
+    arrived = stored.join(
         outcomes.where(F.col("error_code").isNull() & ~F.col("skipped")).select("dest_path"),
         "dest_path",
         "left_semi",
     )
+    fresh = materialize(hash_files(materialize(arrived, "arrived"), root), "fresh")
     counters = _one_run(spark, request.run_id, runs.run_counters(outcomes))
     if expansion_errors is not None:
         counters = counters.withColumn("failed", F.col("failed") + F.lit(expansion_errors.count()))
-    schemas = materialize(stored_schemas(spark, root, plan, inventory), "schemas")
+    schemas = materialize(stored_schemas(spark, root, plan, stored), "schemas")
     failed_items = outcomes.where(F.col("error_code").isNotNull()).select(
         F.col("error_code").alias("code"), "logical_name", "dest_path", F.col("optional_miss").alias("optional")
     )
@@ -288,8 +233,7 @@ def _one_run(spark: SparkSession, run_id: str, counters: DataFrame) -> DataFrame
 
 
 def _dry_run(spark: SparkSession, request: RunRequest, plan: DataFrame) -> RunResult:
-    about = ["dest_path", "ordinal", "group"]
-    nothing = _noted(plan.where(F.lit(False)), about, "").withColumn("table_name", F.lit(""))
+    nothing = stored_schemas(spark, "/", plan.where(F.lit(False)), plan.where(F.lit(False)))
     counters = _one_run(
         spark, request.run_id,
         spark.createDataFrame(

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import codecs
-import json
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +13,9 @@ from pyspark.sql import types as T
 from driftspark.functions import errors
 from driftspark.functions.types import numeric_coerce
 from driftspark.operators.profile import schema_fingerprint
-from driftspark.runtime import col, shuffle_tasks
-from driftspark.sources.files import locate
+from driftspark.runtime import col, materialize
+from driftspark.sources import blocks
+from driftspark.sources.files import PLACE
 
 # Text that a CSV cell uses for null.
 CSV_NULLS = [
@@ -27,8 +26,8 @@ CSV_NULLS = [
 CSV_TRUE = ["True", "TRUE", "true"]
 CSV_FALSE = ["False", "FALSE", "false"]
 
-# Bytes of a JSON file that are read at once.
-JSON_BLOCK = 1 << 20
+# Bytes of JSON that the engine takes as one value, at least.
+JSON_LARGEST = 1 << 24
 
 _WHOLE = r"^\s*[+-]?\d+\s*$"
 
@@ -70,23 +69,43 @@ def typed_text(raw: DataFrame, null_tokens: Sequence[str] = tuple(CSV_NULLS)) ->
 CSV_QUOTING = {"quote": '"', "escape": '"'}
 
 
+def _listed(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """Root of a store and ``dest_path`` of the files at ``path``, a file, folder or pattern."""
+    found = spark.read.format("binaryFile").load(path).select("path")
+    root = re.match(PLACE, found.agg(F.min("path")).first()[0] or "").group(0)
+    return f"{root}/", found.select(F.substring("path", len(root) + 2, 1 << 20).alias("dest_path"))
+
+
 def read_csv_table(
     spark: SparkSession, path: str, null_tokens: Sequence[str] = tuple(CSV_NULLS), multi_line: bool = True
 ) -> DataFrame:
     """A CSV file or folder with header, typed by the values of the whole table.
 
-    Cells may hold commas, doubled quotes and line breaks. A file whose cells may hold line breaks cannot be
-    split into several tasks: land a big one as Parquet once, or, where it is known to have none, read it with
-    ``multi_line=False``.
+    Cells may hold commas, doubled quotes and line breaks; a file is read by as many tasks as it has blocks. The first
+    file names the columns: an empty name becomes ``_c`` and its place, a repeated one gets its place. Missing cells
+    are null, further ones are left out. With ``multi_line=False`` line breaks end a record in any case.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("nullValue", "\x00")
-        .option("multiLine", multi_line)
-        .options(**CSV_QUOTING)
-        .csv(path)
-    )
-    return typed_text(raw, null_tokens)
+    if not multi_line:
+        raw = spark.read.options(header=True, nullValue="\x00", **CSV_QUOTING).csv(path)
+        return typed_text(raw, null_tokens)
+    root, files = _listed(spark, path)
+    records = blocks.csv_records(files, root)
+    header = records.where("header").agg(F.min_by("cells", "dest_path")).first()[0]
+    if header is None:
+        return spark.createDataFrame([], T.StructType())
+    # Several passes read the cells, so the files are parsed once.
+    cells = materialize(records.where("not header").select("cells"), "cells")
+    names = column_names(header)
+    return typed_text(cells.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]), null_tokens)
+
+
+def column_names(header: Sequence[str]) -> list[str]:
+    """Names of columns by a header's cells, all different, whatever the case of their letters."""
+    lower = [name.lower() for name in header]
+    return [
+        f"_c{i}" if not name else f"{name}{i}" if lower.count(name.lower()) > 1 else name
+        for i, name in enumerate(header)
+    ]
 
 
 def _stored_type(found: T.DataType) -> T.DataType:
@@ -172,29 +191,50 @@ def json_items(texts: DataFrame, text: str) -> DataFrame:
     return texts.withColumn("item", F.explode_outer(F.coalesce(items, F.array(whole)))).drop(text)
 
 
+def parsed_items(files: DataFrame, root: str, path: str = "dest_path") -> DataFrame:
+    """``files`` by element: ``item``, a VARIANT or null, and ``code``, what is wrong with the element or the block.
+
+    An element that the engine does not take is too large or, if it is small, no JSON.
+    """
+    last_key_wins(files.sparkSession)
+    items = blocks.planned_json(files, root, path).withColumn("item", F.try_parse_json("text"))
+    refused = F.col("text").isNotNull() & F.col("item").isNull()
+    large = F.octet_length("text") > JSON_LARGEST
+    code = F.when(refused & large, errors.JSON_ITEM_TOO_LARGE).when(refused, errors.JSON_PARSE).otherwise(F.col("code"))
+    return items.withColumn("code", code).drop("text", "broken")
+
+
 def read_json_table(spark: SparkSession, path: str) -> DataFrame:
-    """Files that hold one object or one array of objects, flattened.
+    """Files that hold one object or one array of objects, flattened; a large array is read by several tasks.
 
-    Text that is no JSON raises ``E_JSON_PARSE``; an array of plain values is the column ``value``.
+    What is no JSON raises ``E_JSON_PARSE``, and an element that the engine does not take the code that says why; an
+    array of plain values is the column ``value``.
     """
-    texts = spark.read.option("wholetext", True).text(path)
-    if not json_errors(texts, "value").isEmpty():
-        raise ValueError(f"{errors.JSON_PARSE}: {path}")
-    documents = json_items(texts, "value").where("item is not null").select(F.to_json("item").alias("document"))
-    return flatten_json(documents, "document")
+    root, files = _listed(spark, path)
+    items = materialize(parsed_items(files, root), "items")
+    wrong = items.agg(F.min("code")).first()[0]
+    if wrong:
+        raise ValueError(f"{wrong}: {path}")
+    return flatten_json(items.where("item is not null").select(F.to_json("item").alias("document")), "document")
 
 
 # Type classes of the types a JSON value takes; what is not listed is an object.
 _JSON_CLASSES = {
     "BIGINT": "int", "DECIMAL": "float", "DOUBLE": "float", "BOOLEAN": "bool", "STRING": "string", "VOID": "string",
 }
-_LEAVES = T.ArrayType(T.StructType().add("name", T.StringType()).add("kind", T.StringType()))
+_LEAVES = T.ArrayType(
+    T.StructType()
+    .add("name", T.StringType())
+    .add("kind", T.StringType())
+    .add("way", T.ArrayType(T.StringType()))
+    .add("path", T.StringType())
+)
 
 
-def json_leaves(ddl: str) -> list[dict[str, str]]:
-    """Dotted names and classes of a type such as ``OBJECT<a: BIGINT, b: OBJECT<c: STRING>>``."""
+def _leaf_ways(ddl: str) -> list[tuple[list[str], str]]:
+    """Keys from the top to each leaf of a type such as ``OBJECT<a: BIGINT, b: OBJECT<c: STRING>>``, and its class."""
     tokens = re.findall(r"`(?:[^`]|``)*`|\w+(?:\([\d, ]+\))?|[<>]", ddl)
-    leaves: list[dict[str, str]] = []
+    leaves: list[tuple[list[str], str]] = []
 
     def skip(at: int) -> int:
         depth = 0
@@ -204,34 +244,56 @@ def json_leaves(ddl: str) -> list[dict[str, str]]:
             if depth == 0:
                 return at
 
-    def walk(at: int, name: str) -> int:
+    def walk(at: int, way: list[str]) -> int:
         word, nested = tokens[at], tokens[at + 1 : at + 2] == ["<"]
         if word == "OBJECT" and nested and tokens[at + 2] != ">":
             at += 2
             while tokens[at] != ">":
                 field = tokens[at].strip("`").replace("``", "`")
-                at = walk(at + 1, f"{name}.{field}" if name else field)
+                at = walk(at + 1, [*way, field])
             return at + 1
-        kind = _JSON_CLASSES.get(word.split("(")[0], "object")
-        leaves.append({"name": name or "value", "kind": kind})
+        leaves.append((way, _JSON_CLASSES.get(word.split("(")[0], "object")))
         return skip(at + 1) if nested else at + 1
 
-    walk(0, "")
+    walk(0, [])
     return leaves
 
 
+def json_leaves(ddl: str) -> list[dict[str, str]]:
+    """Dotted names and classes of the leaves of a type."""
+    return [{"name": ".".join(way) or "value", "kind": kind} for way, kind in _leaf_ways(ddl)]
+
+
+def _step(key: str) -> str | None:
+    """A key in a path of the engine, which takes no question mark, no empty key, and one kind of quote."""
+    if not key or "?" in key or ('"' in key and "'" in key):
+        return None
+    return f"['{key}']" if '"' in key else f'["{key}"]'
+
+
+def _with_paths(ddl: str) -> list[dict]:
+    """Leaves with the ways to them; of leaves of one dotted name the first counts."""
+    found: dict[str, dict] = {}
+    for way, kind in _leaf_ways(ddl):
+        steps = [_step(key) for key in way]
+        path = None if None in steps else "$" + "".join(steps)
+        name = ".".join(way) or "value"
+        found.setdefault(name, {"name": name, "kind": kind, "way": way, "path": path})
+    return list(found.values())
+
+
 @F.pandas_udf(_LEAVES)
 def _leaves_of(types: pd.Series) -> pd.Series:
-    return types.map(json_leaves)
+    return types.map(_with_paths)
 
 
-def item_schemas(items: DataFrame, *keys: str) -> DataFrame:
-    """``keys, n_rows, columns, dtypes, schema_fingerprint`` per ``keys`` of rows with a VARIANT ``item`` (or null).
+def item_leaves(items: DataFrame, *keys: str) -> DataFrame:
+    """``keys, n_rows, leaves`` per ``keys`` of rows with a VARIANT ``item`` (or null).
 
-    The type is merged by a partial aggregation, so a file with very many documents is no hot spot;
-    the UDF sees one short type per file.
+    The type is merged by a partial aggregation, so a file with very many documents is no hot spot; the UDF sees one
+    short type per file.
     """
-    typed = (
+    return (
         items.groupBy(*keys)
         .agg(F.count("item").alias("n_rows"), F.schema_of_variant_agg("item").alias("ddl"))
         .select(
@@ -241,11 +303,27 @@ def item_schemas(items: DataFrame, *keys: str) -> DataFrame:
             F.when(F.col("n_rows") > 0, _leaves_of("ddl")).otherwise(F.array().cast(_LEAVES)).alias("leaves"),
         )
     )
-    return typed.select(
+
+
+def leaf_value(item: Column, leaf: Column) -> Column:
+    """The VARIANT at a leaf; JSON nulls are null."""
+
+    def stepwise(value: Column, key: Column) -> Column:
+        return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), key)
+
+    found = F.when(
+        leaf["path"].isNotNull(), F.call_function("try_variant_get", item, leaf["path"], F.lit("variant"))
+    ).otherwise(F.aggregate(leaf["way"], item, stepwise))
+    return F.when(~F.is_variant_null(found), found)
+
+
+def item_schemas(items: DataFrame, *keys: str) -> DataFrame:
+    """``keys, n_rows, columns, dtypes, schema_fingerprint`` per ``keys`` of rows with a VARIANT ``item`` (or null)."""
+    return item_leaves(items, *keys).select(
         *keys,
         "n_rows",
         F.col("leaves.name").alias("columns"),
-        F.map_from_entries("leaves").alias("dtypes"),
+        F.map_from_arrays("leaves.name", "leaves.kind").alias("dtypes"),
     ).withColumn("schema_fingerprint", schema_fingerprint(F.col("columns"), F.col("dtypes")))
 
 
@@ -254,100 +332,6 @@ def json_file_schemas(texts: DataFrame, text: str, *keys: str) -> DataFrame:
     return item_schemas(json_items(texts.select(*keys, text), text), *keys)
 
 
-def json_elements(read: Callable[[int], bytes], block: int = JSON_BLOCK) -> Iterator[str]:
-    """Texts of the elements of a file's array, or of its one value, read block by block.
-
-    Only one element and one block are in memory. What is no JSON raises ``ValueError`` where it stands.
-    """
-    decode = codecs.getincrementaldecoder("utf-8-sig")().decode
-    scan = json.JSONDecoder().raw_decode
-    text, at, ended = "", 0, False
-
-    def more(size: int) -> None:
-        nonlocal text, at, ended
-        data = read(size)
-        text, at, ended = text[at:] + decode(data, not data), 0, not data
-
-    def upcoming() -> str:
-        """The next character that is no white space; empty at the end."""
-        nonlocal at
-        while True:
-            while at < len(text) and text[at] in " \t\r\n":
-                at += 1
-            if at < len(text) or ended:
-                return text[at : at + 1]
-            more(block)
-
-    def value() -> str:
-        nonlocal at
-        size = block
-        while True:
-            try:
-                _, end = scan(text, at)
-                # A number at the end of a block may go on in the next one.
-                if end < len(text) or ended:
-                    part, at = text[at:end], end
-                    return part
-            except json.JSONDecodeError:
-                if ended:
-                    raise
-            more(size)
-            size *= 2
-
-    if upcoming() != "[":
-        yield value()
-    else:
-        at += 1
-        mark = upcoming()
-        while mark != "]":
-            yield value()
-            mark = upcoming()
-            if mark not in ("]", ","):
-                raise ValueError("an array goes on without a comma")
-            if mark == ",":
-                at += 1
-                upcoming()
-        at += 1
-    if upcoming():
-        raise ValueError("text after the end")
-
-
-def _read_items(root: str, names: Sequence[str], path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = locate(root)
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                part, size = [], 0
-                broken = False
-                with system.open_input_stream(base + row[path]) as stream:
-                    try:
-                        for text in json_elements(stream.read):
-                            part.append(text)
-                            size += len(text)
-                            if size > JSON_BLOCK:
-                                yield pd.DataFrame([row] * len(part), columns=names).assign(text=part, broken=False)
-                                part, size = [], 0
-                    except (ValueError, RecursionError):
-                        broken = True
-                # The last row says how the file ended, also where it has no element.
-                part.append(None)
-                ends = [False] * (len(part) - 1) + [broken]
-                yield pd.DataFrame([row] * len(part), columns=names).assign(text=part, broken=ends)
-
-    return run
-
-
-def planned_json(files: DataFrame, root: str, path: str = "dest_path", tasks: int | None = None) -> DataFrame:
-    """``files`` with a row per JSON element (``text``) and one row without, whose ``broken`` says if it is no JSON.
-
-    The tasks open the files that are asked for and no others, and read them block by block: neither the size
-    of a file nor the number of files in the store matters.
-    """
-    spread = files.repartition(tasks or shuffle_tasks(files.sparkSession), path)
-    schema = T.StructType([*files.schema.fields]).add("text", "string").add("broken", "boolean")
-    return spread.mapInPandas(_read_items(root, files.columns, path), schema)
-
-
 def suffix_of(path: str) -> str:
     match = re.search(r"\.[^./]+$", path.rstrip("/"))
     return match.group(0).lower() if match else ""
@@ -370,5 +354,6 @@ def read_table(spark: SparkSession, path: str) -> tuple[DataFrame | None, str |
         return reader(spark, path), None
     except Exception as error:
         text = str(error)
-        code = errors.JSON_PARSE if errors.JSON_PARSE in text else errors.SCHEMA_UNSUPPORTED
+        named = (errors.JSON_PARSE, errors.JSON_ITEM_TOO_LARGE, errors.JSON_TOO_DEEP)
+        code = next((name for name in named if name in text), errors.SCHEMA_UNSUPPORTED)
         return None, f"{code}: {text.splitlines()[0] if text else path}"

@@ -375,3 +375,44 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("msg"),
         F.when(kind == "error", "error").when(kind == "signup", "warn").alias("level"),
     )
+
+
+def _parquet_bytes(rows):
+    import io
+
+    import pandas as pd
+
+    out = io.BytesIO()
+    rows.drop(columns=["file", "priority_kept"]).drop(columns=[] if rows["priority_kept"].iloc[0] else ["o_orderpriority"]).to_parquet(
+        out, index=False
+    )
+    return pd.DataFrame({"dest_path": ["parquet/" + rows["file"].iloc[0] + ".parquet"], "content": [out.getvalue()]})
+
+
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dest_path, content``: orders of one year and 20,000 keys as a CSV, a JSON and a Parquet file each.
+
+    Files of even years lack the priority, which is null for pending orders elsewhere.
+    """
+    year = F.year("o_orderdate")
+    file = F.concat_ws("_", year.cast("string"), F.floor(F.col("o_orderkey") / 20_000).cast("string"))
+    priority = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
+    rows = table(spark, sf_dir, "orders").select(
+        file.alias("file"), (year % 2 == 1).alias("priority_kept"), "o_orderkey", priority.alias("o_orderpriority"),
+        "o_orderstatus", "o_totalprice",
+    )
+    kept = F.col("priority_kept")
+    names = ["o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"]
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]
+    line = F.when(kept, F.concat_ws(",", *cells)).otherwise(F.concat_ws(",", *[c for c, n in zip(cells, names) if n != "o_orderpriority"]))
+    head = F.when(kept, ",".join(names)).otherwise(",".join(n for n in names if n != "o_orderpriority"))
+    document = F.to_json(F.struct("o_orderkey", F.when(kept, F.col("o_orderpriority")).alias("o_orderpriority"), "o_orderstatus", "o_totalprice"))
+    texts = rows.groupBy("file", "priority_kept").agg(
+        F.array_join(F.collect_list(line), "\n").alias("lines"), F.array_join(F.collect_list(document), ",").alias("documents")
+    )
+    csv = texts.select(F.concat(F.lit("csv/"), "file", F.lit(".csv")).alias("dest_path"), F.concat_ws("\n", head, "lines").cast("binary").alias("content"))
+    json = texts.select(
+        F.concat(F.lit("json/"), "file", F.lit(".json")).alias("dest_path"), F.concat(F.lit("["), "documents", F.lit("]")).cast("binary").alias("content")
+    )
+    parquet = rows.groupBy("file").applyInPandas(_parquet_bytes, "dest_path STRING, content BINARY")
+    return csv.union(json).union(parquet)

@@ -411,6 +411,34 @@ def _with(ctes: str, query: str) -> str:
     return f"WITH {recursive}{ctes.strip()}\n{query}"
 
 
+PROFILE_ENTRIES = """WITH files AS (
+  SELECT year(o_orderdate) || '_' || (o_orderkey // 20000) AS file, year(o_orderdate) % 2 = 1 AS kept, * FROM orders
+),
+cells AS (
+  SELECT file, 'o_orderkey' AS column_name, 'int' AS type_class, CAST(o_orderkey AS DOUBLE) AS number, NULL AS text FROM files
+  UNION ALL SELECT file, 'o_totalprice', 'float', o_totalprice, NULL FROM files
+  UNION ALL SELECT file, 'o_orderstatus', 'string', NULL, o_orderstatus FROM files
+  UNION ALL SELECT file, 'o_orderpriority', 'string', NULL, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END FROM files WHERE kept
+),
+stats AS (
+  SELECT file, column_name, type_class, count(*) AS n_rows, round(1 - count(coalesce(CAST(number AS VARCHAR), text)) / count(*), 6) AS null_fraction,
+    min(number) AS min_value, max(number) AS max_value, round(avg(number), 6) AS mean_value, round(stddev_pop(number), 6) AS std_value
+  FROM cells GROUP BY ALL
+),
+ranked AS (
+  SELECT file, column_name, text, count(*) AS n,
+    row_number() OVER (PARTITION BY file, column_name ORDER BY count(*) DESC, sha256(text)) AS rank
+  FROM cells WHERE text IS NOT NULL GROUP BY file, column_name, text
+),
+tops AS (
+  SELECT file, column_name, string_agg(text || '=' || n, '|' ORDER BY rank) AS top_values FROM ranked WHERE rank <= 10 GROUP BY ALL
+),
+formats AS (SELECT unnest(['csv', 'json', 'parquet']) AS kind)
+SELECT kind || '/' || file || '.' || kind AS dest_path, column_name, n_rows, type_class, null_fraction, min_value, max_value, mean_value,
+  std_value, top_values
+FROM stats LEFT JOIN tops USING (file, column_name), formats"""
+
+
 def sql() -> dict[str, str]:
     side_row = _with(SIDES, f"SELECT {SIDE_COLUMNS}, win AS target FROM sides")
     features = re.split(r",\s*", SIDE_COLUMNS)[5:]
@@ -420,6 +448,7 @@ def sql() -> dict[str, str]:
         "profile_json_files": "SELECT 'events/' || (event_id // 1000) || '.json' AS dest_path, count(*) AS n_rows, "
         "'event_id,event_type,value' AS columns, 'int,string,float' AS classes FROM events GROUP BY 1",
         "csv_documents": "SELECT * FROM documents",
+        "profile_entries": PROFILE_ENTRIES,
         "stored_pages": "SELECT 'pages/' || page_id || '.html' AS dest_path, sha256(html) AS sha256, "
         "CAST(strlen(html) AS BIGINT) AS size_bytes FROM pages",
         "two_sided_unpivot": side_row,

@@ -14,6 +14,7 @@ from driftspark.operators import catalog, drift, ledger, metrics, models, profil
 from driftspark.plans import training
 from driftspark.runtime import materialize, scratch_dir
 from driftspark.sources import files, games, tables
+from driftspark.sources.entries import file_entries
 from driver import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,14 +73,30 @@ def profile_json_files(spark, sf):
     )
     content = F.concat(F.lit("["), F.col("list"), F.lit("]")).cast("binary")
     plan = materialize(files.write_files(arrays.select("dest_path", content.alias("content")), root), "plan")
-    tables.last_key_wins(spark)
-    items = tables.planned_json(plan, root).withColumn("item", F.try_parse_json("text"))
+    items = tables.parsed_items(plan, root)
     kinds = F.transform("columns", lambda c: F.element_at("dtypes", c))
     return tables.item_schemas(items, "dest_path").select(
         "dest_path", "n_rows", _joined("columns"), F.array_join(kinds, ",").alias("classes")
     )
 
 
+def profile_entries(spark, sf):
+    """Orders written as CSV, JSON and Parquet files from the tasks, and the full entries of these files by column."""
+    root = f"{scratch_dir(spark)}/orders-{uuid.uuid4().hex}"
+    stored = materialize(files.write_files(b.order_files(spark, sf), root), "stored")
+    entries = file_entries(spark, stored, root)
+    rows = entries.select("dest_path", "n_rows", "dtypes", "null_fraction", "basic_stats", "top_values", F.explode("columns").alias("column_name"))
+    stats, name = F.try_element_at("basic_stats", F.col("column_name")), F.col("column_name")
+    top = F.transform(F.try_element_at("top_values", name), lambda x: F.concat_ws("=", x["value"], x["n"].cast("string")))
+    found = rows.select(
+        "dest_path", "column_name", "n_rows", F.element_at("dtypes", name).alias("type_class"),
+        F.element_at("null_fraction", name).alias("null_fraction"),
+        *[stats[s].alias(f"{s}_value") for s in ("min", "max", "mean", "std")],
+        F.array_join(top, "|").alias("top_values"),
+    )
+    return _rounded(found, "null_fraction", "mean_value", "std_value")
+
+
 def stored_pages(spark, sf):
     """Pages written as files from the tasks, and the inventory of the files a plan asks for."""
     root = f"{scratch_dir(spark)}/pages-{uuid.uuid4().hex}"
@@ -528,5 +545,5 @@ ALL: list[Query] = [
     audit_rollup, attribution_lookup, pinned_gate, rf_classify, logit_classify, logit_classify_all,
     rf_regress, ridge_regress,
     ridge_regress_all, train_eval, drop_ablation, landed_games, csv_documents, profile_json_files,
-    stored_pages,
+    stored_pages, profile_entries,
 ]

@@ -95,6 +95,34 @@ def test_second_run_skips_what_is_known(spark, store, tmp_path):
     assert ok and found.count() == 0
 
 
+def test_known_files_are_not_hashed_again(spark, store):
+    first = run(spark, store)
+    known = spark.createDataFrame(first.ledger.collect(), first.ledger.schema)
+    # Contents change under the same names: a run that read them would see other hashes.
+    place = store / f"statsbomb-open-data/{SHA}"
+    (place / "events/7.json").write_text("[]")
+    (place / "lineups/7.json").write_text("[{}]")
+    partly = known.where("dest_path NOT LIKE '%lineups%'")
+    second = run(spark, store, known=partly)
+    before, after = ({r["dest_path"]: r["sha256"] for r in x.collect()} for x in (known, second.ledger))
+    changed = {p for p in before if before[p] != after[p]}
+    assert changed == {f"statsbomb-open-data/{SHA}/lineups/7.json"} and before.keys() == after.keys()
+    results = second.record.first()["results"]
+    assert (results["downloaded_files"], results["skipped_files"]) == (1, 3)
+
+
+def test_entries_of_a_run(spark, store):
+    place = store / f"statsbomb-open-data/{SHA}"
+    (place / "events/7.json").write_text('[{"id": NaN, "type": "x"}, {"id": 3, "type": "x"}, {"id": 5}]')
+    (place / "lineups/7.json").write_text("[" * 1200 + "]" * 1200)
+    result = run(spark, store)
+    entry = result.schemas.where("group = 'events'").first()
+    assert (entry["logical_name"], entry["n_rows"], entry["columns"]) == ("events_7", 3, ["id", "type"])
+    assert entry["null_fraction"] == pytest.approx({"id": 1 / 3, "type": 1 / 3})
+    assert entry["basic_stats"]["id"][:] == (3.0, 5.0, 4.0, 1.0) and entry["top_values"] == {"type": [("x", 2)]}
+    assert {r["code"] for r in result.errors.collect()} == {"E_HTTP_404", "E_JSON_TOO_DEEP"}
+
+
 def test_reported_failure(spark, store):
     target = f"statsbomb-open-data/{SHA}/lineups/7.json"
     (store / target).unlink()

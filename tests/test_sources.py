@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftspark.operators import profile, sides
 from driftspark.plans import training
-from driftspark.sources import artifacts, files, games, splits, tables
+from driftspark.sources import artifacts, blocks, files, games, splits, tables
 from driftspark.streaming import audit
 
 
@@ -223,9 +223,16 @@ def test_inventory_hashes_named_files_only(spark, tmp_path):
         assert len(rows) == 3 and all(r["mtime_utc"].endswith("Z") for r in rows)
 
 
-def test_inventory_is_not_coalesced_into_one_task(spark):
+def test_hashing_is_dealt_by_bytes_into_a_given_number_of_tasks(spark, tmp_path):
     paths = spark.createDataFrame([(f"p{i}",) for i in range(100)], "dest_path STRING")
-    assert files.file_inventory(paths, "/nowhere", tasks=13).rdd.getNumPartitions() == 13
+    assert files.file_inventory(paths, "/nowhere").count() == 0
+    assert files.file_stats(paths, "/nowhere", tasks=13).rdd.getNumPartitions() == 13
+    # A third of the bytes in few files, the rest in many of all sizes.
+    sizes = [(f"f{i}", (i % 97) * 50_000 + 7, None) for i in range(3000)] + [(f"g{i}", 3_000_000, None) for i in range(900)]
+    stats = spark.createDataFrame(sizes, "dest_path STRING, size_bytes BIGINT, mtime_utc STRING")
+    loads = files.dealt_by_bytes(stats, 40).groupBy(F.spark_partition_id()).agg(F.sum("size_bytes").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert len(loads) == 40 and sum(r["rows"] for r in loads) == 3900
+    assert max(r["n"] for r in loads) < 2 * sum(r["n"] for r in loads) / 40
 
 
 def test_ledger_and_artifacts(spark, tmp_path):
@@ -274,7 +281,7 @@ def test_unpivot_of_read_games_keeps_types(spark, season_files):
 def test_json_elements_block_by_block(block):
     def elements(text):
         stream = io.BytesIO(text.encode())
-        return list(tables.json_elements(stream.read, block))
+        return list(blocks.json_elements(stream.read, block))
 
     assert elements('[{"a": 1}, 12, "x,]", [1, 2] , null]') == ['{"a": 1}', "12", '"x,]"', "[1, 2]", "null"]
     assert elements(" [] ") == [] and elements('\ufeff{"é": [1]}') == ['{"é": [1]}'] and elements("12") == ["12"]
@@ -289,7 +296,7 @@ def test_only_planned_json_files_are_read(spark, tmp_path):
     (tmp_path / "c.json").write_text("[{}, {")
     (tmp_path / "lost").mkdir()
     asked = spark.createDataFrame([("a.json", 1), ("b.json", 2), ("c.json", 3)], "dest_path STRING, ordinal INT")
-    found = tables.planned_json(asked, str(tmp_path)).collect()
+    found = blocks.planned_json(asked, str(tmp_path)).collect()
     assert sorted((r.ordinal, r.text or "", r.broken) for r in found) == [
         (1, "", False), (1, '{"k": "x"}', False), (1, '{"k": 1, "k": 2}', False), (2, "", False), (3, "", True), (3, "{}", False),
     ]
@@ -301,6 +308,6 @@ def test_a_json_file_beyond_one_value(spark, tmp_path):
     with (tmp_path / "big.json").open("w") as out:
         out.write("[" + ",".join([line] * 15_000) + "]")
     asked = spark.createDataFrame([("big.json",)], "dest_path STRING")
-    items = tables.planned_json(asked, str(tmp_path), tasks=1).withColumn("item", F.try_parse_json("text"))
+    items = blocks.planned_json(asked, str(tmp_path), tasks=1).withColumn("item", F.try_parse_json("text"))
     assert items.where("broken or (text is not null and item is null)").count() == 0
     assert tables.item_schemas(items, "dest_path").first()["n_rows"] == 15_000
