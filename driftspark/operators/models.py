@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.operators import metrics
@@ -29,7 +32,8 @@ RIDGE_ALPHA = 1.0
 # Statistics of the tree nodes grown in one pass over the data; more memory means fewer passes.
 FOREST_MEMORY_MB = 1024
 
-# Partitions of the training rows, whatever the machine.
+# Partitions of the training rows, whatever the machine: one for so many rows, and no fewer than these.
+ROWS_PER_TASK = 250_000
 FIT_TASKS = 32
 
 TASKS = ("classification", "regression")
@@ -99,15 +103,22 @@ def _dealt(rows: DataFrame, features: Sequence[str], tasks: int) -> DataFrame:
     return narrow.repartition(tasks, "_key").sortWithinPartitions("_key", *[col(f) for f in features]).drop("_key")
 
 
+def fit_tasks(rows: int) -> int:
+    """Partitions that so many training rows are dealt into."""
+    return max(FIT_TASKS, -(-rows // ROWS_PER_TASK))
+
+
 def fit(
     train: DataFrame, task: str, model_type: str = "rf", seed: int = SEED,
-    extra_metadata: Sequence[str] = ("split",), tasks: int = FIT_TASKS,
+    extra_metadata: Sequence[str] = ("split",), tasks: int | None = None,
 ) -> TrainedModel:
-    """``tasks`` should grow with the table; a forest depends on it, but on no property of the machine.
+    """A model of the rows, dealt into ``tasks`` partitions; by default their number follows that of the rows, so a
+    forest depends on its data and on no property of the machine.
 
     The rows are kept while the model is fitted, so iterations do not read the table again.
     """
     features = feature_columns(train, extra_metadata)
+    tasks = tasks or fit_tasks(train.count())
     narrow = _dealt(train, features, tasks).persist(StorageLevel.MEMORY_AND_DISK)
     assembler = VectorAssembler(inputCols=features, outputCol=_VECTOR, handleInvalid="error")
     try:
@@ -124,10 +135,10 @@ def predict(trained: TrainedModel, rows: DataFrame) -> DataFrame:
 
 
 def train_eval(
-    split_rows: DataFrame, task: str, model_type: str = "rf", seed: int = SEED
+    split_rows: DataFrame, task: str, model_type: str = "rf", seed: int = SEED, tasks: int | None = None
 ) -> tuple[TrainedModel, DataFrame]:
     """Fit on train; one row of metrics for train and one for val, from one pass over both."""
-    trained = fit(split_rows.where(F.col("split") == "train"), task, model_type, seed)
+    trained = fit(split_rows.where(F.col("split") == "train"), task, model_type, seed, tasks=tasks)
     seen = predict(trained, split_rows.where(F.col("split").isin("train", "val")))
     result = metrics.evaluate(seen, task, by=["split"]).select(
         F.lit(model_type).alias("model_type"),
@@ -145,21 +156,85 @@ def evaluate_season_shift(trained: TrainedModel | None, test_rows: DataFrame) ->
     return metrics.season_shift(predict(trained, test_rows), trained.task)
 
 
+def _cross_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one task: the matrix of products of a constant, the features and the target, summed over its rows."""
+    total = None
+    for batch in batches:
+        values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        if not np.isfinite(values).all():
+            raise ValueError("features and target must be numbers")
+        z = np.column_stack([np.ones(len(values)), values])
+        total = z.T @ z if total is None else total + z.T @ z
+    if total is not None:
+        width = len(total)
+        at = np.arange(width * width, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at // width), pa.array(at % width), pa.array(total.ravel())], ["i", "j", "total"])
+
+
+def cross_products(train: DataFrame, features: Sequence[str]) -> np.ndarray:
+    """Products of a constant, the features and the target in this order, summed over all rows in one pass.
+
+    Only the matrix, a number for each pair of columns, reaches the driver.
+    """
+    rows = train.select(*[col(name).cast("double") for name in [*features, TARGET]])
+    parts = rows.mapInArrow(_cross_products, "i int, j int, total double")
+    matrix = np.zeros((len(features) + 2,) * 2)
+    for row in parts.groupBy("i", "j").agg(F.sum("total").alias("total")).collect():
+        matrix[row["i"], row["j"]] = row["total"]
+    return matrix
+
+
+def ridge_of(matrix: np.ndarray, kept: Sequence[int], alpha: float = RIDGE_ALPHA) -> tuple[np.ndarray, float]:
+    """Weights of the features at the places ``kept`` and the intercept, which is not penalized.
+
+    Everything a model of some of the features needs is in the cross products of all of them.
+    """
+    n = matrix[0, 0]
+    if not n:
+        raise ValueError("no training rows")
+    centred = matrix[1:, 1:] - np.outer(matrix[0, 1:], matrix[0, 1:]) / n
+    kept = list(kept)
+    own = centred[np.ix_(kept, kept)] + alpha * np.eye(len(kept))
+    weights = np.linalg.solve(own, centred[kept, -1]) if kept else np.zeros(0)
+    means = matrix[0, 1:] / n
+    return weights, float(means[-1] - means[kept] @ weights)
+
+
+def _ridge_predictions(
+    train: DataFrame, scored: DataFrame, drops: Sequence[Sequence[str]], extra_metadata: Sequence[str] = ("split",)
+) -> DataFrame:
+    """``scored`` with a column for each list, by ridge regressions that share one pass over ``train``."""
+    features = feature_columns(train, extra_metadata)
+    matrix = cross_products(train, features)
+    columns = {}
+    for i, drop in enumerate(drops):
+        left = feature_columns(feature_drop(train, drop), extra_metadata)
+        weights, intercept = ridge_of(matrix, [features.index(name) for name in left])
+        terms = [col(name).cast("double") * F.lit(float(w)) for name, w in zip(left, weights, strict=True)]
+        columns[f"prediction{i}"] = reduce(Column.__add__, terms, F.lit(intercept))
+    return scored.withColumns(columns)
+
+
 def drop_ablation(
     split_rows: DataFrame, task: str, drops: Sequence[Sequence[str]], model_type: str = "rf",
-    seed: int = SEED,
+    seed: int = SEED, tasks: int | None = None,
 ) -> DataFrame:
     """Shift metrics of test rows per drop list, next to those of the model that drops nothing.
 
     The split is computed once: dropping a feature does not move a row to another split. All models
-    score the test rows in one pass and share one aggregation.
+    score the test rows in one pass and share one aggregation. Ridge regressions of all lists come from one pass over
+    the training rows; other models are fitted list by list.
     """
     train = split_rows.where(F.col("split") == "train")
     scored = split_rows.where(F.col("split") == "test")
     variants = [[], *drops]
-    for i, drop in enumerate(variants):
-        trained = fit(feature_drop(train, drop), task, model_type, seed)
-        scored = predict(trained, scored).withColumnRenamed("prediction", f"prediction{i}")
+    if model_type == "linear" and task != "classification":
+        scored = _ridge_predictions(train, scored, variants)
+    else:
+        tasks = tasks or fit_tasks(train.count())
+        for i, drop in enumerate(variants):
+            trained = fit(feature_drop(train, drop), task, model_type, seed, tasks=tasks)
+            scored = predict(trained, scored).withColumnRenamed("prediction", f"prediction{i}")
     each = F.array(
         *[
             F.struct(F.lit(i).alias("variant"), F.col(f"prediction{i}").alias("prediction"))

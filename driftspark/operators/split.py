@@ -17,7 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspark.runtime import col, shuffle_tasks
+from driftspark.operators.lookup import join_lookup
+from driftspark.runtime import col, free_names, materialize, shuffle_tasks
 
 SPLITS = ("train", "val", "test")
 
@@ -62,12 +63,13 @@ def _order_keys(rows: DataFrame) -> list[Column]:
     return keys
 
 
-def _ranges(rows: DataFrame, bucket: Column) -> DataFrame:
-    """Rows per bucket with the position range ``[start, stop)`` each bucket covers.
+def _ranges(rows: DataFrame, bucket: Column, weight: Column | None = None) -> DataFrame:
+    """Rows (or their ``weight``) per bucket with the position range ``[start, stop)`` each bucket covers.
 
     The window runs over one row per bucket, never over ``rows``.
     """
-    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = rows.groupBy(bucket.alias("bucket")).agg(size.alias("n"))
     stop = F.sum("n").over(Window.orderBy("bucket"))
     total = F.sum("n").over(Window.partitionBy())
     return counts.select("bucket", "n", stop.alias("stop"), total.alias("total")).withColumn(
@@ -80,9 +82,12 @@ def _holding(ranges: DataFrame, position: Column) -> Column:
 
 
 def _settle(
-    rows: DataFrame, keys: list[Column], inside: Column, n: int, position: int
+    rows: DataFrame, keys: list[Column], inside: Column, n: int, position: int, weight: Column | None = None
 ) -> Boundary:
-    """Boundary for ``position`` among the ``n`` rows where ``inside`` holds."""
+    """Boundary for ``position`` among the ``n`` rows where ``inside`` holds.
+
+    With ``weight`` each row of ``rows`` stands for so many, and ``copies_before`` are those of the row at the cut.
+    """
     fixed = 0
     while n > RANK_LIMIT and fixed < len(keys):
         key = keys[fixed]
@@ -95,11 +100,19 @@ def _settle(
             continue
         shared = len(os.path.commonprefix([low, high]))
         prefix = F.left(key, F.lit(shared + PREFIX_STEP))
-        ranges = _ranges(rows.where(inside), prefix)
+        ranges = _ranges(rows.where(inside), prefix, weight)
         hit = ranges.where(_holding(ranges, F.lit(position))).first()
         inside = inside & (prefix == hit["bucket"])
         n, position = hit["n"], position - hit["start"]
     names = [f"k{i}" for i in range(len(keys))]
+    if weight is not None:
+        # Rows with equal keys do not occur here, so every key being settled leaves one row.
+        line = F.sum("w").over(Window.orderBy(*names))
+        groups = rows.where(inside).select(*[k.alias(name) for k, name in zip(keys, names)], weight.alias("w"))
+        hit = groups.withColumn("start", line - F.col("w")).where(
+            (F.col("start") <= position) & (F.col("start") + F.col("w") > position)
+        ).first()
+        return Boundary(tuple(hit[name] for name in names), position - hit["start"])
     found = rows.where(inside).select(*[k.alias(name) for k, name in zip(keys, names)])
     if n > RANK_LIMIT:
         # Every key is the same for all that is left.
@@ -113,17 +126,15 @@ def _settle(
     return Boundary(tuple(hit[name] for name in names), hit["at"] - hit["first"])
 
 
-def split_boundaries(
-    rows: DataFrame, train_ratio: float = 0.6, val_ratio: float = 0.2
-) -> tuple[list[Boundary | None], list[Column]]:
-    """Boundaries of the two cuts and the keys they compare with; ``None`` puts all rows before a cut.
+def _located(
+    rows: DataFrame, day: Column, train_ratio: float, val_ratio: float, weight: Column | None = None
+) -> list[tuple[Column, int, int] | None]:
+    """For each cut the day that holds it, rows of that day and the position within; None if all rows lie before.
 
     The cuts are ``n * ratio`` truncated in double arithmetic.
     """
     check_ratios(train_ratio, val_ratio)
-    keys = _order_keys(rows)
-    day = F.left(keys[0], F.lit(DAY_LENGTH))
-    ranges = _ranges(rows, day)
+    ranges = _ranges(rows, day, weight)
     cuts = [
         (F.col("total") * F.lit(ratio)).cast("long")
         for ratio in (float(train_ratio), float(train_ratio + val_ratio))
@@ -141,6 +152,15 @@ def split_boundaries(
             None if hit is None
             else (day == hit["bucket"], hit["n"], hit[f"cut{i}"] - hit["start"])
         )
+    return located
+
+
+def split_boundaries(
+    rows: DataFrame, train_ratio: float = 0.6, val_ratio: float = 0.2
+) -> tuple[list[Boundary | None], list[Column]]:
+    """Boundaries of the two cuts and the keys they compare with; ``None`` puts all rows before a cut."""
+    keys = _order_keys(rows)
+    located = _located(rows, F.left(keys[0], F.lit(DAY_LENGTH)), train_ratio, val_ratio)
     boundaries = [None if spot is None else _settle(rows, keys, *spot) for spot in located]
     if any(b is not None and b.copies_before for b in boundaries):
         # A cut falls among rows with one key: let the whole row decide, through its digest.
@@ -192,14 +212,57 @@ def _spread_copies(copies: DataFrame, columns: Sequence[str], firsts: list[Colum
     )
 
 
+def _split_together(rows: DataFrame, train_ratio: float, val_ratio: float, group: str) -> DataFrame:
+    """``time_split`` by groups; see there."""
+    date = F.coalesce(col("date").cast("string"), F.lit(_LAST))
+    name = F.coalesce(col(group).cast("string"), F.lit(_LAST))
+    # Rows without a group stand together by date only.
+    alone = F.when(col(group).isNull(), date)
+    counted = rows.groupBy(name.alias("name"), alone.alias("alone")).agg(
+        F.min(date).alias("first"), F.max(date).alias("last"), F.count(F.lit(1)).alias("n")
+    )
+    groups = materialize(counted, "groups")
+    keys, weight = [F.col("first"), F.col("name")], F.col("n")
+    located = _located(groups, F.left("first", F.lit(DAY_LENGTH)), train_ratio, val_ratio, weight)
+    boundaries = [None if spot is None else _settle(groups, keys, *spot, weight) for spot in located]
+    # Only groups of several dates have to be told when they start.
+    spread = groups.where("first < last").select("name", "first")
+    if spread.isEmpty():
+        placed, keys = rows, [date, name]
+    else:
+        free = free_names(rows, "name", "first", "spread")
+        named = rows.withColumns({free[0]: name, free[2]: F.xxhash64(*[col(c) for c in rows.columns])})
+        counts = groups.groupBy(F.col("name").alias(free[0])).agg(F.sum("n").alias("n"))
+        lookup = spread.select(F.col("name").alias(free[0]), F.col("first").alias(free[1]))
+        placed = join_lookup(named, lookup, [free[0]], counts, free[2])
+        keys = [F.coalesce(F.col(free[1]), date), F.col(free[0])]
+
+    def before(boundary: Boundary | None) -> Column:
+        if boundary is None:
+            return F.lit(True)
+        # A group that starts before the cut is before it as a whole.
+        held = _equal(keys, boundary) if boundary.copies_before else F.lit(False)
+        return _before(keys, boundary) | held
+
+    label = _label(*[before(b) for b in boundaries])
+    return placed.select(*[col(c) for c in rows.columns], label.alias("split"))
+
+
 def time_split(
-    rows: DataFrame, train_ratio: float = 0.6, val_ratio: float = 0.2
+    rows: DataFrame, train_ratio: float = 0.6, val_ratio: float = 0.2, keep_together: str | None = None
 ) -> DataFrame:
     """Add ``split``: the first ``int(n*train)`` rows by time, up to ``int(n*(train+val))``, the rest.
 
     Order is made total: date, game, home side first, then row content. ``rows`` is read once per
     counting pass (two or three as a rule), so it should be a table, not a long unmaterialized plan.
+
+    With ``keep_together``, a column such as ``game_id``, all rows of one value are in one split: that of the group's
+    first row, if groups stand in the order of their first dates and then of their values. Only group totals are
+    counted, so sizes differ from the exact ones by less than the group at the cut. Rows without a value stand
+    together by date.
     """
+    if keep_together is not None:
+        return _split_together(rows, train_ratio, val_ratio, keep_together)
     boundaries, keys = split_boundaries(rows, train_ratio, val_ratio)
 
     def before(boundary: Boundary | None) -> Column:

@@ -17,7 +17,7 @@ from driftspark.operators import catalog, drift, ledger, runs
 from driftspark.operators.lookup import join_lookup, key_counts
 from driftspark.runtime import materialize
 from driftspark.sources.entries import file_entries
-from driftspark.sources.files import file_stats, hash_files
+from driftspark.sources.files import INVENTORY_SCHEMA, file_stats, hash_files
 
 PLAN_COLUMNS = [
     "ordinal", "logical_name", "url", "dest_path", "expected_type", "expected_size_bytes", "sha256", "group",
@@ -142,7 +142,7 @@ def stored_schemas(spark: SparkSession, root: str, plan: DataFrame, stored: Data
     Each file is read once, however many items name it, and the number of jobs does not depend on the number of files.
     """
     items = plan.join(stored.select("dest_path"), "dest_path", "left_semi").select(*_ABOUT)
-    found = materialize(file_entries(spark, items, root), "entries")
+    found = materialize(file_entries(spark, stored.join(items.select("dest_path").distinct(), "dest_path", "left_semi"), root), "entries")
     rows = join_lookup(items, found, ["dest_path"], key_counts(items, ["dest_path"]), spread_by="logical_name")
     return rows.withColumn("table_name", F.element_at(F.split("dest_path", "/"), -1))
 
@@ -233,7 +233,7 @@ def _one_run(spark: SparkSession, run_id: str, counters: DataFrame) -> DataFrame
 
 
 def _dry_run(spark: SparkSession, request: RunRequest, plan: DataFrame) -> RunResult:
-    nothing = stored_schemas(spark, "/", plan.where(F.lit(False)), plan.where(F.lit(False)))
+    nothing = stored_schemas(spark, "/", plan.where(F.lit(False)), spark.createDataFrame([], INVENTORY_SCHEMA))
     counters = _one_run(
         spark, request.run_id,
         spark.createDataFrame(

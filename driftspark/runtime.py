@@ -15,6 +15,17 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not have yet, whatever the case of its letters."""
+    taken = {name.lower() for name in df.columns}
+    found = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return found
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset a folder in the
     warehouse, which all executors share as well."""

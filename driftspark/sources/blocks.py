@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from driftspark.functions import errors
+from driftspark.functions.text import is_safe_path
 from driftspark.runtime import col, materialize, shuffle_tasks
 from driftspark.sources.files import file_stats, locate
 
@@ -39,11 +40,15 @@ _BOM = b"\xef\xbb\xbf"
 def file_blocks(files: DataFrame, root: str, path: str = "dest_path", block: int = BLOCK) -> DataFrame:
     """``files`` that are stored, with ``size`` and a row for each block: ``start`` and ``stop`` in bytes.
 
-    An empty file has one empty block. Paths that leave ``root`` are never opened.
+    Where ``files`` has ``size_bytes``, sizes are taken from there and no file is looked up. An empty file has one
+    empty block. Paths that leave ``root`` are never opened.
     """
-    stats = file_stats(files.select(col(path).alias("dest_path")), root)
-    known = stats.select(F.col("dest_path").alias("_path"), F.col("size_bytes").alias("size"))
-    found = files.join(known, files[path] == known["_path"]).drop("_path")
+    if "size_bytes" in files.columns:
+        found = files.where(is_safe_path(col(path)) & F.col("size_bytes").isNotNull()).withColumn("size", F.col("size_bytes"))
+    else:
+        stats = file_stats(files.select(col(path).alias("dest_path")), root)
+        known = stats.select(F.col("dest_path").alias("_path"), F.col("size_bytes").alias("size"))
+        found = files.join(known, files[path] == known["_path"]).drop("_path")
     starts = F.sequence(F.lit(0).cast("long"), F.greatest("size", F.lit(1)) - 1, F.lit(block).cast("long"))
     rows = found.select("*", F.explode(starts).alias("start"))
     return materialize(rows.withColumn("stop", F.least(F.col("start") + block, "size")), "blocks")

@@ -22,7 +22,7 @@ from driftspark.operators.lookup import join_lookup, key_counts
 from driftspark.operators.profile import as_text, fingerprint_of
 from driftspark.runtime import col, materialize, shuffle_tasks
 from driftspark.sources import blocks, tables
-from driftspark.sources.files import PLACE, locate
+from driftspark.sources.files import PLACE, file_stats, locate
 
 _NOTES = f"{KEY} string, note string"
 
@@ -36,7 +36,7 @@ class Delivery:
 
 def of_csv(files: DataFrame, root: str) -> Delivery:
     """Cells are typed by all cells of their column; the first record names the columns. An empty file has none."""
-    records = materialize(blocks.csv_records(files.select(KEY), root), "records")
+    records = materialize(blocks.csv_records(files.select(KEY, "size_bytes"), root).drop("size_bytes"), "records")
     columns = materialize(
         entries.text_columns(records.where("not header"), tables.CSV_NULLS, tables.CSV_TRUE, tables.CSV_FALSE), "columns"
     )
@@ -90,7 +90,7 @@ def of_json(files: DataFrame, root: str) -> Delivery:
 
     A file with an element that is no JSON, too large or too deep gives a note and nothing else.
     """
-    items = materialize(tables.parsed_items(files.select(KEY), root), "items")
+    items = materialize(tables.parsed_items(files.select(KEY, "size_bytes"), root).drop("size_bytes"), "items")
     ends = materialize(items.groupBy(KEY).agg(F.min("code").alias("code")), "ends")
     good = items.join(ends.where("code is null").select(KEY), KEY, "left_semi").select(KEY, "item")
     found = materialize(tables.item_leaves(good, KEY), "leaves")
@@ -204,12 +204,15 @@ READERS = {".csv": of_csv, ".json": of_json, ".parquet": of_parquet}
 
 
 def file_entries(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
-    """An entry for each stored path of ``files`` (``dest_path``), by its lower-cased suffix.
+    """An entry for each stored path of ``files`` (``dest_path``, and ``size_bytes`` if that is known), by its
+    lower-cased suffix.
 
     Columns are those of ``operators.entries.assembled`` and ``note``, which says why a file has no columns: an error
     code, or an unsupported suffix. A path that is asked for more than once has one entry.
     """
-    paths = files.select(KEY).distinct()
+    if "size_bytes" not in files.columns:
+        files = file_stats(files, root)
+    paths = files.groupBy(KEY).agg(F.max("size_bytes").alias("size_bytes"))
     suffix = F.lower(F.regexp_extract(KEY, r"(\.[^./]+)$", 1))
     paths = materialize(paths.withColumn("suffix", suffix), "profiled-paths")
     present = {row["suffix"] for row in paths.where(F.col("suffix").isin(*READERS)).select("suffix").distinct().collect()}

@@ -70,10 +70,13 @@ CSV_QUOTING = {"quote": '"', "escape": '"'}
 
 
 def _listed(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
-    """Root of a store and ``dest_path`` of the files at ``path``, a file, folder or pattern."""
-    found = spark.read.format("binaryFile").load(path).select("path")
-    root = re.match(PLACE, found.agg(F.min("path")).first()[0] or "").group(0)
-    return f"{root}/", found.select(F.substring("path", len(root) + 2, 1 << 20).alias("dest_path"))
+    """Root of a store, and ``dest_path`` and ``size_bytes`` of the files at ``path``, a file, folder or pattern."""
+    found = spark.read.format("binaryFile").load(path)
+    first = next(iter(found.inputFiles()), "")
+    root = re.match(PLACE, first).group(0)
+    # The listing may write the root with more or fewer slashes.
+    place = F.regexp_replace(F.regexp_replace("path", PLACE, ""), "^/+", "")
+    return f"{root}/", found.select(place.alias("dest_path"), F.col("length").alias("size_bytes"))
 
 
 def read_csv_table(
@@ -89,12 +92,12 @@ def read_csv_table(
         raw = spark.read.options(header=True, nullValue="\x00", **CSV_QUOTING).csv(path)
         return typed_text(raw, null_tokens)
     root, files = _listed(spark, path)
-    records = blocks.csv_records(files, root)
+    # Several passes read the cells, so the files are parsed once.
+    records = materialize(blocks.csv_records(files, root).select("dest_path", "header", "cells"), "records")
     header = records.where("header").agg(F.min_by("cells", "dest_path")).first()[0]
     if header is None:
         return spark.createDataFrame([], T.StructType())
-    # Several passes read the cells, so the files are parsed once.
-    cells = materialize(records.where("not header").select("cells"), "cells")
+    cells = records.where("not header")
     names = column_names(header)
     return typed_text(cells.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]), null_tokens)
 

@@ -469,6 +469,16 @@ def sql() -> dict[str, str]:
             ),
         ),
         "time_split": _with(SPLIT, "SELECT game_id, is_home, date, split FROM split"),
+        "time_split_by_game": _with(
+            SPLIT.partition("\nsplit AS (")[0]
+            + """
+split AS (
+  SELECT *, CASE WHEN min(pos) OVER game < CAST(floor(total * CAST(0.6 AS DOUBLE)) AS BIGINT) THEN 'train'
+    WHEN min(pos) OVER game < CAST(floor(total * (CAST(0.6 AS DOUBLE) + CAST(0.2 AS DOUBLE))) AS BIGINT) THEN 'val' ELSE 'test' END AS split
+  FROM placed WINDOW game AS (PARTITION BY game_id)
+)""",
+            "SELECT game_id, is_home, date, split FROM split",
+        ),
         "split_sizes": _with(
             SPLIT, f"SELECT split, count(*) AS n_rows, {len(features)} AS n_features FROM split GROUP BY split"
         ),

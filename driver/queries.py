@@ -137,6 +137,12 @@ def time_split(spark, sf):
     return b.split_games(spark, sf).select("game_id", "is_home", "date", "split")
 
 
+def time_split_by_game(spark, sf):
+    """No game on two sides of a cut."""
+    rows = b.split_games(spark, sf).drop("split")
+    return split.time_split(rows, keep_together="game_id").select("game_id", "is_home", "date", "split")
+
+
 def split_sizes(spark, sf):
     rows = b.split_games(spark, sf)
     return split.split_sizes(rows, len(sides.feature_columns(rows, ["split"])))
@@ -533,7 +539,7 @@ def drop_ablation(spark, sf):
 
 ALL: list[Query] = [
     scan_games, two_sided_unpivot, default_fill, target_win, target_score_diff, feature_drop, feature_list,
-    time_split, split_sizes, season_shift, shift_long, binary_metrics, regression_metrics,
+    time_split, time_split_by_game, split_sizes, season_shift, shift_long, binary_metrics, regression_metrics,
     season_shift_regression, profile_table, null_fraction, numeric_stats, topk_values, numeric_coerce,
     profile_csv, flatten_json, schema_fingerprint, fingerprint_histogram, column_diffs, drift_report,
     canonical_json, normalize_scope, scope_fingerprint, sha256_hex, sanitize_name, is_pinned_ref,

@@ -155,3 +155,37 @@ def test_the_same_forest_on_any_number_of_cores():
         for cores in ("2", "4")
     ]
     assert found[0] == found[1]
+
+
+def test_partitions_follow_the_rows():
+    assert models.fit_tasks(0) == models.fit_tasks(8_000_000) == 32
+    assert models.fit_tasks(250_000 * 1000 + 1) == 1001
+
+
+def test_all_ridge_drop_lists_from_one_pass(spark):
+    """One job reads the training rows, however many lists there are, and its models are those of separate fits."""
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(300, 4)) * [1, 5, 0.1, 2] + [0, 100, 3, -7]
+    y = x @ [1.0, -0.5, 4.0, 0.0] + rnd.normal(size=300)
+    rows = [(f"s{i % 3}", ["train", "train", "test"][i % 3], *map(float, x[i]), float(y[i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "season STRING, split STRING, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, target DOUBLE")
+    train = df.where("split = 'train'")
+    matrix = models.cross_products(train, ["a", "b", "c", "d"])
+    for drop in ([], ["b"], ["a", "c"], ["a", "b", "c", "d"]):
+        kept = [i for i, name in enumerate("abcd") if name not in drop]
+        weights, intercept = models.ridge_of(matrix, kept)
+        own, goal = x[[i for i in range(300) if i % 3 < 2]][:, kept], y[[i for i in range(300) if i % 3 < 2]]
+        centred = own - own.mean(axis=0)
+        wanted = np.linalg.solve(centred.T @ centred + np.eye(len(kept)), centred.T @ (goal - goal.mean())) if kept else np.zeros(0)
+        assert weights == pytest.approx(wanted, rel=1e-8)
+        assert intercept == pytest.approx(goal.mean() - own.mean(axis=0) @ wanted, rel=1e-8)
+    calls = []
+    own = models.cross_products
+    models.cross_products = lambda *a: calls.append(1) or own(*a)
+    try:
+        found = models.drop_ablation(df, "regression", [["a"], ["b"], ["a", "b"]], "linear").collect()
+    finally:
+        models.cross_products = own
+    assert calls == [1] and {r["dropped"] for r in found} == {"a", "b", "a,b"}
+    with pytest.raises(Exception, match="must be numbers"):
+        models.cross_products(train.withColumn("a", F.lit(None).cast("double")), ["a"])

@@ -139,3 +139,41 @@ def test_sizes(spark):
     rows = split.time_split(frame(spark, both_sides(10, lambda d: 5)))
     sizes = {r["split"]: (r["n_rows"], r["n_features"]) for r in split.split_sizes(rows, 2).collect()}
     assert sizes == {"train": (60, 2), "val": (20, 2), "test": (20, 2)}
+
+
+def grouped_plain(rows, train, val):
+    """Labels by the position of each group's first row; rows without a group stand together by date."""
+    last = "\U0010ffff"
+    keys = [(r[1] if r[1] is not None else last, r[0] if r[0] is not None else None) for r in rows]
+    groups = {}
+    for date, game in keys:
+        groups.setdefault((game, None) if game is not None else (None, date), []).append(date)
+    order = sorted(groups, key=lambda g: (min(groups[g]), g[0] if g[0] is not None else last))
+    labels, at, n = {}, 0, len(rows)
+    for g in order:
+        labels[g] = "train" if at < int(n * train) else "val" if at < int(n * (train + val)) else "test"
+        at += len(groups[g])
+    return sorted((str(r), labels[(k[1], None) if k[1] is not None else (None, k[0])]) for r, k in zip(rows, keys))
+
+
+@pytest.mark.parametrize("limit", [100_000, 3])
+@pytest.mark.parametrize("ratios", [(0.6, 0.2), (0.5, 0.5), (0.0, 0.3), (0.33, 0.1)])
+def test_groups_stay_together(spark, monkeypatch, ratios, limit):
+    monkeypatch.setattr(split, "RANK_LIMIT", limit)
+    rnd = random.Random(limit + int(ratios[0] * 10))
+    rows = []
+    for n in range(40):
+        game, day = f"g{n:03d}", rnd.randrange(1, 9)
+        # Some groups span days; one holds a third of all rows.
+        for _ in range(60 if n == 20 else rnd.randrange(1, 5)):
+            rows.append((game, f"2024-01-{day + rnd.choice([0, 0, 0, n % 2]):02d}", rnd.randrange(2)))
+    rows += [(None, "2024-01-03", 1)] * 5 + [(None, None, 0), ("g999", None, 1)]
+    df = spark.createDataFrame(rows, "game_id STRING, date STRING, is_home INT")
+    found = split.time_split(df, *ratios, keep_together="game_id")
+    assert found.columns == ["game_id", "date", "is_home", "split"]
+    assert sorted((str(tuple(r)[:3]), r["split"]) for r in found.collect()) == grouped_plain(rows, *ratios)
+
+
+def test_groups_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "game_id STRING, date STRING, is_home INT")
+    assert split.time_split(df, keep_together="game_id").collect() == []
