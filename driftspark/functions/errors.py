@@ -36,6 +36,38 @@ FLOATING_REF_DISALLOWED = "E_FLOATING_REF_DISALLOWED"
 TERMS_ACK_REQUIRED = "E_TERMS_ACK_REQUIRED"
 EXPANSION_FAILED = "E_EXPANSION_FAILED"
 
+# Errors that may go away when tried again, and severities other than "error".
+RETRYABLE = [HTTP_429, HTTP_5XX, TIMEOUT, CONNECTION, TRUNCATED_DOWNLOAD]
+SEVERITIES = {
+    SCOPE_INVALID: "fatal", EXPANSION_FAILED: "fatal", UNSAFE_DEST_PATH: "fatal", JSON_PARSE: "fatal",
+    JSON_ITEM_TOO_LARGE: "fatal", JSON_TOO_DEEP: "fatal", NO_SPACE: "fatal", PERMISSION: "fatal", IO: "fatal",
+    SCHEMA_UNSUPPORTED: "warn",
+}
+# Messages of errors that come without one.
+MESSAGES = {
+    HTTP_404: "HTTP 404", HTTP_403: "HTTP 403", HTTP_429: "HTTP 429 rate limited", HTTP_5XX: "HTTP 5xx",
+    JSON_PARSE: "JSON parse failed", SCHEMA_UNSUPPORTED: "Parquet schema unsupported",
+    JSON_ITEM_TOO_LARGE: "JSON element too large", JSON_TOO_DEEP: "JSON nested too deep",
+}
+
+
+def _of_code(code: Column, table: dict[str, str], default: Column) -> Column:
+    pairs = [x for key, value in table.items() for x in (F.lit(key), F.lit(value))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), code), default)
+
+
+def full_record(code: Column, message: Column, detail: Column, url: Column, path: Column) -> Column:
+    """``error_record`` with message, ``retryable`` and ``severity`` by the code where they are not given."""
+    return error_record(
+        code,
+        F.coalesce(message, _of_code(code, MESSAGES, code)),
+        detail,
+        retryable=code.isin(RETRYABLE),
+        severity=_of_code(code, SEVERITIES, F.lit("error")),
+        url=url,
+        path=path,
+    )
+
 
 def error_record(
     code: Column,

@@ -9,11 +9,11 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.functions import errors, text
-from driftspark.operators import catalog, drift, ledger, runs
+from driftspark.operators import catalog, drift, events, ledger, runs
 from driftspark.operators.lookup import join_lookup, key_counts
 from driftspark.runtime import materialize
 from driftspark.sources.entries import file_entries
@@ -48,9 +48,13 @@ class RunResult:
     schemas: DataFrame
     drift: DataFrame
     record: DataFrame
+    events: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
-        return {"plan": self.plan, "errors": self.errors, "schemas": self.schemas, "drift": self.drift, "runs": self.record}
+        return {
+            "plan": self.plan, "errors": self.errors, "schemas": self.schemas, "drift": self.drift,
+            "runs": self.record, "events": self.events,
+        }
 
 
 def plan_release(
@@ -126,6 +130,7 @@ def item_outcomes(
         F.lit(run_id).alias("run_id"),
         "logical_name",
         "dest_path",
+        "url",
         "group",
         "optional",
         F.when(~known, F.coalesce("reported", F.when(absent, errors.HTTP_404))).alias("error_code"),
@@ -147,16 +152,20 @@ def stored_schemas(spark: SparkSession, root: str, plan: DataFrame, stored: Data
     return rows.withColumn("table_name", F.element_at(F.split("dest_path", "/"), -1))
 
 
-def _record(spark: SparkSession, request: RunRequest, statuses: DataFrame) -> DataFrame:
+def _runs(spark: SparkSession, request: RunRequest) -> DataFrame:
     row = (
         request.run_id, request.started_at_utc, request.finished_at_utc, request.source, request.ref,
         request.resolved_ref, request.scope, request.require_360,
     )
-    run = spark.createDataFrame(
+    return spark.createDataFrame(
         [row],
         "run_id STRING, started_at_utc STRING, finished_at_utc STRING, source STRING, source_ref STRING, "
         "resolved_ref STRING, requested_scope STRING, require_360 BOOLEAN",
     ).withColumn("requested_scope", text.normalize_scope("requested_scope"))
+
+
+def _record(spark: SparkSession, request: RunRequest, statuses: DataFrame) -> DataFrame:
+    run = _runs(spark, request)
     return runs.attribution_lookup(runs.run_record(statuses, run), runs.terms_table(spark))
 
 
@@ -196,24 +205,36 @@ def ingest(
     if expansion_errors is not None:
         counters = counters.withColumn("failed", F.col("failed") + F.lit(expansion_errors.count()))
     schemas = materialize(stored_schemas(spark, root, plan, stored), "schemas")
+    none = F.lit(None).cast("string")
+
+    def found(code: Column, detail: Column, message: Column = none, name: Column = none, path: Column = none, url: Column = none, optional: Column = F.lit(False)) -> list[Column]:  # noqa: B008, E501
+        record = errors.full_record(code, message, F.map_filter(detail, lambda _, value: value.isNotNull()), url, path)
+        return [F.inline(F.array(record)), name.alias("logical_name"), path.alias("dest_path"), optional.alias("optional")]
+
+    def text_detail(value: Column) -> Column:
+        return F.create_map(F.lit("detail"), value)
+
     failed_items = outcomes.where(F.col("error_code").isNotNull()).select(
-        F.col("error_code").alias("code"), "logical_name", "dest_path", F.col("optional_miss").alias("optional")
+        *found(
+            F.col("error_code"), F.create_map(F.lit("optional"), F.when(F.col("optional_miss"), "true")),
+            name=F.col("logical_name"), path=F.col("dest_path"), url=F.col("url"), optional=F.col("optional_miss"),
+        )
     )
-    bad_files = schemas.where(F.col("note").startswith("E_")).select(
-        F.split("note", ":")[0].alias("code"),
-        F.lit(None).cast("string").alias("logical_name"),
-        "dest_path",
-        F.lit(False).alias("optional"),
+    parts = F.split("note", ": ", 2)
+    bad_files = schemas.where(F.col("note").startswith("E_"))
+    unreadable = bad_files.select(F.lit(request.run_id).alias("run_id"), F.col("dest_path").alias("path"), parts[0].alias("code"))
+    bad_files = bad_files.select(
+        *found(parts[0], text_detail(F.get(parts, F.lit(1))), name=F.col("logical_name"), path=F.col("dest_path"))
     )
-    found_errors = failed_items.unionByName(bad_files).withColumn("message", F.lit(None).cast("string"))
+    found_errors = failed_items.unionByName(bad_files)
+    unresolved = None
     if expansion_errors is not None:
-        nothing = F.lit(None).cast("string")
+        message = F.concat_ws(": ", "message", "value")
+        unresolved = expansion_errors.select(F.lit(request.run_id).alias("run_id"), "code", message.alias("message"))
         found_errors = found_errors.unionByName(
-            expansion_errors.select(
-                "code", nothing.alias("logical_name"), nothing.alias("dest_path"), F.lit(False).alias("optional"),
-                F.concat_ws(": ", "message", "value").alias("message"),
-            )
+            expansion_errors.select(*found(F.col("code"), text_detail(F.col("value").cast("string")), message=message))
         )
+    statuses = runs.run_status(counters)
     good = schemas.where(~F.coalesce(F.col("note").startswith("E_"), F.lit(False)))
     return RunResult(
         plan=plan,
@@ -221,7 +242,8 @@ def ingest(
         ledger=ledger.ledger_upsert(known_before, fresh),
         schemas=schemas,
         drift=drift.drift_report(good),
-        record=_record(spark, request, runs.run_status(counters)),
+        record=_record(spark, request, statuses),
+        events=events.run_events(_runs(spark, request), statuses, outcomes, unreadable, unresolved),
     )
 
 
@@ -242,11 +264,16 @@ def _dry_run(spark: SparkSession, request: RunRequest, plan: DataFrame) -> RunRe
     )
     return RunResult(
         plan=plan,
-        errors=spark.createDataFrame([], "code STRING, logical_name STRING, dest_path STRING, optional BOOLEAN, message STRING"),
+        errors=spark.createDataFrame(
+            [],
+            "code STRING, message STRING, detail MAP<STRING, STRING>, url STRING, path STRING, logical_name STRING, "
+            "dest_path STRING, optional BOOLEAN",
+        ),
         ledger=spark.createDataFrame([], "dest_path STRING, sha256 STRING, size_bytes BIGINT, mtime_utc STRING"),
         schemas=nothing,
         drift=drift.drift_report(nothing),
         record=_record(spark, request, runs.run_status(counters)),
+        events=events.dry_run_events(_runs(spark, request), plan),
     )
 
 

@@ -696,6 +696,18 @@ SELECT 'E_JSON_PARSE', 'duplicate destination path: ' || first_name || ', ' || l
     CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS level FROM events
 )
 SELECT phase, level, count(*) AS n_events, min(stamp) AS first_ts_utc, max(stamp) AS last_ts_utc FROM audit GROUP BY ALL""",
+        "run_events": _with(
+            OUTCOMES,
+            """SELECT run_id, phase, msg, level, count(*) AS n_events, min(stamp) AS ts_utc FROM (
+  SELECT run_id, 'download' AS phase, CASE event_type WHEN 'purchase' THEN 'download_ok' WHEN 'error' THEN 'download_failed'
+      WHEN 'signup' THEN 'optional_missing' ELSE 'download_skipped' END AS msg,
+    CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS level, finished_at_utc AS stamp
+  FROM outcomes JOIN runs USING (run_id)
+  UNION ALL SELECT run_id, p[1], p[2], 'info', CASE WHEN p[1] = 'finalize' THEN finished_at_utc ELSE started_at_utc END
+  FROM runs, (SELECT unnest([['resolve', 'start_resolve'], ['resolve', 'resolve_ok'], ['download', 'download_start'],
+    ['finalize', 'ingest_complete']]) AS p)
+) GROUP BY ALL""",
+        ),
         "attribution_lookup": _with(
             OUTCOMES,
             """SELECT run_id, source, CASE WHEN source = 'other' THEN 0 ELSE 1 END AS n_requirements,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.functions import errors, text
-from driftspark.operators import catalog, drift, ledger, metrics, models, profile, runs, sides, split
+from driftspark.operators import catalog, drift, events, ledger, metrics, models, profile, runs, sides, split
 from driftspark.plans import training
 from driftspark.runtime import materialize, scratch_dir
 from driftspark.sources import files, games, tables
@@ -473,6 +473,16 @@ def audit_rollup(spark, sf):
     return runs.audit_rollup(b.audit_events(spark, sf))
 
 
+def run_events(spark, sf):
+    """Audit events of all runs, counted by run, phase, message and level."""
+    outcomes = runs.optional_policy(b.outcomes(spark, sf)).withColumnRenamed("event_id", "logical_name")
+    statuses = runs.run_status(runs.run_counters(outcomes))
+    found = events.run_events(b.runs(spark, sf), statuses, outcomes)
+    return found.groupBy("run_id", "phase", "msg", F.coalesce("level", F.lit("info")).alias("level")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.min("ts_utc").alias("ts_utc")
+    )
+
+
 def attribution_lookup(spark, sf):
     found = runs.attribution_lookup(b.runs(spark, sf).select("run_id", "source"), runs.terms_table(spark))
     return found.select(
@@ -548,7 +558,7 @@ ALL: list[Query] = [
     expand_pairs, plan_pair_files, extract_ids,
     artifact_fanout, content_hash, skip_known, ledger_upsert, integrity_required, integrity_sweep,
     integrity_report, duplicate_paths, unsafe_paths, optional_policy, run_counters, run_status, run_record,
-    audit_rollup, attribution_lookup, pinned_gate, rf_classify, logit_classify, logit_classify_all,
+    audit_rollup, run_events, attribution_lookup, pinned_gate, rf_classify, logit_classify, logit_classify_all,
     rf_regress, ridge_regress,
     ridge_regress_all, train_eval, drop_ablation, landed_games, csv_documents, profile_json_files,
     stored_pages, profile_entries,

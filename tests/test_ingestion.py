@@ -3,10 +3,11 @@ import json
 
 import pytest
 
-from driftspark.operators import catalog, ledger
+from driftspark.operators import catalog, events, ledger
 from driftspark.plans import ingestion
 from driftspark.sources import artifacts
 from driftspark.sources.files import file_inventory
+from driftspark.streaming import audit
 
 SHA = "a" * 40
 LOCATION = dict(source="statsbomb-open-data", owner="o", repo="r", ref=SHA, base="https://raw")
@@ -120,7 +121,32 @@ def test_entries_of_a_run(spark, store):
     assert (entry["logical_name"], entry["n_rows"], entry["columns"]) == ("events_7", 3, ["id", "type"])
     assert entry["null_fraction"] == pytest.approx({"id": 1 / 3, "type": 1 / 3})
     assert entry["basic_stats"]["id"][:] == (3.0, 5.0, 4.0, 1.0) and entry["top_values"] == {"type": [("x", 2)]}
-    assert {r["code"] for r in result.errors.collect()} == {"E_HTTP_404", "E_JSON_TOO_DEEP"}
+    found = {r["code"]: r for r in result.errors.collect()}
+    assert set(found) == {"E_HTTP_404", "E_JSON_TOO_DEEP"}
+    miss, deep = found["E_HTTP_404"], found["E_JSON_TOO_DEEP"]
+    assert miss["detail"] == {"optional": "true", "retryable": "false", "severity": "error"} and miss["url"].startswith("https://raw/")
+    assert (miss["message"], miss["path"]) == ("HTTP 404", miss["dest_path"])
+    assert deep["detail"] == {"retryable": "false", "severity": "fatal"} and deep["message"] == "JSON nested too deep"
+    # Events of the run, written as lines, taken in by a stream, and the last batch once more.
+    rows = [(r["phase"], r["msg"], r["level"]) for r in result.events.collect()]
+    assert sorted(rows, key=str) == sorted(
+        [("resolve", "start_resolve", None), ("resolve", "resolve_ok", None), ("download", "download_start", None)]
+        + [("download", "download_ok", None)] * 4
+        + [("download", "optional_missing", "warn"), ("schema", "schema_failed", "warn"), ("finalize", "ingest_complete", None)],
+        key=str,
+    )
+    log, state = str(store / "log"), str(store / "state")
+    lines = events.event_lines(result.events)
+    artifacts.write_audit(lines, log)
+    assert any('"msg":"ingest_complete","phase":"finalize","run_id":"run1","skipped":"0","status":"partial"' in r["line"] for r in lines.collect())
+    for _ in range(2):
+        audit.roll_up_audit(spark, log, state, str(store / "checkpoint")).awaitTermination()
+    audit.merge_batch(audit.parse_audit(spark.read.text(log)), 0, state)
+    totals = {(r["phase"], r["level"]): r["n_events"] for r in audit.read_roll_up(spark, state).where("run_id = 'run1'").collect()}
+    assert totals == {("resolve", "info"): 2, ("download", "info"): 5, ("download", "warn"): 1, ("schema", "warn"): 1, ("finalize", "info"): 1}
+    artifacts.write_audit(events.event_lines(result.events.where("phase = 'schema'")), log)
+    audit.roll_up_audit(spark, log, state, str(store / "checkpoint")).awaitTermination()
+    assert audit.read_roll_up(spark, state).where("phase = 'schema'").first()["n_events"] == 2
 
 
 def test_reported_failure(spark, store):
@@ -145,6 +171,7 @@ def test_dry_run_records_the_plan_only(spark, store):
     assert result.plan.count() == 5 and result.ledger.count() == result.schemas.count() == result.drift.count() == 0
     results = result.record.first()["results"]
     assert results["status"] == "success" and results["downloaded_files"] == results["failed_files"] == 0
+    assert [r["msg"] for r in result.events.orderBy("ts_utc", "msg").collect()] == ["resolve_ok", "start_resolve", "dry_run_complete"]
 
 
 def test_unsafe_destination_stops_the_run(spark, store):
