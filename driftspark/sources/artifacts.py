@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.functions.text import safe_name
+from driftspark.sources.snapshots import read_snapshot
 
 # Error conditions of a missing or corrupt table.
 _UNREADABLE = (
@@ -19,7 +20,10 @@ LEDGER_SCHEMA = "dest_path STRING, sha256 STRING, size_bytes BIGINT, mtime_utc S
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger, or an empty one where there is none yet or it cannot be read."""
+    """The ledger, or an empty one where there is none yet or it cannot be read; ``path`` may hold snapshots."""
+    kept = read_snapshot(spark, path)
+    if kept is not None:
+        return kept
     try:
         return spark.read.parquet(path).select("dest_path", "sha256", "size_bytes", "mtime_utc")
     except Exception as error:
@@ -31,6 +35,9 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def require_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     """The ledger for the gate: None where it is lost or corrupt, which an empty ledger is not."""
+    kept = read_snapshot(spark, path)
+    if kept is not None:
+        return kept
     try:
         return spark.read.parquet(path).select("dest_path", "sha256", "size_bytes", "mtime_utc")
     except Exception as error:
@@ -40,7 +47,10 @@ def require_ledger(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_ledger(ledger: DataFrame, path: str) -> None:
-    """Write to a path other than the one the ledger was read from; Spark commits it as a whole."""
+    """Write to a path other than the one the ledger was read from; Spark commits it as a whole.
+
+    ``snapshots.upsert_snapshot`` writes where it reads, and only what changes.
+    """
     ledger.write.mode("overwrite").parquet(path)
 
 

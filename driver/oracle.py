@@ -445,6 +445,20 @@ def sql() -> dict[str, str]:
     return {
         "scan_games": _with(GAMES, "SELECT * FROM games"),
         "landed_games": _with(GAMES, "SELECT * FROM games"),
+        "scan_season_files": _with(
+            GAMES,
+            "SELECT game_id, season, date, home_team, away_team, home_score, away_score, home_items AS home_rebounds, "
+            "away_items AS away_rebounds, home_returns AS home_assists, away_returns AS away_assists, "
+            "home_disc AS home_turnovers, away_disc AS away_turnovers, 0::DOUBLE AS home_fg_pct, 0::DOUBLE AS away_fg_pct, "
+            "0::DOUBLE AS home_3p_pct, 0::DOUBLE AS away_3p_pct FROM games",
+        ),
+        "stored_splits": _with(
+            SPLIT, "SELECT game_id, season, date, team, is_home, items, opp_disc, win AS target, split FROM split"
+        ),
+        "ledger_snapshots": """WITH named AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_suppkey = 1 GROUP BY l_partkey)
+SELECT 'parts/' || coalesce(p_partkey, l_partkey) AS dest_path, sha256(coalesce(CAST(n AS VARCHAR), p_name)) AS sha256,
+  coalesce(n, p_size) AS size_bytes, CASE WHEN n IS NULL THEN '2024' ELSE '2025' END AS mtime_utc
+FROM part FULL JOIN named ON p_partkey = l_partkey""",
         "profile_json_files": "SELECT 'events/' || (event_id // 1000) || '.json' AS dest_path, count(*) AS n_rows, "
         "'event_id,event_type,value' AS columns, 'int,string,float' AS classes FROM events GROUP BY 1",
         "csv_documents": "SELECT * FROM documents",

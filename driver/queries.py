@@ -13,7 +13,7 @@ from driftspark.functions import errors, text
 from driftspark.operators import catalog, drift, events, ledger, metrics, models, profile, runs, sides, split
 from driftspark.plans import training
 from driftspark.runtime import materialize, scratch_dir
-from driftspark.sources import files, games, tables
+from driftspark.sources import artifacts, files, games, snapshots, splits, tables
 from driftspark.sources.entries import file_entries
 from driver import bindings as b
 
@@ -53,6 +53,46 @@ def landed_games(spark, sf):
     return games.read_games(spark, path, "nba")
 
 
+def scan_season_files(spark, sf):
+    """Games written as season files, arrays of games of one season and 2,000 keys, and read as a sport's folder."""
+    root = f"{scratch_dir(spark)}/seasons-{uuid.uuid4().hex}"
+    renamed = {"items": "rebounds", "returns": "assists", "disc": "turnovers"}
+    rows = b.games(spark, sf).withColumnsRenamed({f"{s}_{a}": f"{s}_{n}" for s in ("home", "away") for a, n in renamed.items()})
+    place = F.concat_ws("", F.lit("nba/"), "season", F.lit("_"), F.floor(F.col("game_id").cast("long") / 2000).cast("string"), F.lit(".json"))
+    documents = F.array_join(F.collect_list(F.to_json(F.struct(*rows.columns))), ",")
+    arrays = rows.groupBy(place.alias("dest_path")).agg(documents.alias("list"))
+    content = F.concat(F.lit("["), "list", F.lit("]")).cast("binary")
+    materialize(files.write_files(arrays.select("dest_path", content.alias("content")), root), "season-files")
+    return games.read_season_files(spark, root, "nba")
+
+
+def stored_splits(spark, sf):
+    """Split games stored as Parquet by split, exported as CSV and read back under their schema."""
+    root = f"{scratch_dir(spark)}/splits-{uuid.uuid4().hex}"
+    splits.write_splits(b.split_games(spark, sf), f"{root}/parquet")
+    rows = splits.read_splits(spark, f"{root}/parquet")
+    written = splits.export_csv(rows, f"{root}/csv", "nba", "win")
+    back = splits.read_csv_splits(spark, written, rows.drop("split").schema)
+    return back.select("game_id", "season", "date", "team", "is_home", "items", "opp_disc", "target", "split")
+
+
+def ledger_snapshots(spark, sf):
+    """A ledger of all parts, and upserts of those that a supplier's line items name, by snapshots."""
+    path = f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    hashed = lambda text: F.sha2(text, 256).alias("sha256")
+    parts = b.table(spark, sf, "part")
+    name = F.concat(F.lit("parts/"), F.col("p_partkey").cast("string")).alias("dest_path")
+    snapshots.upsert_snapshot(
+        parts.select(name, hashed(F.col("p_name")), F.col("p_size").cast("long").alias("size_bytes"), F.lit("2024").alias("mtime_utc")), path
+    )
+    lines = b.table(spark, sf, "lineitem").where("l_suppkey = 1").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    named = F.concat(F.lit("parts/"), F.col("l_partkey").cast("string")).alias("dest_path")
+    snapshots.upsert_snapshot(
+        lines.select(named, hashed(F.col("n").cast("string")), F.col("n").alias("size_bytes"), F.lit("2025").alias("mtime_utc")), path
+    )
+    return artifacts.read_ledger(spark, path)
+
+
 def csv_documents(spark, sf):
     """Documents written as CSV and read with types found again; their texts hold commas, quotes and line breaks."""
     path = f"{scratch_dir(spark)}/documents-{uuid.uuid4().hex}.csv"
@@ -561,5 +601,5 @@ ALL: list[Query] = [
     audit_rollup, run_events, attribution_lookup, pinned_gate, rf_classify, logit_classify, logit_classify_all,
     rf_regress, ridge_regress,
     ridge_regress_all, train_eval, drop_ablation, landed_games, csv_documents, profile_json_files,
-    stored_pages, profile_entries,
+    stored_pages, profile_entries, scan_season_files, stored_splits, ledger_snapshots,
 ]
