@@ -17,7 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.llm.common import sorted_runs
@@ -417,6 +417,21 @@ def merged_spans() -> Column:
     )
 
 
+def merged_runs(spans: DataFrame, by: str = "digest") -> DataFrame:
+    """``by`` and ``spans``: the maximal runs of the rows ``start``, ``end`` of each group; runs that touch are one.
+
+    Rows are merged in the order of their starts, which a window streams, so only maximal runs are ever in one array:
+    a periodic text has a row for each byte and one run. Rows that copies of a text repeat go before the shuffle.
+    """
+    unique = spans.groupBy(by, "start").agg(F.max("end").alias("end"))
+    line = Window.partitionBy(by).orderBy("start")
+    reached = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    apart = unique.withColumn("new", (F.coalesce(reached, F.lit(-1)) < F.col("start")).cast("int"))
+    runs = apart.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = runs.groupBy(by, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return whole.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
 def repeated_spans(
     docs: DataFrame, text_column: str = "text", length: int = LENGTH, in_task: int = SORTED
 ) -> DataFrame:
@@ -447,8 +462,7 @@ def repeated_spans(
         twice = materialize(twice, "repeated-windows")
         more = windows.join(twice, "window", "left_semi")
         spans = spans.union(more.select("digest", "start", (F.col("start") + length).alias("end")))
-    # A text's spans are at most as many as its anchors.
-    return materialize(spans.groupBy("digest").agg(merged_spans().alias("spans")), "spans")
+    return materialize(merged_runs(spans), "spans")
 
 
 def _digests(shared, repeated: bool):

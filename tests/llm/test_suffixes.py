@@ -90,3 +90,10 @@ def test_documents(make_docs, words, in_task):
 
 def test_empty_table(make_docs):
     assert suffixes.remove_repeats(make_docs([])).count() == 0
+
+
+def test_runs_of_a_periodic_text_are_one(spark):
+    rows = [("a", n, n + 400) for n in range(30_000)] * 2 + [("a", 40_000, 40_400), ("b", 5, 405), ("b", 405, 900), ("b", 901, 1301), ("b", 5, 410)]
+    spans = spark.createDataFrame(rows, "digest string, start bigint, end bigint")
+    found = {r["digest"]: [tuple(x) for x in r["spans"]] for r in suffixes.merged_runs(spans).collect()}
+    assert found == {"a": [(0, 30_399), (40_000, 40_400)], "b": [(5, 900), (901, 1301)]}
