@@ -122,4 +122,4 @@ def test_error_record(spark):
 
 def test_codes():
     codes = [v for k, v in vars(errors).items() if k.isupper() and isinstance(v, str)]
-    assert len(codes) == len(set(codes)) == 28 and all(c.startswith("E_") for c in codes)
+    assert len(codes) == len(set(codes)) == 29 and all(c.startswith("E_") for c in codes)
