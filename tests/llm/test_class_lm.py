@@ -33,6 +33,61 @@ def test_exchange_reaches_a_local_optimum():
             assert likelihood(bigrams, moved, 6) <= best + 1e-6
 
 
+def test_best_class_is_the_best_of_all(make_docs):
+    rnd = np.random.default_rng(8)
+    for trial in range(40):
+        bigrams = rnd.poisson(0.6, (20, 20)).astype(float)
+        # The last two are the class without classes and the end; some words have no class yet.
+        own = np.concatenate([rnd.integers(0, 6 if trial % 2 else 5, 18), [5, 6]])
+        member = np.eye(7)[own]
+        matrix = member.T @ bigrams @ member
+        for w in range(18):
+            after, before = bigrams[w].copy(), bigrams[:, w].copy()
+            after[w] = before[w] = 0
+            kept = matrix.copy()
+            found = class_lm.best_class(matrix, own[w], after @ member, before @ member, bigrams[w, w], 5)
+            assert (matrix == kept).all()
+            values = []
+            for c in range(5):
+                moved = own.copy()
+                moved[w] = c
+                values.append(likelihood(bigrams, moved, 7))
+            assert values[found] >= max(values) - 1e-6
+
+
+def test_neighbours_and_rounds_against_plain_counts(make_docs, words, monkeypatch):
+    monkeypatch.setattr(class_lm, "COUNT_KEYS", 50)
+    rows = [(n, words(60, n)) for n in range(40)] + [(50, "twice twice twice"), (51, None)]
+    docs = make_docs(rows).select("doc_id", "text").repartition(3)
+    counts = Counter(w for i, t in rows if not class_lm.held_out(i) for w in (t or "").encode().lower().split())
+    names = [w for _, w in sorted((-c, w) for w, c in counts.items())]
+    number = {w: n for n, w in enumerate(names)}
+    known = sum(c >= 2 for c in counts.values())
+    size = len(names) + 1
+    bigrams = np.zeros((size, size))
+    for i, t in rows:
+        if not class_lm.held_out(i):
+            chain = [size - 1, *(number[w] for w in (t or "").encode().lower().split()), size - 1]
+            np.add.at(bigrams, (chain[:-1], chain[1:]), 1)
+    shared = docs.sparkSession.sparkContext.broadcast(number)
+    reached = []
+    for rounds in range(4):
+        own, matrix = class_lm.cluster(docs, shared, names, known, 4, 10, rounds)
+        member = np.eye(6)[[*own, *[4] * (len(names) - known), 5]]
+        assert (matrix == member.T @ bigrams @ member).all()
+        reached.append(class_lm.likelihood(matrix))
+        if rounds:
+            assert own.max() < 4
+        if rounds == 1:  # the words that were not in the core moved by the plain counts of the round before
+            before, table = last
+            for w in range(known):
+                after, left = bigrams[w].copy(), bigrams[:, w].copy()
+                after[w] = left[w] = 0
+                assert own[w] == class_lm.best_class(table, before[w], after @ members, left @ members, bigrams[w, w], 4)
+        last, members = (own, matrix), member
+    assert reached == sorted(reached) and reached[1] > reached[0]
+
+
 def plain_base(rows):
     counts = Counter()
     for i, text in rows:
@@ -53,7 +108,7 @@ def test_scores(make_docs, words, share):
     rows = [(n, words(80, n)) for n in range(60)]
     rows += [(None, "NO id"), (70, None), (71, ""), (72, "unseen é\x0btokens"), (5, words(80, 5)), (5, "other"), (73, "w " * 50_000)]
     docs = make_docs(rows, ["word", "score", "row"])
-    found = class_lm.score(docs, clustered=40, classes=5, share=share).collect()
+    found = class_lm.score(docs, core=20, classes=5, share=share).collect()
 
     def key(r):
         return str(r[0]), r[1], round(r[4], 3)
@@ -71,11 +126,11 @@ def test_scores(make_docs, words, share):
 
 def test_probabilities_of_the_next_token_sum_to_one(make_docs, words):
     docs = make_docs([(n, words(50, n)) for n in range(30)]).select("doc_id", "text")
-    model, vocabulary = class_lm.fit(docs, clustered=30, classes=4, share=0.01)
+    model, vocabulary = class_lm.fit(docs, core=15, classes=4, share=0.01)
     assert np.allclose((10**model.transition).sum(axis=1), 1)
     by_class = np.zeros(model.end + 1)
     np.add.at(by_class, model.classes, 10**model.emission)
-    rare = [r.c for r in vocabulary.collect() if r.word is not None and bytes(r.word) not in model.words]
+    rare = [r.c for r in vocabulary.collect() if r.word is not None and bytes(r.word) not in model.words.value]
     by_class[model.rest] += sum((c + 1) / 10**model.rest_total for c in rare) + 1 / 10**model.rest_total
     assert np.allclose(by_class[: model.rest + 1], 1)
 
