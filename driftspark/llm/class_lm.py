@@ -375,13 +375,15 @@ def fit(
     rest, end = classes, classes + 1
     alone = (matrix.sum(axis=0) + 1) / (matrix.sum() + total)
     transition = (matrix + PRIOR * alone) / (matrix.sum(axis=1, keepdims=True) + PRIOR)
-    in_class = np.bincount(own, weights=counts[:words], minlength=total)
-    in_classes = int(counts[:words].sum())
-    rest_total = float(tokens - ends - in_classes + (distinct - bool(ends) - words) + 1)
+    # Without a round of exchanges the words that are not in the core have no class of their own.
+    own = np.concatenate([own, np.full(len(names) - words, rest)])
+    in_class = np.bincount(own, weights=counts, minlength=total)
+    in_classes = int(counts[own < rest].sum())
+    rest_total = float(tokens - ends - in_classes + (distinct - bool(ends) - int((own < rest).sum())) + 1)
     model = Model(
         shared,
-        np.concatenate([own, np.full(len(names) - words, rest)]).astype(np.int64),
-        np.concatenate([np.log10(counts[:words] / in_class[own]), np.log10((counts[words:] + 1) / rest_total)]),
+        own,
+        np.where(own < rest, np.log10(counts / np.maximum(in_class[own], 1)), np.log10((counts + 1) / rest_total)),
         np.log10(counts + 1),
         np.log10(transition),
         rest,

@@ -124,9 +124,10 @@ def test_scores(make_docs, words, share):
     assert len(same) == 3 and len({round(x, 9) for x in same}) == 2
 
 
-def test_probabilities_of_the_next_token_sum_to_one(make_docs, words):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_probabilities_of_the_next_token_sum_to_one(make_docs, words, rounds):
     docs = make_docs([(n, words(50, n)) for n in range(30)]).select("doc_id", "text")
-    model, vocabulary = class_lm.fit(docs, core=15, classes=4, share=0.01)
+    model, vocabulary = class_lm.fit(docs, core=15, classes=4, share=0.002, rounds=rounds)
     assert np.allclose((10**model.transition).sum(axis=1), 1)
     by_class = np.zeros(model.end + 1)
     np.add.at(by_class, model.classes, 10**model.emission)
