@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from driftspark.llm.common import extended, free_name, map_batches, sorted_runs, words_of
 from driftspark.llm.graph import components
+from driftspark.operators.lookup import join_lookup, key_counts
 from driftspark.runtime import col, materialize
 
 BITS = 64
@@ -229,7 +230,8 @@ def near_duplicates(
     named = materialize(named, "named")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     # One row for each fingerprint, so hot fingerprints are split by adaptive execution from the other side.
-    found = materialize(named.select("fp", "root").join(lowest, "root"), "groups")
+    members = named.select("fp", "root")
+    found = materialize(join_lookup(members, lowest, ["root"], key_counts(members, ["root"]), "fp"), "groups")
     return rows.join(found, "fp").select("doc_id", "fp", "root", "component_id")
 
 
