@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from driftspark.llm.common import sorted_runs
 from driftspark.llm.graph import components
+from driftspark.operators.lookup import join_lookup, key_counts
 from driftspark.runtime import col, materialize
 
 COSINE = 0.98
@@ -223,6 +224,7 @@ def near_duplicates(
         points.join(counts, "rep", "left")
         .join(groups, "rep", "left")
         .select(
+            "rep",
             "label",
             "embedding",
             "low",
@@ -232,9 +234,8 @@ def near_duplicates(
         "named-points",
     )
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialize(
-        named.join(lowest, "root").select("label", "embedding", "n_links", "component_id"), "components"
-    )
+    met = join_lookup(named, lowest, ["root"], key_counts(named, ["root"]), "rep")
+    named = materialize(met.select("label", "embedding", "n_links", "component_id"), "components")
     alone = rows.where("not valid").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
