@@ -240,6 +240,7 @@ def _neighbour_counter(shared: Broadcast, known: int, own: np.ndarray, total: in
         matrix = np.zeros(total * total, np.int64)
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         waiting: list[np.ndarray] = []
+        cells: list[np.ndarray] = []
         size = 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -252,12 +253,12 @@ def _neighbour_counter(shared: Broadcast, known: int, own: np.ndarray, total: in
             return pa.RecordBatch.from_arrays(columns, ["word", "code", "n"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                if held_out(doc_id.as_py()):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held_out(doc_id):
                     continue
-                ids = _symbols(index, text.as_py(), known + 1)
+                ids = _symbols(index, text, known + 1)
                 chain = classes[ids]
-                matrix += np.bincount(chain[:-1] * total + chain[1:], minlength=total * total)
+                cells.append(chain[:-1] * total + chain[1:])
                 if not wanted:
                     continue
                 a, b = ids[:-1], ids[1:]
@@ -275,11 +276,14 @@ def _neighbour_counter(shared: Broadcast, known: int, own: np.ndarray, total: in
                     if len(keys) >= COUNT_KEYS:
                         yield out(keys // width, keys % width, counts)
                         keys, counts = keys[:0], counts[:0]
+            if cells:
+                matrix += np.bincount(np.concatenate(cells), minlength=total * total)
+                cells = []
         if waiting:
             keys, counts = merged()
         yield out(keys // width, keys % width, counts)
-        cells = np.flatnonzero(matrix)
-        yield out(np.full(len(cells), _MATRIX), cells, matrix[cells])
+        filled = np.flatnonzero(matrix)
+        yield out(np.full(len(filled), _MATRIX), filled, matrix[filled])
 
     return run
 
