@@ -6,16 +6,16 @@ import hashlib
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.functions.types import WITH_NULLS, is_missing, numeric_coerce, type_class
+from driftspark.operators import frequent
 from driftspark.runtime import col
 
 # Fixed value: frequent values kept per column.
 TOP_K = 10
 
-_TOPK_SCHEMA = "column_name STRING, value STRING, n BIGINT, position INT"
 _STATS = ("min", "max", "mean", "std")
 
 
@@ -178,27 +178,17 @@ def topk_values(
     """The ``k`` most frequent values of each non-numeric column: ``column_name, value, n, position``.
 
     Ties go to the smaller SHA-256 digest of the value, whatever its length. Nulls are left out, or counted
-    as ``null_label`` if one is given. Values travel as their digest and are counted before the shuffle, and
-    ranks come with a per-partition limit, so neither a value nor a column that holds most rows reaches one
-    task whole. The text is then looked up for the winners, at most ``k`` per column.
+    as ``null_label`` if one is given. A sketch nominates the candidates and a recount certifies them, when this is
+    called; only columns whose values hardly repeat have all their distinct values counted.
     """
     kinds = {field.name: type_class(field.dataType) for field in df.schema}
     chosen = columns or [name for name, kind in kinds.items() if not _is_numeric(kind)]
     if not chosen:
-        return df.sparkSession.createDataFrame([], _TOPK_SCHEMA)
+        return df.sparkSession.createDataFrame([], frequent.SCHEMA)
     texts = df.select(*[as_text(col(name), kinds[name]).alias(name) for name in chosen])
     values = texts.unpivot([], [col(name) for name in chosen], "column_name", "value")
     if null_label is None:
         values = values.where(F.col("value").isNotNull())
     else:
         values = values.fillna(null_label, ["value"])
-    keyed = values.select("column_name", "value", F.unhex(F.sha2("value", 256)).alias("digest"))
-    key = ["column_name", "digest"]
-    counts = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("column_name").orderBy(F.desc("n"), "digest")
-    winners = counts.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
-    # At most ``k`` winners per column, so the lookup is a bounded broadcast.
-    whole = (
-        keyed.join(F.broadcast(winners.select(*key)), key, "left_semi").groupBy(*key).agg(F.min("value").alias("value"))
-    )
-    return winners.join(whole, key).select("column_name", "value", "n", "position")
+    return frequent.top_values(values, k)

@@ -89,12 +89,6 @@ def test_topk_of_truth_values_and_nulls(table):
     assert [(r["value"], r["n"]) for r in rows] == [("True", 2), ("False", 1), ("None", 1)]
 
 
-def test_topk_is_limited_before_the_shuffle(table, plan_text):
-    plan = plan_text(profile.topk_values(table), "simple")
-    limits = [line for line in plan.splitlines() if "WindowGroupLimit" in line]
-    assert any("Partial" in line for line in limits) and "partial_count" in plan
-
-
 def test_fingerprint_bytes(spark, table):
     entry = profile.schema_entry(table, "t").first()
     columns, dtypes = profile.schema_of(table)
