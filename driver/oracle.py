@@ -179,6 +179,41 @@ logit_counts AS (
 ),
 logit_shift AS (SELECT segment_kind, segment, {BINARY} FROM logit_counts)"""
 
+
+def _logit_all(steps: int = 12) -> str:
+    """The same over all features: a step solves the normal equations by elimination, one nested query a column."""
+    n = len(FEATURES) + 1  # the last is the intercept, which has no penalty
+    names = [*FEATURES, "1"]
+    state = ", ".join(["step", *[f"w{i}" for i in range(n)]])
+    margin = " + ".join(f"w{i} * x{i}" for i in range(n))
+    hessian = [
+        f"sum(p * (1 - p) * x{i} * x{j}){' + 1' if i == j < n - 1 else ''} AS a{i}_{j}" for i in range(n) for j in range(i, n)
+    ]
+    gradient = [f"sum((p - y) * x{i}){f' + w{i}' if i < n - 1 else ''} AS g{i}" for i in range(n)]
+    query = f"""SELECT {state}, {", ".join(hessian + gradient)} FROM (
+    SELECT {state}, y, {", ".join(f"x{i}" for i in range(n))}, 1 / (1 + exp(-({margin}))) AS p FROM newton, train WHERE step < {steps}
+  ) GROUP BY {state}"""
+    for k in range(n - 1):
+        changed = [f"a{i}_{j} - a{k}_{i} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in range(k + 1, n) for j in range(i, n)]
+        changed += [f"g{i} - a{k}_{i} * g{k} / a{k}_{k} AS g{i}" for i in range(k + 1, n)]
+        query = f"SELECT * REPLACE ({', '.join(changed)}) FROM (\n  {query})"
+    for k in reversed(range(n)):
+        known = "".join(f" - a{k}_{j} * d{j}" for j in range(k + 1, n))
+        query = f"SELECT *, (g{k}{known}) / a{k}_{k} AS d{k} FROM (\n  {query})"
+    values = " + ".join(f"w{i} * CAST({name} AS DOUBLE)" for i, name in enumerate(names))
+    return SPLIT + f""",
+train AS (SELECT {", ".join(f"CAST({name} AS DOUBLE) AS x{i}" for i, name in enumerate(names))}, win AS y FROM split WHERE split = 'train'),
+newton({state}) AS (
+  SELECT 0, {", ".join(["CAST(0 AS DOUBLE)"] * n)}
+  UNION ALL
+  SELECT step + 1, {", ".join(f"w{i} - d{i}" for i in range(n))} FROM (
+  {query})
+),
+logit AS (
+  SELECT season, win AS y, CAST({values} > 0 AS INTEGER) AS p FROM split, (SELECT * FROM newton WHERE step = {steps}) WHERE split = 'test'
+),""" + LOGIT[LOGIT.index("\nlogit_counts AS (") :]
+
+
 SCORES = """count(*) AS n, round(avg((y - p) * (y - p)), 6) AS mse, round(avg(abs(y - p)), 6) AS mae,
   round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2"""
 
@@ -524,6 +559,13 @@ UNION ALL SELECT 'season', season, {SCORES} FROM predicted WHERE split = 'test'
                 for m in ("accuracy", "precision", "recall", "f1")
             ),
         ),
+        "logit_classify_all": _with(
+            _logit_all(),
+            "\nUNION ALL\n".join(
+                f"SELECT segment_kind, segment, '{m}' AS metric, {m} AS value FROM logit_shift"
+                for m in ("accuracy", "precision", "recall", "f1")
+            ),
+        ),
         "ridge_regress": _with(
             RIDGE,
             "SELECT segment_kind, segment, metric, round(value, 6) AS value FROM ridge_long WHERE dropped = ''",
