@@ -19,6 +19,8 @@ KEY = "dest_path"
 _AT = [KEY, "position"]
 # Winners whose texts are looked up by broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+# Bytes up to which a value travels itself; a digest has 32.
+SHORT_BYTES = 64
 STATS = ("min", "max", "mean", "std")
 
 FIELDS = "array<struct<name:string,kind:string>>"
@@ -67,20 +69,29 @@ def text_columns(records: DataFrame, nulls: list[str], true: list[str], false: l
 def frequent_values(values: DataFrame, k: int = TOP_K) -> DataFrame:
     """``dest_path, position, rank, value, n``: the ``k`` most frequent values of each column of each file.
 
-    Ties go to the smaller SHA-256 digest. Values travel as digests, counted before the shuffle; ranks come with a limit
-    per partition, so a file or column that holds most rows is no hot spot. Nulls are left out.
+    Ties go to the smaller SHA-256 digest. Values travel as digests, or as they are if they are short, counted before the
+    shuffle; ranks come with a limit per partition, so a file or column that holds most rows is no hot spot. The values
+    are read again only where winners are long, and short ones are left out then. Nulls are left out.
     """
-    keyed = values.where("value is not null").select(*_AT, "value", F.unhex(F.sha2("value", 256)).alias("digest"))
-    key = [*_AT, "digest"]
-    counts = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    short = F.octet_length("value") <= SHORT_BYTES
+    digest = F.unhex(F.sha2("value", 256))
+    keyed = values.where("value is not null").select(*_AT, F.when(short, F.col("value")).alias("value"), F.when(~short, digest).alias("digest"))
+    # Short values are hashed once for each distinct one of a task or so, not for each row.
+    counts = keyed.groupBy(*_AT, "value", "digest").agg(F.count(F.lit(1)).alias("n")).withColumn("digest", F.coalesce("digest", digest))
     order = Window.partitionBy(*_AT).orderBy(F.desc("n"), "digest")
     winners = materialize(
         counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "winners"
     )
-    chosen = winners.select(*key)
-    small = winners.count() <= BROADCAST_ROWS
-    texts = keyed.join(F.broadcast(chosen) if small else chosen, key, "left_semi")
-    return winners.join(texts.groupBy(*key).agg(F.min("value").alias("value")), key).drop("digest")
+    key = [*_AT, "digest"]
+    lacking = winners.where("value is null")
+    chosen = lacking.select(*key)
+    n = chosen.count()
+    if not n:
+        return winners.drop("digest")
+    long = values.where(F.octet_length("value") > SHORT_BYTES).select(*_AT, "value", digest.alias("digest"))
+    texts = long.join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, key, "left_semi")
+    found = lacking.drop("value").join(texts.groupBy(*key).agg(F.min("value").alias("value")), key)
+    return winners.where("value is not null").unionByName(found).drop("digest")
 
 
 def _by_position(rows: DataFrame, value: Column, name: str) -> DataFrame:

@@ -96,8 +96,10 @@ def of_json(files: DataFrame, root: str) -> Delivery:
     found = materialize(tables.item_leaves(good, KEY), "leaves")
     rows = good.where("item is not null").withColumn("spread", F.xxhash64(F.to_json("item")))
     met = join_lookup(rows, found.select(KEY, "leaves"), [KEY], key_counts(rows, [KEY]), "spread")
-    cells = met.select(KEY, "item", F.posexplode("leaves").alias("position", "leaf"))
-    value = tables.leaf_value(F.col("item"), F.col("leaf"))
+    # Below the explosion, so once for each item.
+    fields = met.withColumn("fields", tables.item_fields(F.col("item")))
+    cells = fields.select(KEY, "item", "fields", F.posexplode("leaves").alias("position", "leaf"))
+    value = tables.leaf_value(F.col("item"), F.col("fields"), F.col("leaf"))
     cells = cells.select(KEY, "position", F.col("leaf.kind").alias("kind"), value.alias("v"))
     number = F.when(F.col("kind").isin(*entries.NUMERIC), F.try_variant_get("v", "$", "double"))
     stats = cells.groupBy(KEY, "position").agg(F.count("v").alias("n_present"), *entries.number_stats(number))

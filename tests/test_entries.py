@@ -7,9 +7,10 @@ from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from driftspark.functions import errors
-from driftspark.operators import profile
+from driftspark.operators import entries, profile
 from driftspark.sources import blocks, tables
 from driftspark.sources.entries import file_entries
 
@@ -144,3 +145,38 @@ def test_jobs_do_not_grow_with_files(spark, tmp_path):
 def test_no_files(spark, tmp_path):
     asked = spark.createDataFrame([], "dest_path string")
     assert file_entries(spark, asked, str(tmp_path)).collect() == []
+
+
+def test_short_values_are_read_once_and_long_ones_are_found_again(spark, tmp_path):
+    """Values on both sides of the limit, ties and nulls; a table of short values is not read a second time."""
+    rnd = random.Random(6)
+    texts = ["a", "é" * 32, "é" * 33, "b" * 64, "c" * 65, "d" * 500, "", *[f"{'e' * 70}{i}" for i in range(12)], None]
+    rows = [("f", i % 2, rnd.choice(texts[: 7 if i % 2 else None])) for i in range(400)]
+    rows += [("g", 0, rnd.choice(["x", "y", "", None])) for _ in range(50)]
+    path = str(tmp_path / "values")
+    spark.createDataFrame(rows, "dest_path string, position int, value string").write.parquet(path)
+    values = spark.read.parquet(path)
+    found = {}
+    for r in entries.frequent_values(values, 5).orderBy("dest_path", "position", "rank").collect():
+        found.setdefault((r["dest_path"], r["position"]), []).append((r["value"], r["n"]))
+    for key in {r[:2] for r in rows}:
+        counts = Counter(v for *k, v in rows if tuple(k) == key and v is not None)
+        assert found[key] == sorted(counts.items(), key=lambda x: (-x[1], hashlib.sha256(x[0].encode()).digest()))[:5]
+    short = entries.frequent_values(values.where("dest_path = 'g'"), 5)
+    assert not set(short.inputFiles()) & set(values.inputFiles())
+    assert short.count() == 3
+
+
+def test_leaves_at_the_top_need_no_path(spark):
+    """A path that is no constant is parsed for every value, so leaves at the top are looked up by their key."""
+    documents = ['{"a?": 1, "b": {"c": "x", "d": null}, "": [1]}', '{"a?": null, "b": {"c": 2}}', '{"b": 3}', "7", "null"]
+    ways = [(["a?"], "no path"), (["b"], "no path"), ([""], None), (["b", "c"], '$["b"]["c"]'), (["b", "d"], None), ([], "$")]
+    leaves = spark.createDataFrame([(i, (w, p)) for i, (w, p) in enumerate(ways)], "i int, leaf struct<way: array<string>, path: string>")
+    items = spark.createDataFrame(list(enumerate(documents)), "j int, text string").withColumn("item", F.parse_json("text"))
+    cells = items.withColumn("fields", tables.item_fields(F.col("item"))).crossJoin(leaves)
+    found = cells.select("i", "j", F.to_json(tables.leaf_value(F.col("item"), F.col("fields"), F.col("leaf"))).alias("v"))
+    for r in found.collect():
+        value = json.loads(documents[r["j"]])
+        for key in ways[r["i"]][0]:
+            value = value.get(key) if isinstance(value, dict) else None
+        assert (None if r["v"] is None else json.loads(r["v"])) == value
