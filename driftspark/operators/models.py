@@ -60,6 +60,9 @@ def _forest(task: str, seed: int) -> Estimator:
         maxMemoryInMB=FOREST_MEMORY_MB,
         # Rows remember their node in each tree instead of walking down the trees on every pass.
         cacheNodeIds=True,
+        # A pass grows a level where the memory suffices; the remembered nodes are written to the shared folder only if
+        # there are more passes than levels. At ten, Spark's default, they were written after the last one, for nobody.
+        checkpointInterval=DEPTH + 1,
     )
     if task == "classification":
         return RandomForestClassifier(featureSubsetStrategy="sqrt", **shared)

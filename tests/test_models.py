@@ -84,6 +84,21 @@ def test_forest(spark, rows, task, target, floor):
     assert same == [r["prediction"] for r in models.predict(trained, test).orderBy("game_id").collect()]
 
 
+@pytest.mark.parametrize("task,target", [("classification", "win"), ("regression", "score_diff")])
+def test_a_forest_writes_nothing_to_the_shared_folder(spark, rows, task, target):
+    """The nodes that rows remember stay with the executors, also when the trees are as deep as they may be."""
+    train = with_target(spark, rows, target).where("split = 'train'")
+
+    def written():
+        found = spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics()
+        return sum(one.getBytesWritten() for one in found if one.getScheme() == "file")
+
+    before = written()
+    trained = models.fit(train, task)
+    assert max(tree.depth for tree in trained.model.stages[-1].trees) == models.DEPTH
+    assert written() == before
+
+
 def test_settings_and_unknown_type(spark, rows):
     data = with_target(spark, rows, "score_diff")
     forest = models.make_estimator("anything", "rf", data)
