@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.operators import metrics
+from driftspark.operators.forest import fit_forest
 from driftspark.operators.sides import TARGET, feature_columns, feature_drop
 from driftspark.runtime import col
 
@@ -58,7 +59,8 @@ def _forest(task: str, seed: int) -> Estimator:
     shared = dict(
         featuresCol=_VECTOR, labelCol=TARGET, numTrees=TREES, maxDepth=DEPTH, seed=seed,
         maxMemoryInMB=FOREST_MEMORY_MB,
-        # Rows remember their node in each tree instead of walking down the trees on every pass.
+        # For rows that Spark's own trainer is left with (see ``forest.fit_forest``): they remember their node in each
+        # tree instead of walking down the trees on every pass.
         cacheNodeIds=True,
         # A pass grows a level where the memory suffices; the remembered nodes are written to the shared folder only if
         # there are more passes than levels. At ten, Spark's default, they were written after the last one, for nobody.
@@ -118,7 +120,7 @@ def fit(
     """A model of the rows, dealt into ``tasks`` partitions; by default their number follows that of the rows, so a
     forest depends on its data and on no property of the machine.
 
-    The rows are kept while the model is fitted, so iterations do not read the table again.
+    The rows, or blocks made of them, are kept while the model is fitted, so iterations do not read the table again.
     """
     features = feature_columns(train, extra_metadata)
     tasks = tasks or fit_tasks(train.count())
@@ -126,7 +128,11 @@ def fit(
     assembler = VectorAssembler(inputCols=features, outputCol=_VECTOR, handleInvalid="error")
     try:
         estimator = make_estimator(task, model_type, narrow, seed)
-        model = Pipeline(stages=[assembler, estimator]).fit(narrow)
+        if model_type == "rf":
+            forest = fit_forest(estimator, narrow, assembler.transform(narrow), features)
+            model = PipelineModel([assembler, forest])
+        else:
+            model = Pipeline(stages=[assembler, estimator]).fit(narrow)
     finally:
         narrow.unpersist()
     return TrainedModel(model, features, task, model_type)
